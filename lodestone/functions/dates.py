@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,73 +69,80 @@ def base_column(base: Column | dt.datetime | str | None) -> Column:
     return base.cast("timestamp_ntz")
 
 
-def parse_wall_time(c: Column | str, base: Column | dt.datetime | str | None = None) -> Column:
-    """Eastern wall time (timestamp without zone) of one date phrase, NULL if it is none."""
-    ref = base_column(base)
-    s = F.lower(normalize_ws(c))
-    s = F.regexp_replace(s, r"(\d)(?:st|nd|rd|th)\b", "$1")
-    s = F.regexp_replace(s, rf"\b{WEEKDAY}\b\.?,?", " ")
-    s = F.regexp_replace(s, r"\b(?:e[sd]?t|at|on)\b", " ")
-    s = normalize_ws(F.translate(s, ",", " "))
-
-    zoned = r"^\d{4}-\d{2}-\d{2}[t ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:z|[+-]\d{2}:?\d{2})$"
-    instant = F.when(
-        s.rlike(zoned),
-        F.convert_timezone(
-            F.lit("UTC"), F.lit(ZONE), F.replace(F.upper(F.substring(s, 1, 19)), F.lit("T"), F.lit(" "))
-            .try_cast("timestamp_ntz") - F.make_dt_interval(
-                mins=F.coalesce(
-                    _int(F.regexp_extract(s, r"([+-]\d{2}):?\d{2}$", 1)) * 60
-                    + _int(F.concat(F.regexp_extract(s, r"([+-])\d{2}:?\d{2}$", 1),
-                                    F.regexp_extract(s, r"[+-]\d{2}:?(\d{2})$", 1))),
-                    F.lit(0),
-                )
-            ),
-        ),
-    )
-
-    day = F.trim(F.regexp_replace(F.regexp_replace(s, rf"t?{TIME}", ""), r"[-,]+$", ""))
-
-    def parts(pattern: str, year: int | None, month: int | None, dom: int | None, named: bool) -> Column:
-        pattern = f"^{pattern}$"
-        get = lambda i: F.regexp_extract(day, pattern, i)
-        y = F.year(ref) if year is None else _int(get(year))
-        if not named and year is not None:
-            # Two-digit years: 69..99 are 19xx, 00..68 are 20xx.
-            y = F.when(F.length(get(year)) == 2, y + F.when(y >= 69, 1900).otherwise(2000)).otherwise(y)
-        m = F.lit(12) if month is None else (_month(get(month)) if named else _int(get(month)))
-        d = F.lit(1) if dom is None else _int(get(dom))
-        return F.when(day.rlike(pattern), _moment(y, m, d, s))
-
-    n = F.regexp_extract(s, rf"^(?:in )?(\d+|an?) {UNIT}s?(?: ago)?$", 1)
-    count = F.when(n.isin("a", "an"), F.lit(1)).otherwise(_int(n))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, where a plain expression would repeat it at every use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _plain(c: Column | str) -> Column:
+    """Lower case, without ordinal endings, weekdays, filler words, zone names and commas."""
+    s = F.regexp_replace(F.lower(normalize_ws(c)), r"(\d)(?:st|nd|rd|th)\b", "$1")
+    return normalize_ws(F.regexp_replace(s, rf"\b{WEEKDAY}\b\.?,?|\b(?:e[sd]?t|at|on)\b|,", " "))
+
+
+def _instant(s: Column) -> Column:
+    """Eastern wall time of an ISO timestamp that has a zone."""
+    signed = lambda group: _int(F.concat(
+        F.regexp_extract(s, r"([+-])\d{2}:?\d{2}$", 1), F.regexp_extract(s, r"[+-](\d{2}):?(\d{2})$", group)
+    ))
+    ahead = F.coalesce(signed(1) * 60 + signed(2), F.lit(0))
+    stamp = F.translate(F.substring(s, 1, 19), "t", " ").try_cast("timestamp_ntz")
+    wall = F.convert_timezone(F.lit("UTC"), F.lit(ZONE), stamp - F.make_dt_interval(mins=ahead))
+    zoned = r"^\d{4}-\d{2}-\d{2}[t ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:z|[+-]\d{2}:?\d{2})$"
+    return F.when(s.rlike(zoned), wall)
+
+
+def _calendar(s: Column, ref: Column) -> Column:
+    """Wall time of a calendar date, with or without a clock time; missing parts get their defaults."""
+
+    def read(day: Column) -> Column:
+        def parts(pattern: str, year: int | None, month: int | None, dom: int | None, named: bool) -> Column:
+            pattern = f"^{pattern}$"
+            get = lambda i: F.regexp_extract(day, pattern, i)
+            y = F.year(ref) if year is None else _int(get(year))
+            if year is not None:
+                # Two-digit years: 69..99 are 19xx, 00..68 are 20xx.
+                y = F.when(y < 100, y + F.when(y >= 69, 1900).otherwise(2000)).otherwise(y)
+            m = F.lit(12) if month is None else (_month(get(month)) if named else _int(get(month)))
+            d = F.lit(1) if dom is None else _int(get(dom))
+            return F.when(day.rlike(pattern), _moment(y, m, d, s))
+
+        return F.coalesce(
+            parts(r"(\d{4})-(\d{1,2})-(\d{1,2})", 1, 2, 3, False),
+            parts(r"(\d{1,2})[/.-](\d{1,2})[/.-](\d{4}|\d{2})", 3, 1, 2, False),
+            parts(rf"({MONTH})\.? (\d{{1,2}}) (\d{{4}})", 3, 1, 2, True),
+            parts(rf"(\d{{1,2}}) (?:of )?({MONTH})\.? (\d{{4}})", 3, 2, 1, True),
+            parts(rf"({MONTH})\.? (\d{{4}})", 2, 1, None, True),
+            parts(rf"({MONTH})\.? (\d{{1,2}})", None, 1, 2, True),
+            parts(rf"(\d{{1,2}}) (?:of )?({MONTH})\.?", None, 2, 1, True),
+            parts(rf"({MONTH})\.?", None, 1, None, True),
+            parts(r"(\d{4})", 1, None, None, False),
+        )
+
+    return _let(F.trim(F.regexp_replace(F.regexp_replace(s, rf"t?{TIME}", ""), r"[-,]+$", "")), read)
+
+
+def _relative(s: Column, ref: Column) -> Column:
+    """The reference moment moved by words such as "yesterday", "3 days ago" or "in a week"."""
+    phrase = rf"^(?:in )?(\d+|an?) ({UNIT})s?(?: ago)?$"
+    number, unit = F.regexp_extract(s, phrase, 1), F.regexp_extract(s, phrase, 2)
+    count = F.when(number.isin("a", "an"), F.lit(1)).otherwise(_int(number))
     count = F.when(s.endswith("ago"), -count).when(s.startswith("in "), count)
-    unit = F.regexp_extract(s, rf"^(?:in )?(?:\d+|an?) ({UNIT})s?(?: ago)?$", 1)
     days = F.when(s.isin("today", "now"), 0).when(s == "yesterday", -1).when(s == "tomorrow", 1)
     days = F.coalesce(days, F.when(unit == "day", count), F.when(unit == "week", count * 7))
-    seconds = (
-        F.when(unit == "second", count).when(unit == "minute", count * 60).when(unit == "hour", count * 3600)
-    )
+    seconds = F.when(unit == "second", count).when(unit == "minute", count * 60).when(unit == "hour", count * 3600)
     months = F.when(unit == "month", count).when(unit == "year", count * 12)
-    relative = F.coalesce(
+    return F.coalesce(
         ref + F.make_dt_interval(days=days),
         ref + F.make_dt_interval(secs=seconds.cast("decimal(18,6)")),
         ref + F.make_ym_interval(months=months),
     )
 
-    return F.coalesce(
-        instant,
-        parts(r"(\d{4})-(\d{1,2})-(\d{1,2})", 1, 2, 3, False),
-        parts(r"(\d{1,2})[/.-](\d{1,2})[/.-](\d{4}|\d{2})", 3, 1, 2, False),
-        parts(rf"({MONTH})\.? (\d{{1,2}}) (\d{{4}})", 3, 1, 2, True),
-        parts(rf"(\d{{1,2}}) (?:of )?({MONTH})\.? (\d{{4}})", 3, 2, 1, True),
-        parts(rf"({MONTH})\.? (\d{{4}})", 2, 1, None, True),
-        parts(rf"({MONTH})\.? (\d{{1,2}})", None, 1, 2, True),
-        parts(rf"(\d{{1,2}}) (?:of )?({MONTH})\.?", None, 2, 1, True),
-        parts(rf"({MONTH})\.?", None, 1, None, True),
-        parts(r"(\d{4})", 1, None, None, False),
-        relative,
-    )
+
+def parse_wall_time(c: Column | str, base: Column | dt.datetime | str | None = None) -> Column:
+    """Eastern wall time (timestamp without zone) of one date phrase, NULL if it is none."""
+    ref = base_column(base)
+    return _let(_plain(c), lambda s: F.coalesce(_instant(s), _calendar(s, ref), _relative(s, ref)))
 
 
 def eastern_iso(wall: Column) -> Column:
@@ -154,7 +162,7 @@ def parse_date(
     c: Column | str, base: Column | dt.datetime | str | None = None, strict: bool = False
 ) -> Column:
     """ISO text of one date phrase. Text that is no date gives NULL, or an error in strict mode."""
-    iso = eastern_iso(parse_wall_time(c, base))
+    iso = _let(parse_wall_time(c, base), eastern_iso)
     if not strict:
         return iso
     return F.coalesce(iso, F.raise_error(F.concat(F.lit("not a date: "), F.coalesce(as_col(c), F.lit("NULL")))))

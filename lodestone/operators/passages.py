@@ -9,6 +9,7 @@ from .ranking import BROADCAST_ROWS, at_most, broadcast_if
 from ..functions.text import tokens
 
 ANCHOR_WORDS = 3
+ANCHOR_CHARS = 8
 
 
 def _shingles(words: Column, n: int) -> Column:
@@ -17,43 +18,56 @@ def _shingles(words: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.concat_ws(" ", F.slice(words, i, n)))
 
 
+def _char_grams(text: Column, n: int) -> Column:
+    """Every run of ``n`` characters."""
+    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1)))
+    return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
+
+
 def containing_chunks(passages: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(passage_id, chunk_id) for every chunk whose text contains the passage.
+    """(passage_id, chunk_id) for every chunk whose text contains the non-empty passage.
 
     A chunk that contains a passage holds the passage's inner tokens as whole neighbouring tokens, so an equality
     join on an inner run of three tokens finds all candidates and the text test confirms them. Passages with fewer
-    than three inner tokens are matched on one inner token; those with none can sit inside a single token and are
-    tested against the distinct tokens and token pairs of the corpus by ``contains``.
+    than three inner tokens are matched on one inner token, and those with none on their first characters.
     """
     spread = passages.select("passage_id", "passage", tokens("passage").alias("_t")).withColumn(
-        "_inner", F.when(F.size("_t") > 2, F.slice("_t", F.lit(2), F.size("_t") - 2))
+        "_inner", F.when(F.size("_t") > 2, F.slice("_t", F.lit(2), F.size("_t") - 2)).otherwise(
+            F.array().cast("array<string>"))
     )
-    long = spread.filter(F.size("_inner") >= ANCHOR_WORDS).withColumn(
-        "anchor", F.concat_ws(" ", F.slice("_inner", 1, ANCHOR_WORDS))
+    inner = F.size("_inner")
+    anchored = spread.filter(F.length("passage") > 0).select(
+        "passage_id", "passage",
+        F.when(inner >= ANCHOR_WORDS, ANCHOR_WORDS).when(inner > 0, 1).otherwise(0).alias("n_words"),
+        F.when(inner >= ANCHOR_WORDS, F.concat_ws(" ", F.slice("_inner", 1, ANCHOR_WORDS)))
+        .when(inner > 0, F.get("_inner", F.lit(0)))
+        .otherwise(F.substring("passage", 1, ANCHOR_CHARS)).alias("anchor"),
     )
-    short = spread.filter((F.size("_inner") > 0) & (F.size("_inner") < ANCHOR_WORDS)).withColumn(
-        "anchor", F.get("_inner", F.lit(0))
-    )
-    tiny = spread.filter(F.size("_t") <= 2)
     small = at_most(passages, BROADCAST_ROWS)
-    words = chunks.select("chunk_id", tokens("text_content").alias("_w"))
+    text = F.col("text_content")
 
-    def candidates(side: DataFrame, n: int) -> DataFrame:
-        anchors = words.select("chunk_id", F.explode(F.array_distinct(_shingles(F.col("_w"), n))).alias("anchor"))
-        keyed = broadcast_if(side.select("passage_id", "anchor"), small)
-        return anchors.join(keyed, "anchor").select("passage_id", "chunk_id")
+    def find(side: DataFrame, grams: Column) -> DataFrame:
+        keyed = broadcast_if(side.select("passage_id", "passage", "anchor"), small)
+        if small:
+            # The text rides along each candidate and is tested in the same task; nothing is shuffled.
+            rows = chunks.select("chunk_id", "text_content", F.explode(F.array_distinct(grams)).alias("anchor"))
+            hits = rows.join(keyed, "anchor")
+        else:
+            rows = chunks.select("chunk_id", F.explode(F.array_distinct(grams)).alias("anchor"))
+            pairs = rows.join(keyed.drop("passage"), "anchor").select("passage_id", "chunk_id")
+            hits = pairs.join(chunks, "chunk_id").join(passages, "passage_id")
+        return hits.filter(F.contains(text, F.col("passage"))).select("passage_id", "chunk_id")
 
-    found = candidates(long, ANCHOR_WORDS)
-    if not short.isEmpty():
-        found = found.unionByName(candidates(short, 1))
-    if not tiny.isEmpty():
-        raise ValueError("a passage needs at least three tokens to be located")
-    texts = chunks.select("chunk_id", "text_content").join(broadcast_if(found, False), "chunk_id")
-    return (
-        texts.join(broadcast_if(passages.select("passage_id", "passage"), small), "passage_id")
-        .filter(F.contains("text_content", "passage"))
-        .select("passage_id", "chunk_id")
-    )
+    # At most two word sizes and ANCHOR_CHARS character sizes come back here.
+    sizes = anchored.select("n_words", F.when(F.col("n_words") == 0, F.length("anchor")).alias("n_chars")).distinct()
+    found = passages.select("passage_id", F.lit(None).cast("bigint").alias("chunk_id")).limit(0)
+    for n_words, n_chars in sizes.collect():
+        side = anchored.filter(F.col("n_words") == n_words)
+        if n_words:
+            found = found.unionByName(find(side, _shingles(tokens(text), n_words)))
+        else:
+            found = found.unionByName(find(side.filter(F.length("anchor") == n_chars), _char_grams(text, n_chars)))
+    return found
 
 
 def gold_chunks(questions: DataFrame, chunks: DataFrame) -> DataFrame:

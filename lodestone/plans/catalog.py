@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog_sparse
+from . import catalog_dense, catalog_sparse, catalog_text
 
-PARTS = [catalog_sparse]
+PARTS = [catalog_sparse, catalog_dense, catalog_text]
 
 
 def queries() -> dict:
