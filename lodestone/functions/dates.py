@@ -46,15 +46,13 @@ def _month(c: Column) -> Column:
 
 def _moment(year: Column, month: Column, day: Column, clock: Column) -> Column:
     """Wall time of the parts; the clock text may hold ``h:mm[:ss] [am|pm]``. NULL for impossible dates."""
-    hour, half = _int(F.regexp_extract(clock, TIME, 1)), F.regexp_extract(clock, TIME, 4)
+    field = lambda i: F.when(F.contains(clock, F.lit(":")), F.regexp_extract(clock, TIME, i))
+    hour, half = _int(field(1)), field(4)
     hour = F.when(half == "p", hour % 12 + 12).when(half == "a", hour % 12).otherwise(hour)
+    zero = F.lit(0)
+    seconds = F.coalesce(_int(field(3)), zero).cast("decimal(16,6)")
     return F.try_make_timestamp_ntz(
-        year,
-        month,
-        day,
-        F.coalesce(hour, F.lit(0)),
-        F.coalesce(_int(F.regexp_extract(clock, TIME, 2)), F.lit(0)),
-        F.coalesce(_int(F.regexp_extract(clock, TIME, 3)), F.lit(0)).cast("decimal(16,6)"),
+        year, month, day, F.coalesce(hour, zero), F.coalesce(_int(field(2)), zero), seconds
     )
 
 
