@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import as_col, normalize_ws
+from .text import as_col, let, normalize_ws
 
 # Fixed values
 ZONE = "America/New_York"
@@ -67,11 +66,6 @@ def base_column(base: Column | dt.datetime | str | None) -> Column:
     return base.cast("timestamp_ntz")
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, where a plain expression would repeat it at every use."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _plain(c: Column | str) -> Column:
     """Lower case, without ordinal endings, weekdays, filler words, zone names and commas."""
     s = F.regexp_replace(F.lower(normalize_ws(c)), r"(\d)(?:st|nd|rd|th)\b", "$1")
@@ -117,7 +111,7 @@ def _calendar(s: Column, ref: Column) -> Column:
             parts(r"(\d{4})", 1, None, None, False),
         )
 
-    return _let(F.trim(F.regexp_replace(F.regexp_replace(s, rf"t?{TIME}", ""), r"[-,]+$", "")), read)
+    return let(F.trim(F.regexp_replace(F.regexp_replace(s, rf"t?{TIME}", ""), r"[-,]+$", "")), read)
 
 
 def _relative(s: Column, ref: Column) -> Column:
@@ -140,7 +134,7 @@ def _relative(s: Column, ref: Column) -> Column:
 def parse_wall_time(c: Column | str, base: Column | dt.datetime | str | None = None) -> Column:
     """Eastern wall time (timestamp without zone) of one date phrase, NULL if it is none."""
     ref = base_column(base)
-    return _let(_plain(c), lambda s: F.coalesce(_instant(s), _calendar(s, ref), _relative(s, ref)))
+    return let(_plain(c), lambda s: F.coalesce(_instant(s), _calendar(s, ref), _relative(s, ref)))
 
 
 def eastern_iso(wall: Column) -> Column:
@@ -160,7 +154,7 @@ def parse_date(
     c: Column | str, base: Column | dt.datetime | str | None = None, strict: bool = False
 ) -> Column:
     """ISO text of one date phrase. Text that is no date gives NULL, or an error in strict mode."""
-    iso = _let(parse_wall_time(c, base), eastern_iso)
+    iso = let(parse_wall_time(c, base), eastern_iso)
     if not strict:
         return iso
     return F.coalesce(iso, F.raise_error(F.concat(F.lit("not a date: "), F.coalesce(as_col(c), F.lit("NULL")))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from string import Formatter
 
 from pyspark.sql import Column
@@ -18,6 +19,29 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, where a plain expression would repeat it at every use.
+
+    Above all for values used inside the lambdas of array functions, which would compute them for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def run_counts(values: Column, value: str, count: str) -> Column:
+    """Array of (value, count) structs, one per distinct value of an array, in value order.
+
+    Counts inside the row, from the places where a new value starts in the sorted array; nothing is shuffled.
+    """
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda _, i: i), lambda i: ~F.get(s, i).eqNullSafe(F.get(s, i - 1)))
+        return let(starts, lambda at: F.transform(at, lambda i, n: F.struct(
+            F.get(s, i).alias(value), (F.coalesce(F.get(at, n + 1), F.size(s)) - i).cast("bigint").alias(count)
+        )))
+
+    return let(F.sort_array(values), runs)
+
+
 def strip(c: Column | str) -> Column:
     """Remove white space of any kind at both ends (SQL ``trim`` removes spaces only)."""
     return F.regexp_replace(as_col(c), f"^{WS}|{WS}$", "")
@@ -117,10 +141,12 @@ def last_section(c: Column | str, marker: str = "<answer>") -> Column:
 
 def parse_qa_pairs(c: Column | str) -> Column:
     """Struct of ``questions`` and ``answers``: lines that start with ``Q:`` or ``A:``, markers removed."""
-    lines = F.transform(F.split(as_col(c), "\n"), strip)
 
-    def marked(marker: str) -> Column:
+    def marked(lines: Column, marker: str) -> Column:
         kept = F.filter(lines, lambda line: F.startswith(line, F.lit(marker)))
         return F.transform(kept, lambda line: strip(F.replace(line, F.lit(marker), F.lit(""))))
 
-    return F.struct(marked("Q:").alias("questions"), marked("A:").alias("answers"))
+    return let(
+        F.transform(F.split(as_col(c), "\n"), strip),
+        lambda lines: F.struct(marked(lines, "Q:").alias("questions"), marked(lines, "A:").alias("answers")),
+    )

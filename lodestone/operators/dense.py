@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .ranking import at_most, hash_order, top_k
 from ..config import IndexConfig
-from ..functions.text import words
+from ..functions.text import let, run_counts, words
 from ..session import stored
 
 DIGITS = 6
@@ -38,30 +38,35 @@ def hash_bucket(token: Column, dim: int) -> Column:
     return F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint") % dim
 
 
+def _buckets(text: str, dim: int) -> Column:
+    """(bucket, n) counts of the hashed words of a text, as an array inside the row."""
+    hashed = F.transform(words(text), lambda t: hash_bucket(t, dim).cast("int"))
+    return run_counts(hashed, "bucket", "n")
+
+
+def _length(counts: Column) -> Column:
+    return F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, b: s + b["n"] * b["n"]))
+
+
 def hashed_weights(df: DataFrame, key: str, text: str, dim: int) -> DataFrame:
     """(key, bucket, weight): hashed word counts of unit length, the model-free encoder, in long form."""
-    counts = (
-        df.select(key, text)
-        .repartition(key)
-        .select(key, F.explode(words(text)).alias("_token"))
-        .groupBy(key, hash_bucket(F.col("_token"), dim).cast("int").alias("bucket"))
-        .agg(F.count("*").cast("double").alias("n"))
-    )
-    per_key = counts.groupBy(key).agg(
-        F.collect_list(F.struct("bucket", "n")).alias("_b"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("_len")
-    )
-    return per_key.select(key, "_len", F.inline("_b")).select(key, "bucket", (F.col("n") / F.col("_len")).alias("weight"))
+    unit = lambda counts: let(_length(counts), lambda length: F.transform(
+        counts, lambda b: F.struct(b["bucket"].alias("bucket"), (b["n"] / length).alias("weight"))
+    ))
+    return df.select(key, F.inline(let(_buckets(text, dim), unit)))
 
 
 def hashed_vectors(df: DataFrame, key: str, text: str, dim: int) -> DataFrame:
-    """(key, embedding) with the hashed vectors as arrays; text without words has the zero vector."""
-    weights = hashed_weights(df, key, text, dim)
-    sparse = weights.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("_m"))
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0)),
-    )
-    return df.select(key).join(sparse, key, "left").select(key, dense.alias("embedding"))
+    """(key, embedding) with the hashed vectors as arrays; text without words has the zero vector. No shuffle."""
+
+    def spread(counts: Column) -> Column:
+        by_bucket = F.map_from_entries(counts)
+        return let(by_bucket, lambda m: let(_length(counts), lambda length: F.transform(
+            F.sequence(F.lit(0), F.lit(dim - 1)),
+            lambda i: F.coalesce(F.try_element_at(m, i) / F.nullif(length, F.lit(0.0)), F.lit(0.0)),
+        )))
+
+    return df.select(key, let(_buckets(text, dim), spread).alias("embedding"))
 
 
 # ---- block kernel ----------------------------------------------------------------------------------------------

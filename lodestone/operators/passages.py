@@ -6,18 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranking import BROADCAST_ROWS, at_most, broadcast_if
-from ..functions.text import tokens
+from ..functions.text import WS
 
-ANCHOR_WORDS = 3
 ANCHOR_CHARS = 8
 
 
-def _shingles(words: Column, n: int) -> Column:
-    """Every run of ``n`` neighbouring tokens."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1)))
-    return F.transform(starts, lambda i: F.concat_ws(" ", F.slice(words, i, n)))
-
-
 def _char_grams(text: Column, n: int) -> Column:
     """Every run of ``n`` characters."""
     starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1)))
@@ -27,21 +20,16 @@ def _char_grams(text: Column, n: int) -> Column:
 def containing_chunks(passages: DataFrame, chunks: DataFrame) -> DataFrame:
     """(passage_id, chunk_id) for every chunk whose text contains the non-empty passage.
 
-    A chunk that contains a passage holds the passage's inner tokens as whole neighbouring tokens, so an equality
-    join on an inner run of three tokens finds all candidates and the text test confirms them. Passages with fewer
-    than three inner tokens are matched on one inner token, and those with none on their first characters.
+    A chunk that contains a passage holds the passage's inner tokens, those between two white spaces, as whole tokens.
+    An equality join on the longest of them (long tokens are rare) finds all candidates, at most one per passage and
+    chunk, and the text test confirms them. Passages without an inner token are matched on their first characters.
     """
-    spread = passages.select("passage_id", "passage", tokens("passage").alias("_t")).withColumn(
-        "_inner", F.when(F.size("_t") > 2, F.slice("_t", F.lit(2), F.size("_t") - 2)).otherwise(
-            F.array().cast("array<string>"))
-    )
-    inner = F.size("_inner")
-    anchored = spread.filter(F.length("passage") > 0).select(
-        "passage_id", "passage",
-        F.when(inner >= ANCHOR_WORDS, ANCHOR_WORDS).when(inner > 0, 1).otherwise(0).alias("n_words"),
-        F.when(inner >= ANCHOR_WORDS, F.concat_ws(" ", F.slice("_inner", 1, ANCHOR_WORDS)))
-        .when(inner > 0, F.get("_inner", F.lit(0)))
-        .otherwise(F.substring("passage", 1, ANCHOR_CHARS)).alias("anchor"),
+    pieces = F.split("passage", WS)
+    inner = F.filter(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(0))), lambda t: F.length(t) > 0)
+    longest = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    anchored = passages.filter(F.length("passage") > 0).select(
+        "passage_id", "passage", F.coalesce(longest, F.substring("passage", 1, ANCHOR_CHARS)).alias("anchor"),
+        F.when(longest.isNull(), F.least(F.length("passage"), F.lit(ANCHOR_CHARS))).alias("n_chars"),
     )
     small = at_most(passages, BROADCAST_ROWS)
     text = F.col("text_content")
@@ -50,23 +38,17 @@ def containing_chunks(passages: DataFrame, chunks: DataFrame) -> DataFrame:
         keyed = broadcast_if(side.select("passage_id", "passage", "anchor"), small)
         if small:
             # The text rides along each candidate and is tested in the same task; nothing is shuffled.
-            rows = chunks.select("chunk_id", "text_content", F.explode(F.array_distinct(grams)).alias("anchor"))
-            hits = rows.join(keyed, "anchor")
+            hits = chunks.select("chunk_id", text, F.explode(F.array_distinct(grams)).alias("anchor")).join(keyed, "anchor")
         else:
             rows = chunks.select("chunk_id", F.explode(F.array_distinct(grams)).alias("anchor"))
             pairs = rows.join(keyed.drop("passage"), "anchor").select("passage_id", "chunk_id")
-            hits = pairs.join(chunks, "chunk_id").join(passages, "passage_id")
+            hits = pairs.join(chunks.select("chunk_id", text), "chunk_id").join(passages, "passage_id")
         return hits.filter(F.contains(text, F.col("passage"))).select("passage_id", "chunk_id")
 
-    # At most two word sizes and ANCHOR_CHARS character sizes come back here.
-    sizes = anchored.select("n_words", F.when(F.col("n_words") == 0, F.length("anchor")).alias("n_chars")).distinct()
-    found = passages.select("passage_id", F.lit(None).cast("bigint").alias("chunk_id")).limit(0)
-    for n_words, n_chars in sizes.collect():
-        side = anchored.filter(F.col("n_words") == n_words)
-        if n_words:
-            found = found.unionByName(find(side, _shingles(tokens(text), n_words)))
-        else:
-            found = found.unionByName(find(side.filter(F.length("anchor") == n_chars), _char_grams(text, n_chars)))
+    found = find(anchored.filter(F.col("n_chars").isNull()), F.split(text, WS))
+    # At most ANCHOR_CHARS sizes come back here.
+    for (n,) in anchored.select("n_chars").filter(F.col("n_chars").isNotNull()).distinct().collect():
+        found = found.unionByName(find(anchored.filter(F.col("n_chars") == n), _char_grams(text, n)))
     return found
 
 

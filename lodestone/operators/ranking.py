@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 # A side is broadcast by hand only if a bounded probe found at most this many rows.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
@@ -15,6 +16,12 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.select(F.lit(1)).limit(rows + 1).count() <= rows
 
 
+def fits(table: DataFrame, text: str, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a stored table of one text column and a few numbers is within ``limit`` bytes."""
+    size = table.agg(F.sum(F.octet_length(text) + 48)).head()[0]
+    return (size or 0) <= limit
+
+
 def broadcast_if(df: DataFrame, small: bool) -> DataFrame:
     """Broadcast hint if the caller has checked the size, else leave the join to Spark."""
     return F.broadcast(df) if small else df

@@ -11,7 +11,7 @@ from .ranking import top_k
 from .sparse import SparseIndex
 from ..config import SUMMARY_SENTENCES
 from ..functions import prompts
-from ..functions.text import parse_expansion, parse_summary, render, sentences, words
+from ..functions.text import let, parse_expansion, parse_summary, render, sentences, words
 
 
 def fuse(sparse: DataFrame, dense: DataFrame, dedup: bool = False) -> DataFrame:
@@ -92,14 +92,18 @@ def expand_with_feedback(questions: DataFrame, first_pass: DataFrame, index: Spa
 
 def extract_summary(question: Column, text: Column, n: int = SUMMARY_SENTENCES) -> Column:
     """The ``n`` sentences that share most words with the question, in text order; none shared gives ''."""
-    asked = F.array_distinct(words(question))
-    scored = F.transform(
-        sentences(text),
-        lambda s, i: F.struct((-F.size(F.array_intersect(asked, words(s)))).alias("miss"), i.alias("at"), s.alias("text")),
-    )
-    best = F.slice(F.array_sort(F.filter(scored, lambda s: s["miss"] < 0)), 1, n)
-    in_order = F.array_sort(F.transform(best, lambda s: F.struct(s["at"].alias("at"), s["text"].alias("text"))))
-    return F.array_join(F.transform(in_order, lambda s: s["text"]), " ")
+    def pick(asked: Column) -> Column:
+        scored = F.transform(
+            sentences(text),
+            lambda s, i: F.struct(
+                (-F.size(F.array_intersect(asked, words(s)))).alias("miss"), i.alias("at"), s.alias("text")
+            ),
+        )
+        best = F.slice(F.array_sort(F.filter(scored, lambda s: s["miss"] < 0)), 1, n)
+        in_order = F.array_sort(F.transform(best, lambda s: F.struct(s["at"].alias("at"), s["text"].alias("text"))))
+        return F.array_join(F.transform(in_order, lambda s: s["text"]), " ")
+
+    return let(F.array_distinct(words(question)), pick)
 
 
 def summarize(

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .ranking import BROADCAST_ROWS, at_most, broadcast_if, top_k
-from ..functions.text import as_col, clean_terms
+from .ranking import BROADCAST_ROWS, at_most, broadcast_if, fits, top_k
+from ..functions.text import as_col, clean_terms, run_counts
 from ..functions.dates import date_term
 from ..session import stored
 
@@ -53,14 +53,8 @@ def query_terms(entities: Column | str, dates: Column | str, keep_empty_term: bo
 
 
 def term_counts(df: DataFrame, key: str, terms: str = "terms") -> DataFrame:
-    """(key, term, tf). Rows are spread by the key first, so counting needs no second shuffle of the terms."""
-    return (
-        df.select(key, terms)
-        .repartition(key)
-        .select(key, F.explode(terms).alias("term"))
-        .groupBy(key, "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    """(key, term, tf). Each row counts its own terms, so there is no shuffle."""
+    return df.select(key, F.inline(run_counts(F.col(terms), "term", "tf")))
 
 
 def smoothed_idf(df: Column, n: Column) -> Column:
@@ -114,7 +108,7 @@ def fit(documents: DataFrame, store: bool = True) -> SparseIndex:
     small = False
     if store:
         vocabulary = stored(vocabulary, "vocabulary")
-        small = at_most(vocabulary, BROADCAST_ROWS)
+        small = fits(vocabulary, "term")
     return SparseIndex(vocabulary, postings, build_norms(postings, vocabulary, small))
 
 

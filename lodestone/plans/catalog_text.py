@@ -38,7 +38,7 @@ def ws(expression: str) -> str:
 
 @r.query(f"SELECT doc_id, {ws('text')} AS text FROM documents")
 def whitespace_normalize(spark, sf_dir):
-    return tables.table(spark, sf_dir, "documents").select("doc_id", text.normalize_ws("text").alias("text"))
+    return tables.documents(spark, sf_dir).select("doc_id", text.normalize_ws("text").alias("text"))
 
 
 @r.query(f"""
@@ -47,7 +47,7 @@ def whitespace_normalize(spark, sf_dir):
     FROM documents""")
 def term_cleaning(spark, sf_dir):
     lines = F.split("text", "\n")
-    return tables.table(spark, sf_dir, "documents").select("doc_id", text.clean_terms(lines).alias("terms"))
+    return tables.documents(spark, sf_dir).select("doc_id", text.clean_terms(lines).alias("terms"))
 
 
 r.fragments.add("qa", """
@@ -135,7 +135,7 @@ def date_terms(spark, sf_dir):
 def find_dates(spark, sf_dir):
     """Days found in documents into which the date of an order was written, in full and as month and year."""
     orders = tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderdate")
-    written = tables.table(spark, sf_dir, "documents").join(orders, "doc_id").select(
+    written = tables.documents(spark, sf_dir).join(orders, "doc_id").select(
         "doc_id",
         F.concat_ws(" ", "text", F.lit("signed"), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit("filed"),
                     F.date_format("o_orderdate", "MMM yyyy")).alias("text"),
@@ -152,7 +152,7 @@ def find_dates(spark, sf_dir):
     FROM (SELECT doc_id, w, unnest(range(0, (len(w) + 511) // 512)) AS p FROM (
         SELECT doc_id, list_filter(string_split({ws('text')}, ' '), lambda x: length(x) > 0) AS w FROM documents))""")
 def chunk_documents(spark, sf_dir):
-    return chunking.chunk(tables.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return chunking.chunk(tables.documents(spark, sf_dir))
 
 
 # ---- pairs and training sets -----------------------------------------------------------------------------------
@@ -250,7 +250,7 @@ def train_shuffle(spark, sf_dir):
     WHERE line_no >= 50 AND line_no < 150""")
 def line_slice(spark, sf_dir):
     """A range of lines in document order, the [start, end) argument of pair generation."""
-    documents = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = tables.documents(spark, sf_dir)
     numbered = running_number(documents, F.floor(F.col("doc_id") / trainset.LINES_PER_BUCKET), ["doc_id"], "line_no")
     return trainset.line_slice(numbered, 50, 150)
 
@@ -272,13 +272,13 @@ def scored_pairs(spark, sf_dir):
     )
 
 
-def sql_bags(name: str, tokens: str) -> None:
+def sql_bags(name: str, tokens: str, fragments=r.fragments, pairs: str = "scored_pairs") -> None:
     """Fragment ``name``: common, prediction and reference counts per pair for a token expression over {c}."""
-    r.fragments.add(f"{name}_tokens", f"""
-        SELECT pair_id, 1 AS side, unnest({tokens.format(c='prediction')}) AS token FROM scored_pairs
-        UNION ALL SELECT pair_id, 2, unnest({tokens.format(c='reference')}) FROM scored_pairs""")
-    r.fragments.add(f"{name}_bags", f"""
-        SELECT s.pair_id, coalesce(sum(least(p, r)), 0) AS m, coalesce(sum(p), 0) AS t, coalesce(sum(r), 0) AS n FROM scored_pairs s LEFT JOIN (
+    fragments.add(f"{name}_tokens", f"""
+        SELECT pair_id, 1 AS side, unnest({tokens.format(c='prediction')}) AS token FROM {pairs}
+        UNION ALL SELECT pair_id, 2, unnest({tokens.format(c='reference')}) FROM {pairs}""")
+    fragments.add(f"{name}_bags", f"""
+        SELECT s.pair_id, coalesce(sum(least(p, r)), 0) AS m, coalesce(sum(p), 0) AS t, coalesce(sum(r), 0) AS n FROM {pairs} s LEFT JOIN (
             SELECT pair_id, token, count(*) FILTER (side = 1) AS p, count(*) FILTER (side = 2) AS r
             FROM {name}_tokens GROUP BY ALL) USING (pair_id) GROUP BY s.pair_id""")
 
@@ -288,7 +288,8 @@ SQUAD = (
     + WS.replace("{", "{{").replace("}", "}}") + "', ' ', 'g')), ' '), lambda x: x NOT IN ('', 'a', 'an', 'the'))"
 )
 sql_bags("squad", SQUAD)
-sql_bags("rouge", "regexp_extract_all(lower({c}), '[a-z0-9]+')")
+ROUGE = "regexp_extract_all(lower({c}), '[a-z0-9]+')"
+sql_bags("rouge", ROUGE)
 
 
 @r.query(f"""
@@ -314,7 +315,8 @@ def sql_bleu_tokens() -> str:
     return f"list_filter(string_split(trim(regexp_replace({expression}, '" + WS.replace("{", "{{").replace("}", "}}") + "', ' ', 'g')), ' '), lambda x: x <> '')"
 
 
-sql_bags("bleu", sql_bleu_tokens())
+BLEU = sql_bleu_tokens()
+sql_bags("bleu", BLEU)
 
 
 @r.query("""

@@ -14,6 +14,9 @@ class Fragments:
     def add(self, name: str, body: str) -> None:
         self._bodies[name] = body
 
+    def include(self, other: "Fragments") -> None:
+        self._bodies = {**other._bodies, **self._bodies}
+
     def _needed(self, text: str, seen: list[str]) -> None:
         for name, body in self._bodies.items():
             if name not in seen and re.search(rf"\b{name}\b", text):

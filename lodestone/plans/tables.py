@@ -10,10 +10,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a scan over all cores, if the scan has fewer splits than that; a large scan is left where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    rows = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_name"), F.col("text").alias("text_content")
     )
+    return spread(rows, "chunk_id")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +38,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+    return spread(table(spark, sf_dir, "pages"), "page_id")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
