@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 ENTRY = "loc STRING, lastmod STRING"
 
 
 def _locations(spark: SparkSession, paths: str | list[str], row: str) -> DataFrame:
-    reader = spark.read.format("xml").option("rowTag", row).schema(ENTRY)
-    return reader.load(",".join([paths] if isinstance(paths, str) else paths)).filter(F.col("loc").isNotNull()).withColumn(
-        "loc", F.trim("loc")
-    )
+    entries = spark.read.format("xml").option("rowTag", row).schema(ENTRY).load(paths)
+    return entries.filter(F.col("loc").isNotNull()).withColumn("loc", strip("loc"))
 
 
 def read_urls(spark: SparkSession, paths: str | list[str]) -> DataFrame:
