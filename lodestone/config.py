@@ -31,6 +31,8 @@ class IndexConfig:
     pq_m: int = PQ_SUBVECTORS
     pq_bits: int = PQ_BITS
     rescore: int = 8
+    # Share of the vectors that k-means is trained on; every vector is indexed in any case.
+    train_share: float = 1.0
 
     def __post_init__(self) -> None:
         if self.index_type not in INDEX_TYPES:

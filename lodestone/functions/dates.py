@@ -91,12 +91,11 @@ def _calendar(s: Column, ref: Column) -> Column:
         def parts(pattern: str, year: int | None, month: int | None, dom: int | None, named: bool) -> Column:
             pattern = f"^{pattern}$"
             get = lambda i: F.regexp_extract(day, pattern, i)
-            y = F.year(ref) if year is None else _int(get(year))
-            if year is not None:
-                # Two-digit years: 69..99 are 19xx, 00..68 are 20xx.
-                y = F.when(y < 100, y + F.when(y >= 69, 1900).otherwise(2000)).otherwise(y)
             m = F.lit(12) if month is None else (_month(get(month)) if named else _int(get(month)))
             d = F.lit(1) if dom is None else _int(get(dom))
+            # Two-digit years: 69..99 are 19xx, 00..68 are 20xx.
+            full = lambda y: F.when(y < 69, y + 2000).when(y < 100, y + 1900).otherwise(y)
+            y = F.year(ref) if year is None else let(_int(get(year)), full)
             return F.when(day.rlike(pattern), _moment(y, m, d, s))
 
         return F.coalesce(

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import at_most, hash_order, top_k
+from .ranking import BROADCAST_ROWS, at_most, broadcast_if, hash_order, top_k
 from ..config import IndexConfig
 from ..functions.text import let, run_counts, words
 from ..session import stored
@@ -350,14 +350,17 @@ def decode_pq(codes: np.ndarray, codebooks: np.ndarray) -> np.ndarray:
     return np.concatenate([book[codes[:, i]] for i, book in enumerate(codebooks)], axis=1)
 
 
-def rescore(candidates: DataFrame, queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Exact distances of candidate pairs, then the best k. Only the candidates' vectors take part."""
+def rescore(candidates: DataFrame, queries: DataFrame, vectors: DataFrame, k: int, small: bool = False) -> DataFrame:
+    """Exact distances of candidate pairs, then the best k. Only the candidates' vectors take part.
+
+    ``small`` says that the caller has bounded the candidates; the vectors are then filtered where they lie.
+    """
     gap = F.aggregate(
         F.zip_with(F.col("q"), F.col("x"), lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)),
         F.lit(0.0), lambda s, d: s + d,
     )
     pairs = (
-        candidates.select("query_id", "chunk_id")
+        broadcast_if(candidates.select("query_id", "chunk_id"), small)
         .join(vectors.select("chunk_id", F.col("embedding").cast("array<double>").alias("x")), "chunk_id")
         .join(queries.select("query_id", F.col("embedding").cast("array<double>").alias("q")), "query_id")
     )
@@ -379,7 +382,9 @@ def search_pq(
     else:
         cell = lambda df: df.withColumn("cell", F.lit(0))
         found = _block_join(cell(queries), cell(codes), wide, exclude_self, "codes", lambda c: decode_pq(c, codebooks))
-    return rescore(found, queries, vectors, k) if rescore_factor else found
+    if not rescore_factor:
+        return found
+    return rescore(found, queries, vectors, k, sent is not None and len(sent[0]) * wide <= BROADCAST_ROWS)
 
 
 def search(
@@ -390,10 +395,10 @@ def search(
     if config.index_type == "exact":
         return search_exact(queries, vectors, k, exclude_self)
     if config.index_type == "hnsw":
-        centroids = fit_centroids(vectors, config.n_cells)[0]
+        centroids = fit_centroids(vectors, config.n_cells, train_share=config.train_share)[0]
         celled = assign_cells(vectors, centroids)
         return search_cells(queries, celled, centroids, k, config.n_probe, exclude_self)
-    codebooks = fit_centroids(vectors, 2 ** config.pq_bits, n_parts=config.pq_m)
+    codebooks = fit_centroids(vectors, 2 ** config.pq_bits, config.pq_m, train_share=config.train_share)
     codes = encode_pq(vectors, codebooks)
     return search_pq(queries, vectors, codes, codebooks, k, config.rescore, exclude_self)
 

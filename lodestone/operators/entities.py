@@ -26,7 +26,7 @@ def dictionary_matches(chunks: DataFrame, dictionary: DataFrame, max_words: int
         spelled = F.transform(starts, lambda i: F.concat_ws(" ", F.slice(F.col("_w"), i, n)))
         return F.coalesce(spelled, F.array().cast("array<string>"))
 
-    grams = tokens.select("chunk_id", F.explode(F.concat(*[runs(n) for n in range(1, max_words + 1)])).alias("entity"))
+    grams = tokens.select("chunk_id", F.explode_outer(F.concat(*[runs(n) for n in range(1, max_words + 1)])).alias("entity"))
     small = at_most(dictionary, BROADCAST_ROWS)
     return (
         grams.join(broadcast_if(dictionary.select("entity").distinct(), small), "entity")

@@ -33,14 +33,15 @@ def containing_chunks(passages: DataFrame, chunks: DataFrame) -> DataFrame:
     )
     small = at_most(passages, BROADCAST_ROWS)
     text = F.col("text_content")
+    # explode_outer, as a plain explode would split every text once more in a filter on the array's size.
 
     def find(side: DataFrame, grams: Column) -> DataFrame:
         keyed = broadcast_if(side.select("passage_id", "passage", "anchor"), small)
         if small:
             # The text rides along each candidate and is tested in the same task; nothing is shuffled.
-            hits = chunks.select("chunk_id", text, F.explode(F.array_distinct(grams)).alias("anchor")).join(keyed, "anchor")
+            hits = chunks.select("chunk_id", text, F.explode_outer(F.array_distinct(grams)).alias("anchor")).join(keyed, "anchor")
         else:
-            rows = chunks.select("chunk_id", F.explode(F.array_distinct(grams)).alias("anchor"))
+            rows = chunks.select("chunk_id", F.explode_outer(F.array_distinct(grams)).alias("anchor"))
             pairs = rows.join(keyed.drop("passage"), "anchor").select("passage_id", "chunk_id")
             hits = pairs.join(chunks.select("chunk_id", text), "chunk_id").join(passages, "passage_id")
         return hits.filter(F.contains(text, F.col("passage"))).select("passage_id", "chunk_id")

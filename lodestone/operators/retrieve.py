@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import infer
-from .ranking import top_k
+from .ranking import broadcast_if, top_k
 from .sparse import SparseIndex
 from ..config import SUMMARY_SENTENCES
 from ..functions import prompts
@@ -73,12 +73,16 @@ def expand_with_model(
     return said.withColumn("expanded", F.concat("question", F.lit("\n"), paragraph)).drop("_prompt", "_echo")
 
 
-def expand_with_feedback(questions: DataFrame, first_pass: DataFrame, index: SparseIndex, n_terms: int = 5) -> DataFrame:
+def expand_with_feedback(
+    questions: DataFrame, first_pass: DataFrame, index: SparseIndex, n_terms: int = 5, small: bool = False
+) -> DataFrame:
     """Add ``expanded``: the question and the heaviest terms (summed tf·idf) of the chunks a first pass found.
 
-    Only the chunks of the first pass take part; the postings of all others are dropped by the join.
+    Only the chunks of the first pass take part; the postings of all others are dropped by the join, where they lie if
+    the caller has bounded the first pass (``small``).
     """
-    weighted = index.postings.join(first_pass.select("question_id", "chunk_id"), "chunk_id").join(
+    found = broadcast_if(first_pass.select("question_id", "chunk_id"), small)
+    weighted = index.postings.join(found, "chunk_id").join(
         index.vocabulary.select("term", "idf"), "term"
     )
     sums = weighted.groupBy("question_id", "term").agg(F.round(F.sum(F.col("tf") * F.col("idf")), 6).alias("_w"))

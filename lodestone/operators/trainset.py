@@ -6,13 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import infer
-from .ranking import hash_order, running_number
+from .ranking import global_number, hash_order, running_number
 from ..config import SPLIT_SEED, TEST_SHARE
 from ..functions import prompts
 from ..functions.text import last_section, parse_qa_pairs, render
 
-LINES_PER_BUCKET = 4_096
-
 
 def line_slice(df: DataFrame, start: int, end: int, line: str = "line_no") -> DataFrame:
     """Rows whose line number is in [start, end)."""
@@ -38,20 +36,20 @@ def with_qa(df: DataFrame, text: str) -> DataFrame:
     ).drop("_qa")
 
 
-def qa_pairs(entries: DataFrame, keep: list[str], line: str = "line_no") -> DataFrame:
-    """One row per pair, with a running ``question_id`` from 1 in line order.
+def qa_pairs(entries: DataFrame, keep: list[str], order: list[str] | None = None) -> DataFrame:
+    """One row per pair, with a running ``question_id`` from 1 in the order of the entries (``line_no`` by default).
 
     Pairs are zipped to the shorter list; ``n_dropped`` tells what the longer list had too much.
     """
+    order = order or ["line_no"]
     n = F.least(F.size("questions"), F.size("answers"))
     zipped = F.arrays_zip(
         F.slice("questions", F.lit(1), n).alias("question"), F.slice("answers", F.lit(1), n).alias("gt_answer")
     )
     pairs = entries.withColumn("n_dropped", F.abs(F.size("questions") - F.size("answers"))).select(
-        *keep, *([] if line in keep else [line]), "n_dropped", F.posexplode(zipped).alias("_pos", "_qa")
+        *keep, *[c for c in order if c not in keep], "n_dropped", F.posexplode(zipped).alias("_pos", "_qa")
     )
-    numbered = running_number(pairs, F.floor(F.col(line) / LINES_PER_BUCKET), [line, "_pos"], "question_id")
-    return numbered.select(
+    return global_number(pairs, [*order, "_pos"], "question_id").select(
         *keep, (F.col("question_id") + 1).alias("question_id"), F.col("_qa.question").alias("question"),
         F.col("_qa.gt_answer").alias("gt_answer"), "n_dropped",
     )

@@ -11,6 +11,7 @@ from ..config import RetrievalConfig
 from ..functions import prompts
 from ..functions.text import words
 from ..operators import dense, metrics, retrieve, sparse
+from ..operators.ranking import BROADCAST_ROWS, at_most
 from ..session import stored, work_path
 from ..streaming import ingest
 
@@ -63,7 +64,8 @@ def both_channels(spark, sf_dir):
 
 def fused_pairs(spark, sf_dir):
     fused, index, questions = both_channels(spark, sf_dir)
-    passages = dense.fetch(fused.drop("channel"), index.chunks, small=True)
+    small = at_most(questions, BROADCAST_ROWS // (DENSE_K + SPARSE_K))
+    passages = dense.fetch(fused.drop("channel"), index.chunks, small)
     return passages.join(questions.select("question_id", "question"), "question_id")
 
 
@@ -110,7 +112,8 @@ def feedback_expansion(spark, sf_dir):
     index = sparse.fit(catalog_sparse.document_words(spark, sf_dir))
     first = sparse.search(index, catalog_sparse.question_words(spark, sf_dir), SPARSE_K)
     questions = tables.questions(spark, sf_dir)
-    return retrieve.expand_with_feedback(questions, first, index).select("question_id", "expanded")
+    small = at_most(questions, BROADCAST_ROWS // SPARSE_K)
+    return retrieve.expand_with_feedback(questions, first, index, small=small).select("question_id", "expanded")
 
 
 @r.query("SELECT item_id AS question_id, text || chr(10) || text AS expanded FROM benchmark")

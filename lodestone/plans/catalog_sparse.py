@@ -172,9 +172,12 @@ r.fragments.add("e_query", """
 r.fragments.add("dictionary", r"SELECT DISTINCT term AS entity FROM question_entities")
 r.fragments.add("doc_tokens", r"""
     SELECT doc_id AS chunk_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents""")
+r.fragments.add("doc_places", """
+    SELECT chunk_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM doc_tokens""")
 r.fragments.add("doc_grams", """
-    SELECT chunk_id, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS entity
-    FROM doc_tokens, (SELECT unnest([1, 2, 3]) AS n)""")
+    SELECT chunk_id, unnest([t, t || ' ' || t2, t || ' ' || t2 || ' ' || t3]) AS entity FROM (
+        SELECT chunk_id, t, lead(t, 1) OVER n AS t2, lead(t, 2) OVER n AS t3 FROM doc_places
+        WINDOW n AS (PARTITION BY chunk_id ORDER BY i))""")
 
 
 @r.query("SELECT chunk_id, entity, count(*) AS n_mentions FROM doc_grams JOIN dictionary USING (entity) GROUP BY ALL")

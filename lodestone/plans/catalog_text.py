@@ -8,7 +8,7 @@ from . import tables
 from .registry import Registry
 from ..functions import dates, prompts, text
 from ..operators import chunking, metrics, trainset
-from ..operators.ranking import running_number
+from ..operators.ranking import global_number
 
 r = Registry()
 WS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
@@ -117,7 +117,7 @@ def written_date(day, key):
            (date_diff('hour', o_orderdate::TIMESTAMP, timezone('UTC', timezone('America/New_York', o_orderdate::TIMESTAMP))))::VARCHAR || ':00' AS iso
     FROM orders""")
 def date_parse(spark, sf_dir):
-    orders = tables.table(spark, sf_dir, "orders")
+    orders = tables.spread(tables.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey")
     written = orders.select("o_orderkey", written_date(F.col("o_orderdate"), F.col("o_orderkey")).alias("written"))
     return written.select("o_orderkey", "written", dates.parse_date("written").alias("iso"))
 
@@ -157,35 +157,36 @@ def chunk_documents(spark, sf_dir):
 
 # ---- pairs and training sets -----------------------------------------------------------------------------------
 
-r.fragments.add("transcripts", f"""
-    SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'Q: ' WHEN 'assistant' THEN 'A: ' ELSE 'S: ' END || {ws('text')}, chr(10)
-           ORDER BY turn) AS said FROM conversations GROUP BY conv_id""")
+r.fragments.add("generated", f"""
+    SELECT conv_id, turn, 'intro <answer> Q: ' || {ws('question')} || chr(10) || 'A: ' || {ws('answer')} ||
+           CASE WHEN turn % 4 = 0 THEN chr(10) || 'Q: and then? A: same line' ELSE '' END AS said FROM qa""")
 r.fragments.add("parsed", """
-    SELECT conv_id, list_transform(list_filter(lines, lambda x: starts_with(x, 'Q:')), lambda x: trim(replace(x, 'Q:', ''))) AS questions,
+    SELECT conv_id, turn, list_transform(list_filter(lines, lambda x: starts_with(x, 'Q:')), lambda x: trim(replace(x, 'Q:', ''))) AS questions,
            list_transform(list_filter(lines, lambda x: starts_with(x, 'A:')), lambda x: trim(replace(x, 'A:', ''))) AS answers
-    FROM (SELECT conv_id, string_split(said, chr(10)) AS lines FROM transcripts)""")
+    FROM (SELECT conv_id, turn, list_transform(string_split(string_split(said, '<answer>')[-1], chr(10)), lambda x: trim(x)) AS lines FROM generated)""")
 r.fragments.add("numbered_pairs", """
-    SELECT conv_id, row_number() OVER (ORDER BY conv_id, p) AS question_id, questions[p] AS question, answers[p] AS gt_answer,
+    SELECT conv_id, row_number() OVER (ORDER BY conv_id, turn, p) AS question_id, questions[p] AS question, answers[p] AS gt_answer,
            abs(len(questions) - len(answers)) AS n_dropped
     FROM (SELECT *, unnest(range(1, least(len(questions), len(answers)) + 1)) AS p FROM parsed)""")
 
 
-def transcripts(spark, sf_dir):
-    """One generated-looking text per conversation: turns as Q: and A: lines."""
-    mark = F.when(F.col("role") == "user", "Q: ").when(F.col("role") == "assistant", "A: ").otherwise("S: ")
-    line = F.struct("turn", F.concat(mark, text.normalize_ws("text")).alias("line"))
-    said = tables.turns(spark, sf_dir).groupBy("conv_id").agg(F.sort_array(F.collect_list(line)).alias("_l"))
-    return said.select("conv_id", F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("said"))
+def generated(spark, sf_dir):
+    """One text per question turn in the form a pair generator writes; some have a question too many."""
+    more = F.when(F.col("turn") % 4 == 0, "\nQ: and then? A: same line").otherwise("")
+    said = F.concat(
+        F.lit("intro <answer> Q: "), text.normalize_ws("question"), F.lit("\nA: "), text.normalize_ws("answer"), more
+    )
+    return tables.qa_pairs(spark, sf_dir).select("conv_id", "turn", said.alias("said"))
 
 
 def numbered_pairs(spark, sf_dir):
-    entries = trainset.with_qa(transcripts(spark, sf_dir), "said")
-    return trainset.qa_pairs(entries, ["conv_id"], line="conv_id")
+    entries = trainset.with_qa(generated(spark, sf_dir), "said")
+    return trainset.qa_pairs(entries, ["conv_id"], ["conv_id", "turn"])
 
 
-@r.query("SELECT conv_id, questions, answers FROM parsed")
+@r.query("SELECT conv_id, turn, questions, answers FROM parsed")
 def qa_lists_parse(spark, sf_dir):
-    return trainset.with_qa(transcripts(spark, sf_dir), "said").drop("said")
+    return trainset.with_qa(generated(spark, sf_dir), "said").drop("said")
 
 
 @r.query("SELECT * FROM numbered_pairs")
@@ -220,14 +221,15 @@ def train_format(spark, sf_dir):
 
 
 r.fragments.add("placed", """
-    SELECT conv_id, turn, row_number() OVER (ORDER BY md5(concat_ws(':', conv_id * 1000 + turn, 42)), conv_id * 1000 + turn) - 1 AS position,
+    SELECT conv_id, turn, row_number() OVER (ORDER BY md5(concat_ws(':', conv_id * 4294967296 + turn, 42)), conv_id * 4294967296 + turn) - 1 AS position,
            count(*) OVER () AS n FROM qa""")
 r.fragments.add("divided", """
     SELECT conv_id, turn, CASE WHEN position < ceil(n * 0.2) THEN 'test' ELSE 'train' END AS split FROM placed""")
 
 
 def pair_key():
-    return F.col("conv_id") * 1000 + F.col("turn")
+    """One number per turn: the conversation above 32 bits, the turn below."""
+    return F.shiftleft("conv_id", 32) + F.col("turn")
 
 
 @r.query("SELECT conv_id, turn, split FROM divided")
@@ -251,14 +253,14 @@ def train_shuffle(spark, sf_dir):
 def line_slice(spark, sf_dir):
     """A range of lines in document order, the [start, end) argument of pair generation."""
     documents = tables.documents(spark, sf_dir)
-    numbered = running_number(documents, F.floor(F.col("doc_id") / trainset.LINES_PER_BUCKET), ["doc_id"], "line_no")
-    return trainset.line_slice(numbered, 50, 150)
+    numbered = global_number(documents.select("doc_id"), ["doc_id"], "line_no")
+    return trainset.line_slice(numbered, 50, 150).join(documents, "doc_id")
 
 
 # ---- answer scores ---------------------------------------------------------------------------------------------
 
 r.fragments.add("scored_pairs", """
-    SELECT conv_id * 1000 + turn AS pair_id,
+    SELECT conv_id * 4294967296 + turn AS pair_id,
            CASE WHEN conv_id % 3 = 0 THEN 'The ' || answer || '!' ELSE question || ' ' || answer END AS prediction,
            answer AS reference FROM qa""")
 

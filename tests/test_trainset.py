@@ -51,6 +51,12 @@ def test_running_number_over_uneven_buckets(spark):
     assert all(r["v"] == r["n"] for r in got) and len(got) == 1000
 
 
+def test_global_number_with_a_frequent_key(spark):
+    df = spark.range(2000).select(F.when(F.col("id") < 1500, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    got = ranking.global_number(df.repartition(7), ["k", "v"], "n").collect()
+    assert len(got) == 2000 and all(r["n"] == r["v"] for r in got)
+
+
 def test_training_text(spark):
     qa = spark.createDataFrame([(1, 3, "who?", "me"), (2, 4, "no context", "x")], "question_id bigint, chunk_id bigint, question string, gt_answer string")
     chunks = spark.createDataFrame([(3, "ctx")], "chunk_id bigint, text_content string")
