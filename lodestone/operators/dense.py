@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import infer
 from .ranking import BROADCAST_ROWS, at_most, broadcast_if, hash_order, top_k
 from ..config import IndexConfig
 from ..functions.text import let, run_counts, words
@@ -69,6 +70,12 @@ def hashed_vectors(df: DataFrame, key: str, text: str, dim: int) -> DataFrame:
     return df.select(key, let(_buckets(text, dim), spread).alias("embedding"))
 
 
+def embed(df: DataFrame, key: str, text: str, encoder: infer.Factory, batch_size: int = 16) -> DataFrame:
+    """(key, embedding) by an injected encoder of text batches."""
+    rows = df.select(key, F.col(text).alias("_text"))
+    return infer.run(rows, encoder, "_text", "embedding", "array<float>", batch_size).drop("_text")
+
+
 # ---- block kernel ----------------------------------------------------------------------------------------------
 
 

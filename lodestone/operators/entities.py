@@ -1,12 +1,13 @@
-"""Entity terms without a model: capitalised phrases, or matches of a dictionary."""
+"""Entity terms: spans of an injected model, capitalised phrases, or matches of a dictionary."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import infer
 from .ranking import BROADCAST_ROWS, at_most, broadcast_if
-from ..functions.text import normalize_ws, words
+from ..functions.text import normalize_ws, strip, words
 
 # A run of capitalised words separated by single spaces.
 PHRASE = r"\p{Lu}\p{L}*(?: \p{Lu}\p{L}*)*"
@@ -17,6 +18,19 @@ def phrases(c: Column | str) -> Column:
     return F.transform(F.regexp_extract_all(normalize_ws(c), F.lit(PHRASE), F.lit(0)), F.lower)
 
 
+def find(
+    df: DataFrame, text: str, output: str, finder: infer.Factory | None = None, batch_size: int = 16
+) -> DataFrame:
+    """Add the array column ``output`` with the lower-cased, stripped entity spans of a text column.
+
+    ``finder`` is a model from texts to lists of spans; without one the capitalised phrases count.
+    """
+    if finder is None:
+        return df.withColumn(output, phrases(text))
+    found = infer.run(df, finder, text, output, "array<string>", batch_size)
+    return found.withColumn(output, F.transform(output, lambda span: F.lower(strip(span))))
+
+
 def dictionary_matches(chunks: DataFrame, dictionary: DataFrame, max_words: int = 3) -> DataFrame:
     """(chunk_id, entity, n_mentions) for every run of 1..max_words words that is an ``entity`` of the dictionary."""
     tokens = chunks.select("chunk_id", words("text_content").alias("_w"))

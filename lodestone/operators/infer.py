@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -31,13 +32,14 @@ def run(
     """``df`` plus the column ``output``, the model's result for the column(s) ``inputs``.
 
     One input column is passed as a list of values, several as a list of tuples. ``num_partitions`` spreads the rows
-    evenly first, for models that cost more than a shuffle. The model is built once per Python worker and ``key``.
+    evenly first, for models that cost more than a shuffle. The model is built once per Python worker for this call;
+    calls with the same ``key`` share it.
     """
     if isinstance(output_type, str):
         output_type = _parse_datatype_string(output_type)
     names = [inputs] if isinstance(inputs, str) else list(inputs)
     schema = StructType(df.schema.fields + [StructField(output, output_type)])
-    key = key or f"{factory.__module__}.{factory.__qualname__}"
+    key = key or uuid.uuid4().hex
     arrow_type = to_arrow_type(output_type)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

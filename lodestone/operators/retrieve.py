@@ -64,11 +64,12 @@ def rerank(
 
 
 def expand_with_model(
-    questions: DataFrame, generator: infer.Factory, template: str = prompts.EXPAND, batch_size: int = 16
+    questions: DataFrame, generator: infer.Factory, template: str = prompts.EXPAND, batch_size: int = 16,
+    key: str | None = None,
 ) -> DataFrame:
     """Add ``expanded``: the question, a line break and a generated paragraph that could answer it."""
     asked = questions.withColumn("_prompt", render(template, question="question"))
-    said = infer.run(asked, generator, "_prompt", "_echo", "string", batch_size)
+    said = infer.run(asked, generator, "_prompt", "_echo", "string", batch_size, key=key)
     paragraph = parse_expansion("_echo")["document"]
     return said.withColumn("expanded", F.concat("question", F.lit("\n"), paragraph)).drop("_prompt", "_echo")
 
@@ -111,14 +112,15 @@ def extract_summary(question: Column, text: Column, n: int = SUMMARY_SENTENCES)
 
 
 def summarize(
-    pairs: DataFrame, generator: infer.Factory | None = None, template: str = prompts.SUMMARY, batch_size: int = 16
+    pairs: DataFrame, generator: infer.Factory | None = None, template: str = prompts.SUMMARY, batch_size: int = 16,
+    key: str | None = None,
 ) -> DataFrame:
     """Replace ``text_content`` by a question-aware summary; the full text stays in ``original_text``."""
     kept = pairs.withColumn("original_text", F.col("text_content"))
     if generator is None:
         return kept.withColumn("text_content", extract_summary(F.col("question"), F.col("text_content")))
     asked = kept.withColumn("_prompt", render(template, question="question", context="text_content"))
-    said = infer.run(asked, generator, "_prompt", "_echo", "string", batch_size)
+    said = infer.run(asked, generator, "_prompt", "_echo", "string", batch_size, key=key)
     return said.withColumn("text_content", parse_summary("_echo")).drop("_prompt", "_echo")
 
 

@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MODES, METRIC_BATCH, RetrievalConfig
 from ..functions import prompts
+from ..functions.dates import date_terms
 from ..functions.text import normalize_ws, parse_answer, render
-from ..operators import dense, infer, metrics, retrieve, sparse
+from ..operators import dense, entities, infer, metrics, retrieve, sparse
 from ..operators.ranking import BROADCAST_ROWS, at_most
 
 
 @dataclass(frozen=True)
 class Models:
-    """Injected models. ``reader`` maps prompts to raw outputs; the others have native stand-ins when absent."""
+    """Injected models. ``reader`` maps prompts to raw outputs; the others have native stand-ins when absent.
+
+    Expansion and summaries share one generator per Python worker.
+    """
 
     reader: infer.Factory
     generator: infer.Factory | None = None
     scorer: infer.Factory | None = None
     encoder: infer.Factory | None = None
+    entity_finder: infer.Factory | None = None
     batch_size: int = METRIC_BATCH
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
 @dataclass(frozen=True)
@@ -46,8 +53,19 @@ def embed_questions(questions: DataFrame, column: str, corpus: Corpus, models: M
     if models.encoder is None:
         hashed = dense.hashed_vectors(questions, "question_id", column, corpus.dim)
         return hashed.withColumnRenamed("question_id", "query_id")
-    rows = questions.select(F.col("question_id").alias("query_id"), F.col(column).alias("_text"))
-    return infer.run(rows, models.encoder, "_text", "embedding", "array<float>", models.batch_size).drop("_text")
+    rows = questions.withColumnRenamed("question_id", "query_id")
+    return dense.embed(rows, "query_id", column, models.encoder, models.batch_size)
+
+
+def question_terms(questions: DataFrame, models: Models, base: object | None = None) -> DataFrame:
+    """``questions`` plus ``terms``, the entities and days that the sparse channel looks up.
+
+    Entities come from the injected finder, or are the capitalised phrases. ``base`` is the moment that relative date
+    words refer to.
+    """
+    found = entities.find(questions, "question", "_entities", models.entity_finder, models.batch_size)
+    terms = sparse.query_terms("_entities", date_terms("question", base))
+    return found.withColumn("terms", terms).drop("_entities")
 
 
 def dense_channel(questions: DataFrame, column: str, corpus: Corpus, models: Models, conf: RetrievalConfig) -> DataFrame:
@@ -73,7 +91,7 @@ def retrieve_chunks(questions: DataFrame, corpus: Corpus, models: Models, conf:
     if conf.hyde_enabled:
         if models.generator is None:
             raise ValueError("query expansion needs a generator")
-        asked = retrieve.expand_with_model(questions, models.generator, batch_size=models.batch_size)
+        asked = retrieve.expand_with_model(questions, models.generator, batch_size=models.batch_size, key=models.key)
         column = "expanded"
     ranked = dense_channel(asked, column, corpus, models, conf)
     width = conf.dense_k
@@ -93,7 +111,7 @@ def retrieve_chunks(questions: DataFrame, corpus: Corpus, models: Models, conf:
         pairs = retrieve.rerank(pairs, n=conf.rerank_k, scorer=models.scorer, query=shown, batch_size=models.batch_size)
     pairs = pairs.drop("score", "expanded")
     if conf.summary_enabled:
-        pairs = retrieve.summarize(pairs, models.generator, batch_size=models.batch_size)
+        pairs = retrieve.summarize(pairs, models.generator, batch_size=models.batch_size, key=models.key)
     return pairs
 
 

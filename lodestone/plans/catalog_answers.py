@@ -74,6 +74,20 @@ def fused_candidates(spark, sf_dir):
     return both_channels(spark, sf_dir)[0]
 
 
+@r.query(r"""
+    SELECT item_id AS question_id, list_concat(list_transform(regexp_extract_all(
+               regexp_replace(text, '[\s\x0b\x1c-\x1f\x85\p{Z}]+', ' ', 'g'), '\p{Lu}\p{L}*(?: \p{Lu}\p{L}*)*'), lambda x: lower(x)),
+               [strftime(o_orderdate, '%Y-%m-%d')]) AS terms
+    FROM benchmark JOIN orders ON o_orderkey = item_id""")
+def question_terms(spark, sf_dir):
+    """Entities and days of questions that name the date of an order."""
+    orders = tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("question_id"), "o_orderdate")
+    dated = tables.questions(spark, sf_dir).join(orders, "question_id").select(
+        "question_id", F.concat_ws(" ", "question", F.lit("(on"), F.date_format("o_orderdate", "M/d/yyyy"), F.lit(")")).alias("question")
+    )
+    return answering.question_terms(dated, MODELS).select("question_id", "terms")
+
+
 @r.query("""
     SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS rank, chunk_id, channel FROM (
         SELECT *, row_number() OVER (PARTITION BY question_id, chunk_id ORDER BY rank) AS n FROM fused) WHERE n = 1""")

@@ -49,6 +49,12 @@ def dense_topk_ivf(spark, sf_dir):
     return dense.search(*both_sides(spark, sf_dir), K, IndexConfig("hnsw", n_cells=16, n_probe=6), exclude_self=True)
 
 
+@r.query(NEAR)
+def dense_topk_all_cells(spark, sf_dir):
+    """The cell search with every cell probed, which must find exactly what the exact search finds."""
+    return dense.search(*both_sides(spark, sf_dir), K, IndexConfig("hnsw", n_cells=16, n_probe=16), exclude_self=True)
+
+
 @r.query()
 def dense_topk_pq(spark, sf_dir):
     return dense.search(*both_sides(spark, sf_dir), K, IndexConfig("hnsw_pq", pq_bits=6), exclude_self=True)

@@ -186,6 +186,30 @@ def test_validation_records_and_scores(questions, corpus):
     assert total["recall"] == 1.0 and total["mrr"] == 1.0
 
 
+def test_models_of_equal_names_stay_apart(spark):
+    def times(n):
+        def build():
+            return lambda batch: [n * b for b in batch]
+
+        return build
+
+    df = spark.createDataFrame([(i,) for i in range(8)], "v bigint")
+    for n in (2, 3, 5):
+        assert {r["v"]: r["w"] for r in infer.run(df, times(n), "v", "w", "bigint").collect()} == {i: n * i for i in range(8)}
+
+
+def test_question_terms(spark):
+    asked = spark.createDataFrame([(1, "Who plays at PPG Arena on October 13, 2024?")], "question_id bigint, question string")
+    row = answering.question_terms(asked, MODELS).head()
+    assert row["terms"] == ["who", "ppg arena", "october", "2024-10-13"]
+
+    def finder():
+        return lambda batch: [[" PPG Arena "] for _ in batch]
+
+    models = answering.Models(reader=standins.echo_reader, entity_finder=finder)
+    assert answering.question_terms(asked, models).head()["terms"] == ["ppg arena", "2024-10-13"]
+
+
 def test_settings_are_checked():
     with pytest.raises(ValueError):
         RetrievalConfig(rerank_query="both")
