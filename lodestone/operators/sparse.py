@@ -1,8 +1,9 @@
 """TF-IDF index over term lists and cosine top-k search, as joins and aggregates.
 
-An index is three tables: ``vocabulary(term, df, idf)``, ``postings(term, chunk_id, tf)`` and
-``norms(chunk_id, norm)``. Keeping the norm per chunk apart from the raw counts means that the postings are never
-shuffled to be normalised; a search divides only the scores of matched chunks.
+An index is three tables: ``vocabulary(term, df, idf)``, ``postings(term, chunk_id, tf[, weight])`` and
+``norms(chunk_id, norm)``. A fitted index keeps the norm per chunk apart from the raw counts, so its postings are not
+shuffled to be normalised and a search divides only the scores of matched chunks. A saved index, which is searched many
+times, has the normalised weight in its postings.
 """
 
 from __future__ import annotations
@@ -113,23 +114,26 @@ def fit(documents: DataFrame, store: bool = True) -> SparseIndex:
 
 
 def weights(index: SparseIndex) -> DataFrame:
-    """(term, chunk_id, weight): the L2-normalised matrix in long form."""
+    """(term, chunk_id, tf, weight): the L2-normalised matrix in long form."""
+    if "weight" in index.postings.columns:
+        return index.postings
     return (
         with_idf(index.postings, index.vocabulary)
         .join(index.norms, "chunk_id")
-        .select("term", "chunk_id", (F.col("tf") * F.col("idf") / F.col("norm")).alias("weight"))
+        .select("term", "chunk_id", "tf", (F.col("tf") * F.col("idf") / F.col("norm")).alias("weight"))
     )
 
 
 def save_index(index: SparseIndex, path: str, mode: str = "errorifexists") -> None:
-    """Write the index; postings are laid out by term so that a search reads few row groups.
+    """Write the index for many searches; postings are laid out by term so that a search reads few row groups.
 
-    The range includes the chunk, so a term of any frequency is cut over many files.
+    The range includes the chunk, so a term of any frequency is cut over many files. Saved postings carry their
+    normalised ``weight``: searches then need neither the idf of the document side nor the norms.
     """
     index.vocabulary.write.mode(mode).parquet(f"{path}/vocabulary")
     index.norms.write.mode(mode).parquet(f"{path}/norms")
     (
-        index.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
+        weights(index).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
         .write.mode(mode).parquet(f"{path}/postings")
     )
 
@@ -159,16 +163,16 @@ def search(
     """
     if small is None:
         small = at_most(questions.select(F.explode("terms")), BROADCAST_ROWS)
-    query_side = weigh_queries(questions, index.vocabulary, small).select(
-        "question_id", "term", (F.col("query_weight") * F.col("idf")).alias("_q")
-    )
-    dots = (
-        index.postings.join(broadcast_if(query_side, small), "term")
-        .groupBy("chunk_id", "question_id")
-        .agg(F.sum(F.col("tf") * F.col("_q")).alias("_dot"))
-    )
-    scored = dots.join(index.norms, "chunk_id").select(
-        "question_id", "chunk_id", F.round(F.col("_dot") / F.col("norm"), SCORE_DIGITS).alias("score")
+    query_side = broadcast_if(weigh_queries(questions, index.vocabulary, small), small)
+    matched = index.postings.join(query_side, "term")
+    if "weight" in index.postings.columns:
+        part, length = F.col("weight") * F.col("query_weight"), None
+    else:
+        part, length = F.col("tf") * F.col("idf") * F.col("query_weight"), F.col("norm")
+    dots = matched.groupBy("chunk_id", "question_id").agg(F.sum(part).alias("_dot"))
+    raw = F.col("_dot") if length is None else F.col("_dot") / length
+    scored = (dots if length is None else dots.join(index.norms, "chunk_id")).select(
+        "question_id", "chunk_id", F.round(raw, SCORE_DIGITS).alias("score")
     )
     order = [F.desc("score"), F.asc("chunk_id")]
     best = top_k(scored, ["question_id"], order, k).select("question_id", "rank", "chunk_id", "score")

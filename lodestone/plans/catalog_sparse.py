@@ -9,6 +9,7 @@ from . import tables
 from .registry import Registry
 from ..functions.text import words
 from ..operators import entities, metrics, passages, sparse
+from ..session import work_path
 
 r = Registry()
 K = 5
@@ -78,7 +79,7 @@ def tfidf_doc_norms(spark, sf_dir):
             FROM postings JOIN vocabulary USING (term) JOIN norms USING (chunk_id)""")
 def tfidf_weights(spark, sf_dir):
     weights = sparse.weights(sparse.fit(document_words(spark, sf_dir)))
-    return weights.withColumn("weight", F.round("weight", 6))
+    return weights.select("term", "chunk_id", F.round("weight", 6).alias("weight"))
 
 
 @r.query("SELECT question_id, term, round(query_weight, 6) AS query_weight FROM question_weights")
@@ -93,6 +94,14 @@ def sparse_topk(spark, sf_dir):
     return ranked(spark, sf_dir, K)
 
 
+@r.query(f"SELECT question_id, rank, chunk_id, score FROM ranked WHERE rank <= {K}")
+def sparse_saved_index(spark, sf_dir):
+    """The same search over an index that was saved and loaded."""
+    path = work_path(spark, "index")
+    sparse.save_index(sparse.fit(document_words(spark, sf_dir)), path)
+    return sparse.search(sparse.load_index(spark, path), question_words(spark, sf_dir), K)
+
+
 @r.query(f"""
     SELECT count(*) AS n_questions, round(avg(CASE WHEN rank IS NULL THEN 0.0 ELSE 1.0 END), 6) AS recall,
            round(avg(coalesce(1.0 / rank, 0.0)), 6) AS mrr
