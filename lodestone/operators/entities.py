@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import infer
-from .ranking import BROADCAST_ROWS, at_most, broadcast_if
+from .ranking import broadcast_if, fits
 from ..functions.text import normalize_ws, strip, words
 
 # A run of capitalised words separated by single spaces.
@@ -41,7 +41,7 @@ def dictionary_matches(chunks: DataFrame, dictionary: DataFrame, max_words: int
         return F.coalesce(spelled, F.array().cast("array<string>"))
 
     grams = tokens.select("chunk_id", F.explode_outer(F.concat(*[runs(n) for n in range(1, max_words + 1)])).alias("entity"))
-    small = at_most(dictionary, BROADCAST_ROWS)
+    small = fits(dictionary, "entity")
     return (
         grams.join(broadcast_if(dictionary.select("entity").distinct(), small), "entity")
         .groupBy("chunk_id", "entity")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import BROADCAST_ROWS, at_most, broadcast_if
+from .ranking import BROADCAST_BYTES, broadcast_if, fits
 from ..functions.text import WS
 
 ANCHOR_CHARS = 8
@@ -31,7 +31,7 @@ def containing_chunks(passages: DataFrame, chunks: DataFrame) -> DataFrame:
         "passage_id", "passage", F.coalesce(longest, F.substring("passage", 1, ANCHOR_CHARS)).alias("anchor"),
         F.when(longest.isNull(), F.least(F.length("passage"), F.lit(ANCHOR_CHARS))).alias("n_chars"),
     )
-    small = at_most(passages, BROADCAST_ROWS)
+    small = fits(passages, "passage", BROADCAST_BYTES)
     text = F.col("text_content")
     # explode_outer, as a plain explode would split every text once more in a filter on the array's size.
 

@@ -8,7 +8,8 @@ from pyspark.sql import Window as W
 
 from ..session import work_path
 
-# A side is broadcast by hand only if a bounded probe found at most this many rows.
+# A side is broadcast by hand only if it was found to have at most this many rows of a few numbers each, or at most
+# this many bytes where it holds text.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 
@@ -19,7 +20,7 @@ def at_most(df: DataFrame, rows: int) -> bool:
 
 
 def fits(table: DataFrame, text: str, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether a stored table of one text column and a few numbers is within ``limit`` bytes."""
+    """Whether a table of one text column and a few numbers is within ``limit`` bytes; one aggregate over it."""
     size = table.agg(F.sum(F.octet_length(text) + 48)).head()[0]
     return (size or 0) <= limit
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .ranking import BROADCAST_ROWS, at_most, broadcast_if, fits, top_k
+from .ranking import broadcast_if, fits, top_k
 from ..functions.text import as_col, clean_terms, run_counts
 from ..functions.dates import date_term
 from ..session import stored
@@ -162,7 +162,7 @@ def search(
     unless ``fill_zeros`` pads each question up to ``k`` with score 0 in chunk id order.
     """
     if small is None:
-        small = at_most(questions.select(F.explode("terms")), BROADCAST_ROWS)
+        small = fits(questions.select(F.explode("terms").alias("term")), "term")
     query_side = broadcast_if(weigh_queries(questions, index.vocabulary, small), small)
     matched = index.postings.join(query_side, "term")
     if "weight" in index.postings.columns:

@@ -106,9 +106,9 @@ def test_entities(spark, one):
     assert found == {(1, "point state park", 1), (1, "point", 2)}
 
 
-@pytest.mark.parametrize("limit", [200_000, 0])
+@pytest.mark.parametrize("limit", [64 << 20, 0])
 def test_containment_against_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(passages, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(passages, "BROADCAST_BYTES", limit)
     texts = ["alpha beta gamma delta", "xalpha beta  gamma", "beta gamma", "", "a\nb c d e", "alpha", "ééa b"]
     wanted = ["lpha beta gamma", "beta", "beta gamma", "a", "b c d", "pha beta gamma de", " ", "\nb", "éa b", "zeta"]
     chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id bigint, text_content string")
