@@ -6,9 +6,10 @@ from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
-from . import bpe
+from . import bpe, langid
 from .shared import table
 
 r = Registry()
@@ -21,3 +22,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), "doc_id", "text", Path(RANKS).read_bytes(), public_tokenizers.PATTERN
     )
     return found.withColumnRenamed("key", "doc_id")
+
+
+@r.query()
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out("doc_id"))
+    models = langid.learn(docs.filter(~F.col("held_out")), "doc_id", "text", "lang")
+    return langid.identify(docs, "doc_id", "text", models, keep=["held_out"])
