@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
-from . import bpe, langid
+from . import bpe, langid, mixing, urls
 from .shared import table
 
 r = Registry()
@@ -29,3 +29,56 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out("doc_id"))
     models = langid.learn(docs.filter(~F.col("held_out")), "doc_id", "text", "lang")
     return langid.identify(docs, "doc_id", "text", models, keep=["held_out"])
+
+
+URL_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+
+
+@r.query("""
+WITH parts AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+fits AS (
+  SELECT *, ('.' || host LIKE '%.com' AND path LIKE '/%') AS a, ('.' || host LIKE '%.example.com' AND path LIKE '/en/%') AS b,
+    ('.' || host LIKE '%.www.example.com' AND path LIKE '/en/%') AS c, ('.' || host LIKE '%.net' AND path LIKE '/es/%') AS d,
+    ('.' || host LIKE '%.net' AND path LIKE '/fr/%') AS e
+  FROM parts)
+SELECT page_id, host, path,
+  CASE WHEN c THEN 'www.example.com/en/' WHEN b THEN 'example.com/en/' WHEN a THEN 'com/' WHEN d THEN 'net/es/' WHEN e THEN 'net/fr/' END AS rule,
+  CASE WHEN c THEN 'allow' WHEN b THEN 'block' WHEN a THEN 'allow' WHEN d OR e THEN 'block' ELSE 'allow' END AS verdict
+FROM fits
+""")
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge(table(spark, sf_dir, "pages"), "page_id", "url", rules)
+
+
+@r.query("""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS hash FROM documents),
+sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, ((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w, 3.0::DOUBLE * source_size AS cap FROM sizes),
+levels AS (
+  SELECT *, sum(w) OVER (ORDER BY cap / w, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open,
+    sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "left"
+  FROM weighed),
+level AS (SELECT ("left" / open)::DOUBLE AS v FROM levels WHERE cap * open > "left" * w ORDER BY cap / w LIMIT 1),
+target AS (SELECT source, source_size, least((SELECT v FROM level) * w, cap)::DOUBLE AS target FROM levels),
+run AS (
+  SELECT s.source, s.hash, sum(sum(size)) OVER (PARTITION BY s.source ORDER BY s.hash) AS upto, sum(size) AS n
+  FROM sized s GROUP BY s.source, s.hash),
+rest AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM target)
+SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
+  (d.size * (t.whole + CASE WHEN r.upto - r.n + r.n / 2.0 < t.target - t.whole * t.source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM sized d JOIN rest t ON d.source IS NOT DISTINCT FROM t.source
+JOIN run r ON d.source IS NOT DISTINCT FROM r.source AND d.hash = r.hash
+""")
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source", weights=[1, 2, 3])
