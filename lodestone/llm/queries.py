@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
-from . import bpe, langid, mixing, urls
+from . import bpe, langid, licenses, mixing, urls
 from .shared import table
 
 r = Registry()
@@ -82,3 +82,14 @@ JOIN run r ON d.source IS NOT DISTINCT FROM r.source AND d.hash = r.hash
 """)
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source", weights=[1, 2, 3])
+
+
+@r.query()
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"), "doc_id", "text")
+    starts, labels = F.col("places.start"), F.array_sort(F.array_distinct("places.label"))
+    return found.select(
+        F.col("key").alias("doc_id"), "n_words", F.size("places").cast("bigint").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.array_join(labels, ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score", "spans",
+    )
