@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
-from . import bpe, langid, licenses, mixing, urls
+from . import bpe, langid, licenses, mixing, pii, urls
 from .shared import table
 
 r = Registry()
@@ -93,3 +93,16 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         F.array_join(labels, ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score", "spans",
     )
+
+
+# Stands in for the secret that a deployment keeps to itself.
+SURROGATE_SECRET = "registered query"
+
+
+@r.query()
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.surrogates(docs, "doc_id", "text", SURROGATE_SECRET).select(
+        "doc_id", "text", F.size("replaced").cast("bigint").alias("n_entities"),
+        F.array_join(F.array_sort(F.array_distinct("replaced.kind")), ",").alias("kinds"),
+    )
