@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
-from . import bpe, langid, licenses, mixing, pii, urls
+from . import bpe, langid, licenses, mixing, ngram_join, pii, urls
 from .shared import table
 
 r = Registry()
@@ -106,3 +106,8 @@ def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "text", F.size("replaced").cast("bigint").alias("n_entities"),
         F.array_join(F.array_sort(F.array_distinct("replaced.kind")), ",").alias("kinds"),
     )
+
+
+@r.query()
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), "doc_id", "text", words=3, percent=90)

@@ -48,7 +48,7 @@ def map_rows(df: DataFrame, each: Callable[[Iterator[dict]], Iterator[dict]], sc
         weight = 0
         for row in each(rows()):
             held.append(row)
-            weight += 64 + sum(len(v) for v in row.values() if isinstance(v, (str, bytes, list)))
+            weight += 64 + sum(8 * len(v) if not isinstance(v, (str, bytes)) else len(v) for v in row.values() if hasattr(v, "__len__"))
             if weight > 8 << 20 or len(held) >= 10_000:
                 yield pa.RecordBatch.from_pylist(held, schema=target)
                 held, weight = [], 0
