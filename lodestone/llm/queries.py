@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
-from . import bpe, langid, licenses, mixing, ngram_join, pii, urls
+from . import bpe, langid, licenses, mixing, neardup, ngram_join, pii, urls
 from .shared import table
 
 r = Registry()
@@ -111,3 +111,8 @@ def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @r.query()
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), "doc_id", "text", words=3, percent=90)
+
+
+@r.query()
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", cosine=0.9)
