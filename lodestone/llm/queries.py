@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
-from . import bpe, langid, licenses, mixing, neardup, ngram_join, pii, urls
+from . import ann, bpe, langid, licenses, mixing, neardup, ngram_join, pii, urls
 from .shared import table
 
 r = Registry()
@@ -116,3 +116,8 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @r.query()
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", cosine=0.9)
+
+
+@r.query()
+def op5_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 20 == 0, k=20)
