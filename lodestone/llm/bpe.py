@@ -143,18 +143,19 @@ def decode(df: DataFrame, key: str, ids: str, ranks: bytes, pattern: str) -> Dat
     return map_rows(df.select(F.col(key).alias("key"), F.col(ids).alias("ids")), run, "key bigint, bytes binary")
 
 
-def digests(df: DataFrame, key: str, text: str, ranks: bytes, pattern: str,
-            chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """``encode`` and ``decode`` in one pass that returns digests instead of the ids and bytes.
+def digests(df: DataFrame, key: str, text: str, ranks: bytes, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP,
+            with_ids: bool = False) -> DataFrame:
+    """``encode`` and ``decode`` in one pass that returns digests, and the ids themselves only if asked for.
 
-    (key, n_tokens, ids_sha256 of the decimal ids joined by a space, decoded_sha256 of the decoded bytes).
+    (key, n_tokens, ids_sha256 of the decimal ids joined by a space, decoded_sha256 of the decoded bytes[, ids]).
     """
     def finish(k, ids, encoding):
         return {
             "key": k, "n_tokens": len(ids),
             "ids_sha256": hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(),
             "decoded_sha256": hashlib.sha256(encoding.decode_bytes(ids)).hexdigest(),
-        }
+        } | ({"ids": np.array(ids, dtype=np.int32)} if with_ids else {})
 
     return _texts_to(df, key, text, ranks, pattern, chunk, overlap, finish,
-                     "key bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+                     "key bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+                     + ", ids array<int>" * with_ids)

@@ -6,11 +6,12 @@ import math
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.ranking import top_k
-from .shared import map_rows
 
 UNKNOWN = "und"
 # Bounds of the training sample of each language: texts, characters of each, bytes of the dictionary.
@@ -88,27 +89,35 @@ def verdict(models: list[tuple[str, int, bytes]], sizes: list[int], min_margin:
     return models[ranked[0]][0], score, (second - best) / second < min_margin
 
 
-def identify(df: DataFrame, key: str, text: str, models: list[tuple[str, int, bytes]],
-             min_margin: float = MIN_MARGIN, keep: list[str] = ()) -> DataFrame:
-    """Each row's language from its whole text: (key, *keep, lang_pred, score, rejected).
+def identify(df: DataFrame, text: str, models: list[tuple[str, int, bytes]], min_margin: float = MIN_MARGIN,
+             keep: list[str] | None = None) -> DataFrame:
+    """Each row's language from its whole text: the columns ``keep`` (all if None), lang_pred, score, rejected.
 
     The text is encoded once per language, the smallest encoding wins, ``score`` (0 to 1) rises with the bytes saved
     against the others, and ``rejected`` marks a margin below ``min_margin``. A null text, or one without any letter,
     is ``und`` with score 0 and rejected, as is every text if nothing was learned. Rows are kept apart, also equal
-    ones; columns not named are not read. Works inside each row, without a shuffle.
+    ones. Columns that have the name of a result are replaced. Works inside each row, without a shuffle.
     """
-    names = [key, *keep]
-    fields = ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
-    rows = df.select(*(F.col(f"`{n}`") for n in names), F.col(text).alias("_text_to_identify"))
-
-    def run(items: Iterator[dict]) -> Iterator[dict]:
+    results = T.StructType.fromDDL("lang_pred string, score double, rejected boolean")
+    taken = {n.lower() for n in results.names}
+    held = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
+    rows = df.select(*(F.col(f"`{c}`") for c in held), *([] if text in held else [F.col(text)]))
+    at, width = rows.columns.index(text), len(held)
+    schema = T.StructType([df.schema[c] for c in held] + results.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = _sizes(models)
-        for r in items:
-            letters = normalised(r.pop("_text_to_identify"))
-            found = verdict(models, sizes(letters), min_margin) if letters and models else (UNKNOWN, 0.0, True)
-            yield r | dict(zip(("lang_pred", "score", "rejected"), found))
-
-    return map_rows(rows, run, f"{fields}, lang_pred string, score double, rejected boolean")
+        for batch in batches:
+            found = []
+            for value in batch.column(at):
+                letters = normalised(value.as_py())
+                found.append(verdict(models, sizes(letters), min_margin) if letters and models else (UNKNOWN, 0.0, True))
+            langs, scores, rejected = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:width], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
+                names=[*batch.schema.names[:width], *results.names])
+
+    return rows.mapInArrow(run, schema)
 
 
 def held_out(key: str) -> Column:

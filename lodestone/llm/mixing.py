@@ -67,23 +67,19 @@ def _boundary(buckets: DataFrame, budget: DataFrame, small: bool) -> DataFrame:
     )
 
 
-def mix(df: DataFrame, key: str, text: str, source: str, weights: list[float], repeats: int = MAX_REPEATS) -> DataFrame:
-    """(key, source, size, source_size, target, taken) of each row.
+def _sized(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    return df.select(F.col(key).alias("key"), F.col(source).alias("source"), words_in(F.col(text)).alias("size"),
+                     row_hash(F.col(key)).alias("hash"))
 
-    ``size`` is the number of white-space separated words (null: 0). A source whose target is k whole times its size
-    and a rest takes each row k times, and once more the rows of smallest hash until the rest is filled; the row that
-    meets the limit is taken if that comes closer to it (not at a tie). So ``taken`` is at most ``repeats`` times
-    ``size``, larger targets take supersets, and a rerun decides alike. Rows of one key share a hash and so a decision,
-    repeated rows included; null keys count as one. A null source is a source. Other columns are not read.
 
-    Sums by source and hash bucket give the bucket in which the budget ends, a second histogram refines that bucket
-    alone, and single hashes decide only within what is left of it: about one row in 16^7. Nothing is sorted but
-    buckets, sums are combined before the shuffle, so a source with a third of all rows is no more work than another.
+def limits(rows: DataFrame, weights: list[float], repeats: int) -> DataFrame:
+    """(of, source_size, target, whole, limit) for each source of (source, size, hash), ready to be joined.
+
+    Every row is taken ``whole`` times, and once more if its hash is below ``limit``. Sums by source and hash bucket
+    give the bucket in which the budget ends, a second histogram refines that bucket alone, and single hashes decide
+    only within what is left of it: about one row in 16^7. Nothing is sorted but buckets, and sums are combined before
+    the shuffle, so a source with a third of all rows is no more work than another.
     """
-    rows = stored(
-        df.select(F.col(key).alias("key"), F.col(source).alias("source"), words_in(F.col(text)).alias("size"),
-                  row_hash(F.col(key)).alias("hash")), "mix-sizes",
-    )
     first = F.shiftright("hash", 4 * (HASH_DIGITS - FIRST_DIGITS))
     second = F.shiftright("hash", 4 * (HASH_DIGITS - FIRST_DIGITS - SECOND_DIGITS))
     top = stored(rows.groupBy("source", first.alias("bucket")).agg(F.sum("size").alias("n")), "mix-buckets")
@@ -92,9 +88,9 @@ def mix(df: DataFrame, key: str, text: str, source: str, weights: list[float], r
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     budget = plan.select("source", (F.col("target") - whole * F.col("source_size")).alias("rest"))
 
-    def inside(limits: DataFrame, bucket: Column, finer: Column) -> DataFrame:
+    def inside(edges: DataFrame, bucket: Column, finer: Column) -> DataFrame:
         """Sums by ``finer`` of the rows within each source's bucket."""
-        cut = broadcast_if(limits.select(F.col("source").alias("of"), F.col("bucket").alias("within")), small)
+        cut = broadcast_if(edges.select(F.col("source").alias("of"), F.col("bucket").alias("within")), small)
         held = rows.join(cut, F.col("source").eqNullSafe(F.col("of")) & (bucket == F.col("within")))
         return held.groupBy("source", finer.alias("bucket")).agg(F.sum("size").alias("n"))
 
@@ -108,7 +104,39 @@ def mix(df: DataFrame, key: str, text: str, source: str, weights: list[float], r
     decided = plan.join(broadcast_if(edge, small), F.col("source").eqNullSafe(F.col("of")), "left").select(
         F.col("source").alias("of"), "source_size", "target", whole.alias("whole"), F.coalesce("limit", F.lit(0)).alias("limit")
     )
-    return rows.join(broadcast_if(stored(decided, "mix-limits"), small), F.col("source").eqNullSafe(F.col("of"))).select(
-        F.col("key").alias(key), "source", "size", "source_size", "target",
-        (F.col("size") * (F.col("whole") + F.when(F.col("hash") < F.col("limit"), 1).otherwise(0))).alias("taken"),
+    return broadcast_if(stored(decided, "mix-limits"), small)
+
+
+def _times(hashed: Column) -> Column:
+    return F.col("whole") + F.when(hashed < F.col("limit"), 1).otherwise(0)
+
+
+def mix(df: DataFrame, key: str, text: str, source: str, weights: list[float], repeats: int = MAX_REPEATS) -> DataFrame:
+    """(key, source, size, source_size, target, taken) of each row.
+
+    ``size`` is the number of white-space separated words (null: 0). A source whose target is k whole times its size
+    and a rest takes each row k times, and once more the rows of smallest hash until the rest is filled; the row that
+    meets the limit is taken if that comes closer to it (not at a tie). So ``taken`` is at most ``repeats`` times
+    ``size``, larger targets take supersets, and a rerun decides alike. Rows of one key share a hash and so a decision,
+    repeated rows included; null keys count as one. A null source is a source. An empty table gives no rows. Other
+    columns are not read.
+    """
+    rows = stored(_sized(df, key, text, source), "mix-sizes")
+    decided = limits(rows, weights, repeats)
+    return rows.join(decided, F.col("source").eqNullSafe(F.col("of"))).select(
+        F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target",
+        (F.col("size") * _times(F.col("hash"))).alias("taken"),
     )
+
+
+def draw(df: DataFrame, key: str, text: str, source: str, weights: list[float], repeats: int = MAX_REPEATS) -> DataFrame:
+    """The rows of ``df`` as the mix takes them: each as often as ``mix`` decides, with all its columns.
+
+    Texts are not shuffled; only their sizes are summed.
+    """
+    decided = limits(stored(_sized(df, key, text, source), "mix-sizes"), weights, repeats)
+    decided = decided.select(*(F.col(c).alias(f"_mix_{c}") for c in ("of", "whole", "limit")))
+    times = F.col("_mix_whole") + F.when(row_hash(F.col(key)) < F.col("_mix_limit"), 1).otherwise(0)
+    taken = df.join(decided, F.col(source).eqNullSafe(F.col("_mix_of"))).withColumn("_mix_times", times.cast("int"))
+    copies = F.explode(F.array_repeat(F.lit(True), F.col("_mix_times")))
+    return taken.withColumn("_mix_copy", copies).select(*(F.col(f"`{c}`") for c in df.columns))

@@ -28,7 +28,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out("doc_id"))
     models = langid.learn(docs.filter(~F.col("held_out")), "doc_id", "text", "lang")
-    return langid.identify(docs, "doc_id", "text", models, keep=["held_out"])
+    return langid.identify(docs, "text", models, keep=["doc_id", "held_out"])
 
 
 URL_RULES = [
