@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
-from . import ann, bpe, langid, licenses, mixing, neardup, ngram_join, pii, urls
+from . import ann, bpe, langid, licenses, lm, mixing, neardup, ngram_join, pii, urls
 from .shared import table
 
 r = Registry()
@@ -121,3 +121,10 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @r.query()
 def op5_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 20 == 0, k=20)
+
+
+@r.query()
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learns = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 != 0, F.lit(False))
+    found = lm.score(table(spark, sf_dir, "documents"), "doc_id", "text", learns)
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

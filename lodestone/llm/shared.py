@@ -74,15 +74,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+# Bytes that are hashed at once.
+PIECE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
+_HELD: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    held = _HELD.get(base)
+    if held is None or len(held) <= n:
+        held = np.full(max(n, PIECE + 4_096) + 1, base, dtype=np.uint64)
+        held[0] = 1
+        held = np.multiply.accumulate(held)
+        if n <= 2 * PIECE:
+            _HELD[base] = held
+    return held[: n + 1]
 
 
 def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -93,19 +103,24 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     fewer than three pairs are expected to share one.
     """
     joined = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    counts = np.zeros(len(texts), dtype=np.int64)
-    if not len(joined):
-        return np.zeros(0, dtype=np.uint64), counts
-    inside = ~SPACE[joined]
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
-    start, end = edge[0::2], edge[1::2]
-    prefix = np.empty(len(joined) + 1, dtype=np.uint64)
-    prefix[0] = 0
-    np.cumsum(_BYTE[LOWER[joined]] * _powers(_BASE, len(joined) - 1), out=prefix[1:])
-    words = mix64((prefix[end] - prefix[start]) * _powers(_INVERSE, len(joined))[start])
+    starts, words, low = [], [], 0
+    while low < len(joined):
+        high = min(low + PIECE, len(joined))
+        while not SPACE[joined[high - 1]]:  # the last byte is a blank; a word is never cut
+            high += 1
+        piece = joined[low:high]
+        inside = ~SPACE[piece]
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
+        start, end = edge[0::2], edge[1::2]
+        prefix = np.empty(len(piece) + 1, dtype=np.uint64)
+        prefix[0] = 0
+        np.cumsum(_BYTE[LOWER[piece]] * _powers(_BASE, len(piece) - 1), out=prefix[1:])
+        words.append(mix64((prefix[end] - prefix[start]) * _powers(_INVERSE, len(piece))[start]))
+        starts.append(start + low)
+        low = high
     stops = np.cumsum([len(t) + 1 for t in texts])
-    counts = np.diff(np.concatenate(([0], np.searchsorted(start, stops))))
-    return words, counts
+    counts = np.diff(np.concatenate(([0], np.searchsorted(np.concatenate(starts), stops)))) if texts else np.zeros(0, dtype=np.int64)
+    return np.concatenate(words), counts
 
 
 def text_batches(rows: Iterator[dict], text: str, limit: int = 4 << 20) -> Iterator[tuple[list[dict], list[bytes]]]:
