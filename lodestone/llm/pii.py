@@ -161,14 +161,14 @@ def _surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column
 
     named = F.substr(value, F.char_length(gender) + 2)
     latin, cyrillic = named.rlike(r"^[\p{IsLatin} '’-]+$"), named.rlike(r"^[\p{IsCyrillic} '’-]+$")
-    hexes = value.rlike(r"^[0-9a-f]+$")
+    hexes = value.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$")
     hexed = _each_char(value, lambda c, i: F.substr(F.lit("0123456789abcdef"), _pick(digest, i, 16) + 1, F.lit(1)))
     return (
         F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", ip)
         .when(kind == "phone", F.when(value.startswith("+"), headed(2)).otherwise(_like(value, digest)))
         .when(kind == "iban", headed(2))
         .when(kind == "name", F.when(latin, person("latin")).when(cyrillic, person("cyrillic")).otherwise(F.concat(F.initcap(_like(named, digest)), extra)))
-        .when(hexes, hexed).otherwise(_like(value, digest))
+        .when(hexes, F.when(F.upper(value) == value, F.upper(hexed)).otherwise(hexed)).otherwise(_like(value, digest))
     )
 
 
