@@ -78,7 +78,7 @@ def near_duplicates(df: DataFrame, key: str, vector: str, cosine: float = 0.9) -
     Cosines are taken in double precision and decide alone; hashing finds the pairs to check. Vectors that are null,
     empty, zero or hold null or non-finite numbers, and rows without a key, link with nothing, as do vectors of
     different lengths. Without a link the component is the row's own key. ``kept`` marks the smallest key of each
-    component; rows of one key are linked like any others and get the component of that key. Other columns are not read.
+    component. Rows of one key count as one thing: they share their links and their component. Other columns are not read.
 
     Equal vectors collapse first and count with their number. A unit vector goes to one bucket per table; buckets are
     read as sorted runs, those of very many members are cut, and each run yields sums and one hub per member, never
