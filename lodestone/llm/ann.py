@@ -25,6 +25,8 @@ ROUNDS = 8
 CALIBRATION, RECALL = 128, 0.95
 # Rows of either side of a leaf that meet in one task.
 CUT = 4_096
+# Pairs found that a task holds before it keeps only the best of each query.
+HELD = 500_000
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -117,6 +119,58 @@ def _best(q: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray,
             yield np.full(len(order), i), order, row[order]
 
 
+class _Merged:
+    """The ``k`` best found so far of every query that a task has met."""
+
+    def __init__(self, k: int):
+        self.k, self.parts, self.size, self.limit = k, [], 0, HELD
+
+    def add(self, *part: np.ndarray) -> None:
+        self.parts.append(part)
+        self.size += len(part[0])
+        if self.size > self.limit:
+            self._shrink()
+
+    def _shrink(self) -> None:
+        query, vec, score = (np.concatenate(p) for p in zip(*self.parts))
+        order = np.lexsort((vec, -score, query))
+        query, vec, score = query[order], vec[order], score[order]
+        keep = np.arange(len(query)) - np.searchsorted(query, query) < self.k
+        self.parts, self.size = [(query[keep], vec[keep], score[keep])], int(keep.sum())
+        self.limit = self.size + HELD
+
+    def full(self) -> bool:
+        """Whether so many queries have been met that what is found must leave."""
+        return self.size > 4 * HELD
+
+    def take(self) -> pa.RecordBatch:
+        if self.parts:
+            self._shrink()
+        columns = self.parts[0] if self.parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        self.parts, self.size, self.limit = [], 0, HELD
+        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["query_id", "vec_id", "score"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Sorted batches recut into one batch for each value of the first ``keys`` columns."""
+    held: list[pa.RecordBatch] = []
+    at = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        code = np.stack([np.asarray(batch.column(i)) for i in range(keys)], axis=1)
+        starts = [0, *(np.flatnonzero((code[1:] != code[:-1]).any(axis=1)) + 1), batch.num_rows]
+        for low, high in zip(starts, starts[1:]):
+            here = tuple(code[low])
+            if held and here != at:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            at = here
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _brute_force(index: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
     """(query_id, vec_id, leaf, score) of a few queries against all vectors; one scan, k rows a query and batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +228,8 @@ def search(df: DataFrame, key: str, vector: str, queries: Column, k: int = 20, r
 
     The tree is fitted on a bounded sample, every vector is put into a leaf, and the number of leaves that queries
     visit is widened until a bounded set of them reaches ``recall`` against brute force over all vectors. Queries then
-    go to their leaves by inner product, best bin first, and meet each leaf's vectors in cuts of bounded size.
+    go to their leaves by inner product, best bin first, and meet each leaf's vectors in cuts of bounded size; a task
+    sends on the best of each query over all cuts that it has read.
     """
     tree, index, leaves = build(df, key, vector, queries, k, recall)
     schema = "query_id bigint, rank int, vec_id bigint, score double"
@@ -207,17 +262,23 @@ def search(df: DataFrame, key: str, vector: str, queries: Column, k: int = 20, r
     asking = sent.join(crowd, "leaf").select(
         "leaf", every(F.col("cuts")).alias("i"), cut(F.col("ask_cuts"), 1).alias("j"), F.lit(True).alias("asking"), "id", "vec")
 
-    def meet(group):
-        side = np.asarray(group.column("asking").combine_chunks())
-        ids = np.asarray(group.column("id").combine_chunks())
-        raw = group.column("vec").to_pylist()
-        x = matrix(raw, dim)
-        q, c = np.flatnonzero(side), np.flatnonzero(~side)
-        parts = list(_best(x[q], ids[q], x[c], ids[c], k)) if len(q) and len(c) else []
-        a, b, s = (np.concatenate(p) for p in zip(*parts)) if parts else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        return pa.table({"query_id": pa.array(ids[q][a], pa.int64()), "vec_id": pa.array(ids[c][b], pa.int64()), "score": pa.array(s, pa.float64())})
-
     dim = tree.dim
-    found = vectors.union(asking).groupBy("leaf", "i", "j").applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Merged(k)
+        for run in _runs(batches, 3):
+            side, ids = np.asarray(run.column(3)), np.asarray(run.column(4))
+            q, c = np.flatnonzero(side), np.flatnonzero(~side)
+            if len(q) and len(c):
+                x = matrix(run.column(5), dim)
+                for rows, found, scores in _best(x[q], ids[q], x[c], ids[c], k):
+                    best.add(ids[q][rows], ids[c][found], scores)
+            if best.full():
+                yield best.take()
+        yield best.take()
+
+    keys = ["leaf", "i", "j"]
+    met = vectors.union(asking).repartition(*keys).sortWithinPartitions(*keys)
+    found = met.mapInArrow(meet, "query_id bigint, vec_id bigint, score double")
     ranked = top_k(found, ["query_id"], [F.desc("score"), F.col("vec_id")], k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
