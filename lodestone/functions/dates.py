@@ -22,14 +22,15 @@ UNIT = "(?:" + "|".join(UNITS) + ")"
 
 TIME = r"(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\.\d+)?(?: ?([ap])\.?m\.?)?"
 SEARCH = (
-    rf"(?i)(?:{MONTH}\.? \d{{1,2}}(?:st|nd|rd|th)?,? \d{{4}}"
+    rf"(?i)(?<![\p{{L}}\p{{N}}/.-])(?:{MONTH}\.? \d{{1,2}}(?:st|nd|rd|th)?,? \d{{4}}"
     rf"|\d{{1,2}}(?:st|nd|rd|th)? (?:of )?{MONTH}\.?,? \d{{4}}"
     rf"|{MONTH}\.? \d{{4}}"
     rf"|{MONTH}\.? \d{{1,2}}(?:st|nd|rd|th)?"
+    rf"|\d{{1,2}}(?:st|nd|rd|th)? (?:of )?{MONTH}"
     r"|\d{4}-\d{1,2}-\d{1,2}"
-    r"|\d{1,2}/\d{1,2}/\d{4}"
+    r"|\d{1,2}/\d{1,2}/(?:\d{4}|\d{2})"
     rf"|\d+ {UNIT}s? ago|in \d+ {UNIT}s?"
-    r"|yesterday|today|tomorrow)"
+    r"|yesterday|today|tomorrow)(?![\p{L}\p{N}/])"
 )
 
 

@@ -13,7 +13,12 @@ POSITION_BITS = 20
 
 
 def chunk_id(doc_id: Column, position: Column) -> Column:
-    return F.shiftleft(doc_id.cast("bigint"), POSITION_BITS) + position
+    """Document id and position in one number; an error if either does not fit, so that no two chunks share an id."""
+    doc_id, position = doc_id.cast("bigint"), position.cast("bigint")
+    fits = (F.abs(doc_id) < 1 << (63 - POSITION_BITS)) & (position < 1 << POSITION_BITS)
+    return F.when(fits | doc_id.isNull() | position.isNull(), F.shiftleft(doc_id, POSITION_BITS) + position).otherwise(
+        F.raise_error(F.lit("a document id or a chunk position is too large for a chunk id")).cast("bigint")
+    )
 
 
 def chunk(documents: DataFrame, size: int = CHUNK_TOKENS, overlap: int = 0) -> DataFrame:

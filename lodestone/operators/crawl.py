@@ -94,7 +94,6 @@ class PageRule:
 class Site:
     name: str
     domains: tuple[str, ...]
-    sitemaps: tuple[str, ...]
     deny: tuple[str, ...]
     rules: tuple[tuple[str, str], ...]
     pages: tuple[PageRule, ...]

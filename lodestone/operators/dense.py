@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from . import infer
 from .ranking import BROADCAST_ROWS, at_most, broadcast_if, hash_order, top_k
@@ -83,6 +84,8 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Rows of a list column as one float64 matrix."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if column.null_count:
+        raise ValueError("an embedding is NULL; filter such rows or embed their text")
     n = len(column)
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
 
@@ -104,6 +107,11 @@ class _Best:
             rows = np.arange(len(self.ids))
         if not len(rows) or not len(chunk_ids):
             return
+        if len(rows) > BLOCK_QUERIES:
+            # A distance matrix has at most BLOCK_QUERIES · STEP numbers, whatever the query set.
+            for at in range(0, len(rows), BLOCK_QUERIES):
+                self.add(chunk_ids, x, rows[at:at + BLOCK_QUERIES])
+            return
         for lo in range(0, len(chunk_ids), STEP):
             ids, block = chunk_ids[lo:lo + STEP], x[lo:lo + STEP]
             d = self.q_norm[rows, None] + (block * block).sum(axis=1)[None, :] - 2.0 * (self.q[rows] @ block.T)
@@ -289,6 +297,7 @@ def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 def assign_cells(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
     """``vectors(chunk_id, embedding)`` with the ``cell`` of each; no shuffle. Write it partitioned by ``cell``."""
     sent = vectors.sparkSession.sparkContext.broadcast(centroids)
+    kind = vectors.schema["embedding"].dataType.simpleString()
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,8 +307,8 @@ def assign_cells(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
                 names=["chunk_id", "embedding", "cell"],
             )
 
-    rows = vectors.select(F.col("chunk_id").cast("bigint").alias("chunk_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    return rows.mapInArrow(assign, "chunk_id bigint, embedding array<float>, cell int")
+    rows = vectors.select(F.col("chunk_id").cast("bigint").alias("chunk_id"), "embedding")
+    return rows.mapInArrow(assign, f"chunk_id bigint, embedding {kind}, cell int")
 
 
 def search_cells(
@@ -326,8 +335,9 @@ def search_cells(
                 names=["query_id", "embedding", "cells"],
             )
 
-    spread = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(
-        probes, "query_id bigint, embedding array<float>, cells array<int>"
+    kind = queries.schema["embedding"].dataType.simpleString()
+    spread = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "embedding").mapInArrow(
+        probes, f"query_id bigint, embedding {kind}, cells array<int>"
     ).select("query_id", "embedding", F.explode("cells").alias("cell"))
     return _block_join(spread, celled, k, exclude_self, "embedding")
 
@@ -422,9 +432,20 @@ def chunk_table(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def append_new(rows: DataFrame, path: str) -> None:
-    """Append the rows whose chunk id the table at ``path`` does not hold yet; one row per id."""
-    stored_ids = rows.sparkSession.read.schema("chunk_id bigint").parquet(path)
-    rows.dropDuplicates(["chunk_id"]).join(stored_ids, "chunk_id", "left_anti").write.mode("append").parquet(path)
+    """Append the rows whose chunk id the table at ``path`` does not hold yet; the table is made if it is not there.
+
+    Of several rows with one id the one with the smallest hash of all columns is kept.
+    """
+    spark = rows.sparkSession
+    one = rows.groupBy("chunk_id").agg(F.min_by(F.struct(*rows.columns), F.xxhash64(*rows.columns)).alias("r")).select("r.*")
+    try:
+        stored_ids = spark.read.parquet(path).select("chunk_id")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        one.write.parquet(path)
+        return
+    one.join(stored_ids, "chunk_id", "left_anti").write.mode("append").parquet(path)
 
 
 def fetch(ids: DataFrame, chunks: DataFrame, small: bool = False, strict: bool = False) -> DataFrame:

@@ -15,14 +15,20 @@ from pyspark.sql.types import DataType, StructField, StructType, _parse_datatype
 Model = Callable[[list], Sequence[Any]]
 Factory = Callable[[], Model]
 
+# A worker holds the models of this many calls, the latest ones: a plan that alternates reader and generator keeps both.
+KEPT = 2
 _LOADED: dict[str, Model] = {}
 
 
 def loaded(key: str, factory: Factory) -> Model:
-    """The model of this Python worker; built on first use and kept for later tasks."""
-    if key not in _LOADED:
-        _LOADED[key] = factory()
-    return _LOADED[key]
+    """The model of this Python worker; built on first use and kept for later tasks until ``KEPT`` others are used."""
+    model = _LOADED.pop(key, None)
+    if model is None:
+        while len(_LOADED) >= KEPT:
+            del _LOADED[next(iter(_LOADED))]
+        model = factory()
+    _LOADED[key] = model
+    return model
 
 
 def run(

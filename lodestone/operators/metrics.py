@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import global_number
 from ..functions.text import normalize_ws, strip, tokens
 
 # ASCII punctuation and the articles that answer matching ignores.
@@ -47,13 +48,13 @@ def retrieval_sweep(gold: DataFrame, retrieved: DataFrame, ks: list[int]) -> Dat
 
 
 def batch_metrics(per_question: DataFrame, row_no: str, batch: int, measures: list[str]) -> DataFrame:
-    """Mean of each measure per batch of ``batch`` consecutive rows, plus the exact row over all (batch_id NULL)."""
-    numbered = per_question.withColumn("batch_id", F.floor(F.col(row_no) / batch).cast("bigint"))
+    """Mean of each measure per batch of ``batch`` consecutive rows, plus the exact row over all (batch_id NULL).
+
+    Rows are numbered from 0 in the order of ``row_no``, whatever gaps it has; one pass gives both kinds of rows.
+    """
+    numbered = global_number(per_question, [row_no], "_no").withColumn("batch_id", F.floor(F.col("_no") / batch).cast("bigint"))
     means = [F.avg(m).alias(m) for m in measures]
-    size = F.count("*").alias("n_questions")
-    return numbered.groupBy("batch_id").agg(size, *means).unionByName(
-        numbered.agg(size, *means).withColumn("batch_id", F.lit(None).cast("bigint"))
-    )
+    return numbered.rollup("batch_id").agg(F.count("*").alias("n_questions"), *means)
 
 
 def per_question_retrieval(gold: DataFrame, retrieved: DataFrame) -> DataFrame:

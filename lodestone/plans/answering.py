@@ -13,7 +13,8 @@ from ..functions import prompts
 from ..functions.dates import date_terms
 from ..functions.text import normalize_ws, parse_answer, render
 from ..operators import dense, entities, infer, metrics, retrieve, sparse
-from ..operators.ranking import BROADCAST_ROWS, at_most
+from ..operators.ranking import BROADCAST_ROWS, at_most, global_number
+from ..session import stored
 
 
 @dataclass(frozen=True)
@@ -65,11 +66,13 @@ def question_terms(questions: DataFrame, models: Models, base: object | None = N
     """
     found = entities.find(questions, "question", "_entities", models.entity_finder, models.batch_size)
     terms = sparse.query_terms("_entities", date_terms("question", base))
-    return found.withColumn("terms", terms).drop("_entities")
+    asked = found.withColumn("terms", terms).drop("_entities")
+    return stored(asked, "questions") if models.entity_finder else asked
 
 
 def dense_channel(questions: DataFrame, column: str, corpus: Corpus, models: Models, conf: RetrievalConfig) -> DataFrame:
-    queries = embed_questions(questions, column, corpus, models)
+    # Written once: the searches look at the size, then at the matrix, and the encoder must run for neither again.
+    queries = stored(embed_questions(questions, column, corpus, models), "asked")
     kind = conf.index.index_type
     if kind == "exact":
         found = dense.search_exact(queries, corpus.vectors, conf.dense_k)
@@ -91,7 +94,8 @@ def retrieve_chunks(questions: DataFrame, corpus: Corpus, models: Models, conf:
     if conf.hyde_enabled:
         if models.generator is None:
             raise ValueError("query expansion needs a generator")
-        asked = retrieve.expand_with_model(questions, models.generator, batch_size=models.batch_size, key=models.key)
+        expanded = retrieve.expand_with_model(questions, models.generator, batch_size=models.batch_size, key=models.key)
+        asked = stored(expanded, "expanded")
         column = "expanded"
     ranked = dense_channel(asked, column, corpus, models, conf)
     width = conf.dense_k
@@ -146,7 +150,7 @@ def answer_with_sources(
     questions: DataFrame, corpus: Corpus, models: Models, conf: RetrievalConfig, template: str = prompts.READER
 ) -> DataFrame:
     """(question_id, answer, sources) for every question."""
-    pairs = retrieve_chunks(questions, corpus, models, conf)
+    pairs = stored(retrieve_chunks(questions, corpus, models, conf), "passages")  # read for the answers and the sources
     answered = read_answers(questions, pairs, models, template)
     return answered.select("question_id", normalize_ws("generated_answer").alias("answer")).join(
         retrieve.sources(pairs), "question_id", "left"
@@ -162,9 +166,12 @@ def run_validation(
 
 
 def validation_metrics(records: DataFrame, batch: int = METRIC_BATCH, row_no: str = "question_id") -> DataFrame:
-    """Every score per batch of consecutive questions and over all (batch_id NULL), out of answer records."""
-    scored = records.select(
-        F.col("question_id").alias("pair_id"), F.col(row_no).alias("row_no"),
+    """Every score per batch of ``batch`` consecutive questions and over all (batch_id NULL), out of answer records.
+
+    Questions are numbered from 0 in the order of ``row_no``, whatever gaps it has.
+    """
+    scored = global_number(records, [row_no], "_no").select(
+        F.col("question_id").alias("pair_id"), F.col("_no").alias("row_no"),
         F.col("generated_answer").alias("prediction"), F.col("gt_answer").alias("reference"),
         F.nullif(F.array_position("retrieved_chunk_ids", F.col("gt_chunk_id")), F.lit(0)).alias("_rank"),
     )

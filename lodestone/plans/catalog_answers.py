@@ -196,7 +196,7 @@ r.fragments.add("records", f"""
     SELECT o.question_id, g.chunk_id AS gt_chunk_id, o.question, o.question AS gt_answer, retrieved_chunk_ids,
            {RAW} AS raw_output, retrieved_context, generated_answer FROM outputs o JOIN gold g USING (question_id)""")
 r.fragments.add("record_pairs", """
-    SELECT question_id AS pair_id, question_id // 4 AS batch_id, generated_answer AS prediction, gt_answer AS reference,
+    SELECT question_id AS pair_id, (row_number() OVER (ORDER BY question_id) - 1) // 4 AS batch_id, generated_answer AS prediction, gt_answer AS reference,
            nullif(coalesce(list_position(retrieved_chunk_ids, gt_chunk_id), 0), 0) AS hit FROM records""")
 
 

@@ -122,7 +122,7 @@ def retrieval_k_sweep(spark, sf_dir):
 
 
 r.fragments.add("scores_by_question", f"""
-    SELECT question_id // 4 AS batch_id, CASE WHEN rank <= {K} THEN 1.0 ELSE 0.0 END AS recall,
+    SELECT (row_number() OVER (ORDER BY question_id) - 1) // 4 AS batch_id, CASE WHEN rank <= {K} THEN 1.0 ELSE 0.0 END AS recall,
            CASE WHEN rank <= {K} THEN 1.0 / rank ELSE 0.0 END AS mrr
     FROM gold LEFT JOIN ranked USING (question_id, chunk_id)""")
 

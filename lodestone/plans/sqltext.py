@@ -29,5 +29,6 @@ class Fragments:
         self._needed(final, needed)
         if not needed:
             return final
-        ctes = ",\n".join(f"{n} AS ({self._bodies[n]})" for n in needed)
+        # Several statements read one expression more than once; it is computed once.
+        ctes = ",\n".join(f"{n} AS MATERIALIZED ({self._bodies[n]})" for n in needed)
         return f"WITH {ctes}\n{final}"

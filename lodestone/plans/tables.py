@@ -10,8 +10,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# A scan of at most this many bytes may be spread over the cores; moving more costs more than waiting.
+SPREAD_BYTES = 256 << 20
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows of a scan over all cores, if the scan has fewer splits than that; a large scan is left where it is."""
+    """Rows of a small scan over all cores, if it has fewer splits than that; others are left where they are."""
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) > SPREAD_BYTES:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 

@@ -10,7 +10,9 @@ from ..functions.text import strip
 
 
 def with_line_numbers(df: DataFrame, name: str = "line_no") -> DataFrame:
-    """Add the 0-based line number over all files in path order, to a frame read straight from text or JSON files.
+    """Add the 0-based line number over all files, to a frame read straight from text or JSON files.
+
+    Files follow by the number of their ``batch=`` folder, then by the number of their ``part-`` name, then by path.
 
     Each file block counts its lines in its own task. Only one row per block is sorted to find where a block starts,
     so the lines themselves are not brought together.
@@ -22,7 +24,9 @@ def with_line_numbers(df: DataFrame, name: str = "line_no") -> DataFrame:
         F.monotonically_increasing_id().alias("_at"),
     )
     blocks = placed.groupBy("_path", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    earlier = W.orderBy("_path", "_block").rowsBetween(W.unboundedPreceding, -1)
+    number = lambda pattern: F.nullif(F.regexp_extract("_path", pattern, 1), F.lit("")).cast("bigint")
+    order = [number(r"/batch=(\d+)/[^/]*$"), number(r"/part-(\d+)[^/]*$"), F.col("_path"), F.col("_block")]
+    earlier = W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     starts = blocks.select("_path", "_block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     return (
         placed.join(starts, ["_path", "_block"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,15 @@ from .lines import with_line_numbers
 
 
 def write(vectors: DataFrame, path: str, mode: str = "append") -> None:
-    """``vectors(embedding)`` with eight decimals, appended by default, in the order of the frame."""
+    """``vectors(embedding)`` with eight decimals, appended by default, in the order of the frame.
+
+    Every call writes a ``batch=`` folder of its own; the folders' numbers rise with the time of the call, so that all
+    lines of a later call follow those of an earlier one when read.
+    """
     cells = F.transform("embedding", lambda x: F.format_string("%.8f", x.cast("double")))
-    vectors.select(F.array_join(cells, "\t").alias("value")).write.mode(mode).text(path)
+    if mode != "append":
+        vectors.sparkSession.createDataFrame([], "value string").write.mode(mode).text(path)
+    vectors.select(F.array_join(cells, "\t").alias("value")).write.text(f"{path}/batch={time.time_ns():020d}")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -70,3 +70,9 @@ def test_session_zone_does_not_matter(spark, one):
         assert one(dates.parse_date("t", BASE), t="Oct 13, 2024 2:00 pm") == "2024-10-13T14:00:00-04:00"
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_dates_in_text_end_at_words(one):
+    found = lambda text: one(dates.find_dates("x"), x=text)
+    assert found("dismay 10, 2020") == [] and found("ref 112/25/20239 v1.10/5/24") == []
+    assert [d[:10] for d in found("on 10/5/24, 12 May 2020 and (2021-03-04)")] == ["2024-10-05", "2020-05-12", "2021-03-04"]

@@ -131,3 +131,32 @@ def test_chunk_table(spark):
     vectors = spark.createDataFrame([(1, [0.5])], "chunk_id bigint, embedding array<float>")
     row = dense.chunk_table(chunks, vectors).head()
     assert row["metadata"].asDict() == {"source_name": "s", "associated_dates": ["2024"], "chunk_id": 1}
+
+
+def test_both_ways_of_cell_search_agree_on_doubles(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    made = lambda n, key: spark.createDataFrame([(i, (rng.standard_normal(6) * 1e3).tolist()) for i in range(n)], f"{key} bigint, embedding array<double>")
+    vectors, queries = made(300, "chunk_id"), made(40, "query_id")
+    centroids = dense.fit_centroids(vectors, 8)[0]
+    celled = dense.assign_cells(vectors, centroids)
+    want = sorted(map(tuple, dense.search_cells(queries, celled, centroids, 5, 3).collect()))
+    monkeypatch.setattr(dense, "QUERY_BYTES", 1)
+    assert sorted(map(tuple, dense.search_cells(queries, celled, centroids, 5, 3).collect())) == want
+
+
+def test_null_embeddings_are_named_as_such(spark):
+    vectors = spark.createDataFrame([(1, [1.0]), (2, None)], "chunk_id bigint, embedding array<double>")
+    queries = vectors.filter("chunk_id = 1").withColumnRenamed("chunk_id", "query_id")
+    with pytest.raises(Exception, match="an embedding is NULL"):
+        dense.search_exact(queries, vectors, 1).collect()
+
+
+def test_append_makes_the_table_and_adds_only_new_ids(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    rows = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "chunk_id bigint, text_content string")
+    dense.append_new(rows, path)
+    dense.append_new(rows.union(spark.createDataFrame([(3, "d")], rows.schema)), path)
+    got = sorted(map(tuple, spark.read.parquet(path).collect()))
+    assert [g[0] for g in got] == [1, 2, 3] and got[0][1] in "ab"

@@ -96,3 +96,22 @@ def test_ingestion_is_once_per_id_over_restarts(spark, tmp_path, start):
     drop(inbox / "3.json", [(3, "ccc"), (4, "dddd")])
     assert once() == [(1, 1), (2, 2), (3, 3), (4, 4)]
     assert once() == [(1, 1), (2, 2), (3, 3), (4, 4)]
+
+
+def test_appended_vectors_keep_their_order(spark, tmp_path):
+    path = str(tmp_path / "vectors")
+    for start in (0, 1_000, 2_000):
+        batch = spark.range(start, start + 1_000, 1, 3).select(F.array(F.col("id").cast("float")).alias("embedding"))
+        vectors_text.write(batch, path)
+    rows = spark.range(3_000).select(F.col("id").alias("row_no"), F.col("id").alias("text"))
+    pairs = vectors_text.align(rows, vectors_text.read(spark, path))
+    assert pairs.count() == 3_000 and pairs.filter(F.col("embedding")[0] != F.col("text")).count() == 0
+    vectors_text.write(rows.limit(5).select(F.array(F.lit(1.0)).alias("embedding")), path, mode="overwrite")
+    assert vectors_text.read(spark, path).count() == 5
+
+
+def test_part_files_follow_by_number(spark, tmp_path):
+    for name, line in (("part-99999-a.txt", "first"), ("part-100000-a.txt", "second")):
+        (tmp_path / name).write_text(line + "\n")
+    got = lines.read_questions(spark, str(tmp_path)).orderBy("line_no").collect()
+    assert [r.question for r in got] == ["first", "second"]
