@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog_answers, catalog_crawl, catalog_dense, catalog_sparse, catalog_text
+from . import catalog_answers, catalog_crawl, catalog_dense, catalog_sources, catalog_sparse, catalog_text
 
-PARTS = [catalog_sparse, catalog_dense, catalog_text, catalog_crawl, catalog_answers]
+PARTS = [catalog_sparse, catalog_dense, catalog_text, catalog_crawl, catalog_answers, catalog_sources]
 
 
 def queries() -> dict:

@@ -16,7 +16,7 @@ SPREAD_BYTES = 256 << 20
 
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Rows of a small scan over all cores, if it has fewer splits than that; others are left where they are."""
-    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) > SPREAD_BYTES:
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
