@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from html import unescape as unescape_text
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import as_col, normalize_ws
 
@@ -119,10 +121,20 @@ def extract(pages: DataFrame, scopes: dict[str, Scope]) -> DataFrame:
     return pages.select("url", "html").mapInPandas(walk, schema)
 
 
+@F.pandas_udf(StringType())
+def _all_entities(texts: pd.Series) -> pd.Series:
+    return texts.map(unescape_text, na_action="ignore")
+
+
 def unescape(c: Column) -> Column:
+    """Text with its entities resolved: the common ones by replacement, and all of a text that has any other."""
+    plain = c
     for entity, character in ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(character))
-    return c
+        plain = F.replace(plain, F.lit(entity), F.lit(character))
+    common = "|".join(entity[1:-1] for entity, _ in ENTITIES)
+    other = c.rlike(rf"&(?!(?:{common});)(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+    # Only texts with other entities are handed to the parser's own table.
+    return F.coalesce(_all_entities(F.when(other, c)), plain)
 
 
 def drop_elements(c: Column, tags: list[str]) -> Column:
@@ -146,4 +158,5 @@ def flat_text(page: Column | str, container: str, drop: tuple[str, ...] = ("scri
 def flat_title(page: Column | str, tag: str = "h1") -> Column:
     """Texts of all ``tag`` elements, joined by a space."""
     found = F.regexp_extract_all(as_col(page), F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>"), F.lit(1))
-    return normalize_ws(F.array_join(F.transform(found, strip_tags), " "))
+    bare = F.transform(found, lambda t: F.regexp_replace(t, r"<[^>]*>", " "))
+    return normalize_ws(unescape(F.array_join(bare, " ")))

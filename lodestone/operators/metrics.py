@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,8 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .infer import loaded
 from .ranking import global_number
-from ..functions.text import normalize_ws, strip, tokens
+from ..functions.text import let, normalize_ws, run_counts, strip, tokens
 
 # ASCII punctuation and the articles that answer matching ignores.
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
@@ -103,27 +105,18 @@ BLEU_RULES = [
 ]
 
 
-def bag_overlap(pairs: DataFrame, prediction: Column, reference: Column) -> DataFrame:
-    """(pair_id, n_common, n_prediction, n_reference) of two token lists; common counts each token by its minimum.
+def bag_overlap(prediction: Column, reference: Column) -> Column:
+    """struct(n_common, n_prediction, n_reference) of two token lists; common counts each token by its minimum.
 
-    Pairs are spread by id once; both aggregates then run where the rows are.
+    Counted inside the row, without a shuffle.
     """
-    empty = F.array().cast("array<struct<token:string,p:int,r:int>>")
-    tagged = F.concat(
-        F.coalesce(F.transform(prediction, lambda t: F.struct(t.alias("token"), F.lit(1).alias("p"), F.lit(0).alias("r"))), empty),
-        F.coalesce(F.transform(reference, lambda t: F.struct(t.alias("token"), F.lit(0).alias("p"), F.lit(1).alias("r"))), empty),
-    )
-    counted = (
-        pairs.repartition("pair_id")
-        .select("pair_id", F.explode_outer(tagged).alias("t"))
-        .groupBy("pair_id", F.col("t.token").alias("token"))
-        .agg(F.coalesce(F.sum("t.p"), F.lit(0)).alias("p"), F.coalesce(F.sum("t.r"), F.lit(0)).alias("r"))
-    )
-    return counted.groupBy("pair_id").agg(
-        F.sum(F.least("p", "r")).alias("n_common"),
-        F.sum("p").alias("n_prediction"),
-        F.sum("r").alias("n_reference"),
-    )
+    n = lambda c: F.coalesce(F.size(F.coalesce(c, F.array().cast("array<string>"))), F.lit(0)).cast("bigint")
+    known = F.map_from_entries(run_counts(F.coalesce(reference, F.array().cast("array<string>")), "token", "n"))
+    mine = run_counts(F.coalesce(prediction, F.array().cast("array<string>")), "token", "n")
+    common = let(known, lambda m: F.aggregate(
+        mine, F.lit(0).cast("bigint"), lambda total, t: total + F.least(t["n"], F.coalesce(F.try_element_at(m, t["token"]), F.lit(0)))
+    ))
+    return F.struct(common.alias("n_common"), n(prediction).alias("n_prediction"), n(reference).alias("n_reference"))
 
 
 def _f1(common: Column, n_prediction: Column, n_reference: Column) -> Column:
@@ -131,14 +124,29 @@ def _f1(common: Column, n_prediction: Column, n_reference: Column) -> Column:
     return F.when(common > 0, F.lit(2.0) * common / (n_prediction + n_reference)).otherwise(F.lit(0.0))
 
 
+def _f1_of(bags: Column) -> Column:
+    return let(bags, lambda b: _f1(b["n_common"], b["n_prediction"], b["n_reference"]))
+
+
+def squad_columns(prediction: Column | str, reference: Column | str) -> tuple[Column, Column]:
+    """(squad_exact_match, squad_f1), both in 0..100."""
+    p, r = squad_text(prediction), squad_text(reference)
+    exact = F.when(p == r, 100.0).otherwise(0.0)
+    return exact.alias("squad_exact_match"), (_f1_of(bag_overlap(tokens(p), tokens(r))) * 100.0).alias("squad_f1")
+
+
+def rouge1_column(prediction: Column | str, reference: Column | str) -> Column:
+    return _f1_of(bag_overlap(rouge_tokens(prediction), rouge_tokens(reference))).alias("rouge1")
+
+
+def bleu1_column(prediction: Column | str, reference: Column | str) -> Column:
+    """struct(n_common, n_prediction, n_reference), to be summed over pairs."""
+    return bag_overlap(bleu_tokens(prediction), bleu_tokens(reference))
+
+
 def squad_per_pair(pairs: DataFrame) -> DataFrame:
-    """``pairs(pair_id, prediction, reference)`` → (pair_id, squad_exact_match, squad_f1), both in 0..100."""
-    p, r = squad_text("prediction"), squad_text("reference")
-    exact = pairs.select("pair_id", F.when(p == r, 100.0).otherwise(0.0).alias("squad_exact_match"))
-    bags = bag_overlap(pairs, tokens(p), tokens(r)).select(
-        "pair_id", (_f1(F.col("n_common"), F.col("n_prediction"), F.col("n_reference")) * 100.0).alias("squad_f1")
-    )
-    return exact.join(bags, "pair_id")
+    """``pairs(pair_id, prediction, reference)`` → (pair_id, squad_exact_match, squad_f1)."""
+    return pairs.select("pair_id", *squad_columns("prediction", "reference"))
 
 
 def squad(pairs: DataFrame) -> DataFrame:
@@ -150,10 +158,7 @@ def squad(pairs: DataFrame) -> DataFrame:
 
 
 def rouge1_per_pair(pairs: DataFrame) -> DataFrame:
-    bags = bag_overlap(pairs, rouge_tokens("prediction"), rouge_tokens("reference"))
-    return bags.select(
-        "pair_id", _f1(F.col("n_common"), F.col("n_prediction"), F.col("n_reference")).alias("rouge1")
-    )
+    return pairs.select("pair_id", rouge1_column("prediction", "reference"))
 
 
 def rouge1(pairs: DataFrame) -> DataFrame:
@@ -161,8 +166,8 @@ def rouge1(pairs: DataFrame) -> DataFrame:
     return rouge1_per_pair(pairs).agg(F.count("*").alias("n_pairs"), F.avg("rouge1").alias("rouge1"))
 
 
-def bleu1_counts(pairs: DataFrame) -> DataFrame:
-    return bag_overlap(pairs, bleu_tokens("prediction"), bleu_tokens("reference"))
+def bleu1_counts(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    return pairs.select("pair_id", *(by or []), bleu1_column("prediction", "reference").alias("_b")).select("pair_id", *(by or []), "_b.*")
 
 
 def bleu1_score(matches: Column, candidate: Column, reference: Column) -> Column:
@@ -173,9 +178,7 @@ def bleu1_score(matches: Column, candidate: Column, reference: Column) -> Column
 
 def bleu1(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Corpus BLEU with unigrams and add-one smoothing: one row, or one per group of ``by`` columns of ``pairs``."""
-    counts = bleu1_counts(pairs)
-    if by:
-        counts = counts.join(pairs.select("pair_id", *by), "pair_id")
+    counts = bleu1_counts(pairs, by)
     sums = counts.groupBy(*(by or [])).agg(
         F.count("*").alias("n_pairs"), F.sum("n_common").alias("_m"),
         F.sum("n_prediction").alias("_t"), F.sum("n_reference").alias("_r"),
@@ -183,27 +186,31 @@ def bleu1(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     return sums.select(*(by or []), "n_pairs", bleu1_score(F.col("_m"), F.col("_t"), F.col("_r")).alias("bleu1"))
 
 
-def bertscore_per_pair(
-    pairs: DataFrame, factory: Callable[[], Callable[[list[str]], np.ndarray]],
-    tokenizer: Callable[[str], list[str]] = str.split,
-) -> DataFrame:
+# Token vectors of texts in their context: each text gives its tokens and one vector for each.
+Encoder = Callable[[list[str]], list[tuple[list[str], np.ndarray]]]
+
+
+def bertscore_per_pair(pairs: DataFrame, factory: Callable[[], Encoder], key: str | None = None) -> DataFrame:
     """Greedy token matching by cosine: (pair_id, precision, recall, f1) with vectors of an injected encoder.
 
-    Each Arrow batch encodes its distinct tokens in one call; a pair then costs one small matrix product.
+    The encoder sees whole texts, so that a token's vector may depend on its sentence; the distinct texts of an Arrow
+    batch go to it in one call and a pair then costs one small matrix product. A side without tokens scores 0.
     """
+    key = key or uuid.uuid4().hex
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = factory()
         for batch in batches:
-            sides = [[tokenizer(t or "") for t in batch[c]] for c in ("prediction", "reference")]
-            distinct = sorted({t for side in sides for row in side for t in row})
-            where = {t: i for i, t in enumerate(distinct)}
-            vectors = np.asarray(encode(distinct), dtype=np.float64) if distinct else np.zeros((0, 1))
-            vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+            encode = loaded(key, factory)
+            sides = [batch[c].fillna("").tolist() for c in ("prediction", "reference")]
+            distinct = list(dict.fromkeys(sides[0] + sides[1]))
+            unit = {}
+            for text, (found, vectors) in zip(distinct, encode(distinct) if distinct else []):
+                x = np.asarray(vectors, dtype=np.float64)
+                unit[text] = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if len(found) else None
             rows = []
-            for pair_id, p, r in zip(batch["pair_id"], *sides):
-                if p and r:
-                    cosine = vectors[[where[t] for t in p]] @ vectors[[where[t] for t in r]].T
+            for pair_id, p, r in zip(batch["pair_id"], *([unit[t] for t in side] for side in sides)):
+                if p is not None and r is not None:
+                    cosine = p @ r.T
                     precision, recall = cosine.max(axis=1).mean(), cosine.max(axis=0).mean()
                     total = precision + recall
                     rows.append((pair_id, precision, recall, 2 * precision * recall / total if total else 0.0))
@@ -215,8 +222,8 @@ def bertscore_per_pair(
     return pairs.select("pair_id", "prediction", "reference").mapInPandas(score, schema)
 
 
-def bertscore(pairs: DataFrame, factory: Callable, tokenizer: Callable[[str], list[str]] = str.split) -> DataFrame:
-    return bertscore_per_pair(pairs, factory, tokenizer).agg(
+def bertscore(pairs: DataFrame, factory: Callable[[], Encoder], key: str | None = None) -> DataFrame:
+    return bertscore_per_pair(pairs, factory, key).agg(
         F.count("*").alias("n_pairs"),
         *[F.avg(c).alias(f"bertscore_{c}") for c in ("precision", "recall", "f1")],
     )

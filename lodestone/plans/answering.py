@@ -165,26 +165,33 @@ def run_validation(
     return retrieve.collate(questions, read_answers(questions, pairs, models, template))
 
 
-def validation_metrics(records: DataFrame, batch: int = METRIC_BATCH, row_no: str = "question_id") -> DataFrame:
+def validation_metrics(
+    records: DataFrame, batch: int = METRIC_BATCH, row_no: str = "question_id", encoder: infer.Factory | None = None
+) -> DataFrame:
     """Every score per batch of ``batch`` consecutive questions and over all (batch_id NULL), out of answer records.
 
-    Questions are numbered from 0 in the order of ``row_no``, whatever gaps it has.
+    Questions are numbered from 0 in the order of ``row_no``, whatever gaps it has. Token counts are made inside each
+    row. With an ``encoder`` of texts into token vectors, BERTScore is added.
     """
     scored = global_number(records, [row_no], "_no").select(
         F.col("question_id").alias("pair_id"), F.col("_no").alias("row_no"),
         F.col("generated_answer").alias("prediction"), F.col("gt_answer").alias("reference"),
         F.nullif(F.array_position("retrieved_chunk_ids", F.col("gt_chunk_id")), F.lit(0)).alias("_rank"),
     )
-    base = scored.select(
-        "pair_id", "row_no", F.col("_rank").isNotNull().cast("double").alias("recall"),
-        F.coalesce(F.lit(1.0) / F.col("_rank"), F.lit(0.0)).alias("mrr"),
+    joined = scored.select(
+        "pair_id", F.floor(F.col("row_no") / batch).cast("bigint").alias("batch_id"),
+        F.col("_rank").isNotNull().cast("double").alias("recall"), F.coalesce(F.lit(1.0) / F.col("_rank"), F.lit(0.0)).alias("mrr"),
+        *metrics.squad_columns("prediction", "reference"), metrics.rouge1_column("prediction", "reference"),
+        metrics.bleu1_column("prediction", "reference").alias("_bleu"),
     )
-    pairs = scored.select("pair_id", "prediction", "reference")
-    per_pair = base.join(metrics.squad_per_pair(pairs), "pair_id").join(metrics.rouge1_per_pair(pairs), "pair_id")
-    counts = metrics.bleu1_counts(pairs).select("pair_id", "n_common", "n_prediction", "n_reference")
-    joined = per_pair.join(counts, "pair_id").withColumn("batch_id", F.floor(F.col("row_no") / batch).cast("bigint"))
-    measures = [F.avg(c).alias(c) for c in ("recall", "mrr", "squad_exact_match", "squad_f1", "rouge1")]
-    bleu = metrics.bleu1_score(F.sum("n_common"), F.sum("n_prediction"), F.sum("n_reference")).alias("bleu1")
+    names = ["recall", "mrr", "squad_exact_match", "squad_f1", "rouge1"]
+    if encoder is not None:
+        similar = metrics.bertscore_per_pair(scored.select("pair_id", "prediction", "reference"), encoder)
+        parts = ["precision", "recall", "f1"]
+        joined = joined.join(similar.select("pair_id", *[F.col(c).alias(f"bertscore_{c}") for c in parts]), "pair_id")
+        names += [f"bertscore_{c}" for c in parts]
+    measures = [F.avg(c).alias(c) for c in names]
+    bleu = metrics.bleu1_score(*[F.sum(f"_bleu.{c}") for c in ("n_common", "n_prediction", "n_reference")]).alias("bleu1")
     size = F.count("*").alias("n_questions")
     # ROLLUP gives the batch rows and the overall row in one pass.
     return joined.rollup("batch_id").agg(size, *measures, bleu)

@@ -18,6 +18,7 @@ from ..streaming import ingest
 r = Registry()
 r.fragments.include(catalog_sparse.r.fragments)
 r.fragments.include(catalog_dense.r.fragments)
+r.fragments.include(catalog_text.r.fragments)
 DENSE_K, SPARSE_K, RERANK_K = catalog_dense.K, catalog_sparse.K, 3
 DIM = catalog_dense.DIM
 
@@ -254,10 +255,33 @@ def rag_validation_metrics(spark, sf_dir):
     return scores.select("batch_id", "n_questions", *[F.round(m, 6).alias(m) for m in measures])
 
 
-@r.query()
+# Tokens of both sides as (bucket, bucket before); a vector has 1 and 1/2 there, so cosines follow from equal buckets.
+r.fragments.add("bert_texts", """
+    SELECT pair_id, 1 AS side, string_split(prediction, ' ') AS w FROM scored_pairs
+    UNION ALL SELECT pair_id, 2, string_split(reference, ' ') FROM scored_pairs""")
+r.fragments.add("bert_tokens", """
+    SELECT *, CASE WHEN before IS NULL THEN 1.0 WHEN before = bucket THEN 1.5 ELSE sqrt(1.25) END AS size FROM (
+        SELECT pair_id, side, i, bucket, lag(bucket) OVER (PARTITION BY pair_id, side ORDER BY i) AS before FROM (
+            SELECT pair_id, side, i, ('0x' || substr(md5(t), 1, 8))::BIGINT % 64 AS bucket FROM (
+                SELECT pair_id, side, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM bert_texts) WHERE t <> ''))""")
+r.fragments.add("bert_near", """
+    SELECT p.pair_id, p.i AS pi, r.i AS ri, ((p.bucket = r.bucket)::INT + 0.5 * coalesce((p.bucket = r.before)::INT, 0)
+           + 0.5 * coalesce((p.before = r.bucket)::INT, 0) + 0.25 * coalesce((p.before = r.before)::INT, 0)) / (p.size * r.size) AS cosine
+    FROM bert_tokens p JOIN bert_tokens r ON p.pair_id = r.pair_id AND p.side = 1 AND r.side = 2""")
+r.fragments.add("bert_pairs", """
+    SELECT pair_id, coalesce(a.v, 0) AS precision, coalesce(b.v, 0) AS recall FROM scored_pairs
+    LEFT JOIN (SELECT pair_id, avg(m) AS v FROM (SELECT pair_id, pi, max(cosine) AS m FROM bert_near GROUP BY ALL) GROUP BY pair_id) a USING (pair_id)
+    LEFT JOIN (SELECT pair_id, avg(m) AS v FROM (SELECT pair_id, ri, max(cosine) AS m FROM bert_near GROUP BY ALL) GROUP BY pair_id) b USING (pair_id)""")
+
+
+@r.query("""
+    SELECT count(*) AS n_pairs, round(avg(precision), 6) AS bertscore_precision, round(avg(recall), 6) AS bertscore_recall,
+           round(avg(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END), 6) AS bertscore_f1
+    FROM bert_pairs""")
 def bertscore_tokens(spark, sf_dir):
-    """Token matching with vectors of an injected encoder."""
-    return metrics.bertscore(catalog_text.scored_pairs(spark, sf_dir), standins.hashed_encoder(64))
+    """Token matching with vectors that depend on the token before, of an injected encoder of whole texts."""
+    scores = metrics.bertscore(catalog_text.scored_pairs(spark, sf_dir), standins.context_encoder(64))
+    return scores.select("n_pairs", *[F.round(f"bertscore_{c}", 6).alias(f"bertscore_{c}") for c in ("precision", "recall", "f1")])
 
 
 @r.query("SELECT doc_id AS chunk_id, source AS source_name, length(text) AS n_chars FROM documents")

@@ -46,13 +46,22 @@ def line_summarizer():
     return write
 
 
-def hashed_encoder(dim: int = 64):
-    """Encoder of single tokens by signed bytes of their MD5."""
+def context_encoder(dim: int = 64):
+    """Encoder of texts: a token's vector has 1 at the bucket of the token and 1/2 at that of the token before it."""
 
     def build():
-        def encode(tokens: list[str]) -> np.ndarray:
-            rows = [np.frombuffer(hashlib.md5(t.encode()).digest() * (dim // 16), np.int8) for t in tokens]
-            return np.stack(rows).astype(np.float64) if rows else np.zeros((0, dim))
+        def encode(texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
+            out = []
+            for text in texts:
+                tokens = [t for t in text.split(" ") if t]
+                buckets = [int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim for t in tokens]
+                x = np.zeros((len(tokens), dim))
+                for i, b in enumerate(buckets):
+                    x[i, b] += 1.0
+                    if i:
+                        x[i, buckets[i - 1]] += 0.5
+                out.append((tokens, x))
+            return out
 
         return encode
 
