@@ -201,6 +201,38 @@ r.fragments.add("record_pairs", """
            nullif(coalesce(list_position(retrieved_chunk_ids, gt_chunk_id), 0), 0) AS hit FROM records""")
 
 
+r.fragments.add("dense_scores", f"""
+    SELECT *, round(CASE WHEN len({Q_WORDS}) > 0 THEN len(list_intersect(list_distinct({Q_WORDS}), {T_WORDS}))::DOUBLE
+           / len(list_distinct({Q_WORDS})) ELSE 0.0 END, 6) AS score FROM (
+        SELECT n.query_id AS question_id, n.rank, n.chunk_id, b.text AS question, d.text AS text_content
+        FROM text_near n JOIN documents d ON d.doc_id = n.chunk_id JOIN benchmark b ON b.item_id = n.query_id)""")
+r.fragments.add("dense_best", f"""
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, rank) AS place FROM dense_scores)
+    WHERE place <= {RERANK_K}""")
+
+
+@r.query(f"""
+    SELECT b.item_id AS question_id, array_to_string(list_filter(string_split({ws("coalesce(context, '')")}, ' '), lambda x: length(x) > 0)[1:10], ' ') AS answer
+    FROM benchmark b LEFT JOIN (
+        SELECT question_id, string_agg(string_split(text_content, chr(10))[1], chr(10) || chr(10) ORDER BY place) AS context
+        FROM dense_best GROUP BY question_id) c ON c.question_id = b.item_id""")
+def rag_dense_only_e2e(spark, sf_dir):
+    """The dense channel alone on the expanded question, reranked by the expanded text, with summaries and the reader."""
+    conf = RetrievalConfig(dense_k=DENSE_K, rerank_k=RERANK_K, rerank_query="expanded")
+    questions = tables.questions(spark, sf_dir)
+    return answering.run("inference", questions, corpus(spark, sf_dir), MODELS, conf)
+
+
+@r.query("SELECT question_id, rank, chunk_id FROM fused")
+def retrieval_without_rerank(spark, sf_dir):
+    """Both channels, neither reranked nor summarised."""
+    conf = RetrievalConfig(
+        dense_k=DENSE_K, sparse_enabled=True, sparse_k=SPARSE_K, rerank_enabled=False, summary_enabled=False, hyde_enabled=False
+    )
+    found = answering.retrieve_chunks(asked(spark, sf_dir), corpus(spark, sf_dir), MODELS, conf)
+    return found.select("question_id", "rank", "chunk_id")
+
+
 def labelled(spark, sf_dir):
     """Questions with the chunk that contains them; the passage itself is the expected answer."""
     found = asked(spark, sf_dir).join(catalog_sparse.gold(spark, sf_dir), "question_id")
