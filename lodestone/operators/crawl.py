@@ -164,12 +164,12 @@ def select_topical(
     pages: DataFrame, page_vectors: DataFrame, topic_vectors: DataFrame, threshold: float
 ) -> DataFrame:
     """Pages whose keyword vector has a cosine of at least ``threshold`` with a topic vector (all of unit length)."""
-    from .dense import search_exact
+    from .dense import nearest_distance
 
-    nearest_topic = search_exact(
-        page_vectors.select(F.col("page_id").alias("query_id"), "embedding"),
-        topic_vectors.select(F.col("topic_id").alias("chunk_id"), "embedding"), 1,
+    near = nearest_distance(
+        page_vectors.select(F.col("page_id").alias("chunk_id"), "embedding"),
+        topic_vectors.select(F.col("topic_id").alias("query_id"), "embedding"),
     )
     # For unit vectors the squared distance is 2 - 2·cosine.
-    close = nearest_topic.filter(F.lit(1.0) - F.col("distance") / 2 >= threshold)
-    return pages.join(close.select(F.col("query_id").alias("page_id")), "page_id", "left_semi")
+    close = near.filter(F.lit(1.0) - F.col("distance") / 2 >= threshold)
+    return pages.join(close.select(F.col("chunk_id").alias("page_id")), "page_id", "left_semi")

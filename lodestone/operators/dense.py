@@ -58,8 +58,8 @@ def hashed_weights(df: DataFrame, key: str, text: str, dim: int) -> DataFrame:
     return df.select(key, F.inline(let(_buckets(text, dim), unit)))
 
 
-def hashed_vectors(df: DataFrame, key: str, text: str, dim: int) -> DataFrame:
-    """(key, embedding) with the hashed vectors as arrays; text without words has the zero vector. No shuffle."""
+def hashed_vectors(df: DataFrame, key: str, text: str, dim: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, *keep, embedding) with the hashed vectors as arrays; text without words has the zero vector. No shuffle."""
 
     def spread(counts: Column) -> Column:
         by_bucket = F.map_from_entries(counts)
@@ -68,7 +68,7 @@ def hashed_vectors(df: DataFrame, key: str, text: str, dim: int) -> DataFrame:
             lambda i: F.coalesce(F.try_element_at(m, i) / F.nullif(length, F.lit(0.0)), F.lit(0.0)),
         )))
 
-    return df.select(key, let(_buckets(text, dim), spread).alias("embedding"))
+    return df.select(key, *keep, let(_buckets(text, dim), spread).alias("embedding"))
 
 
 def embed(df: DataFrame, key: str, text: str, encoder: infer.Factory, batch_size: int = 16) -> DataFrame:
@@ -228,6 +228,38 @@ def search_exact(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: b
     return search_blocks(queries, vectors, k, exclude_self)
 
 
+def nearest_distance(vectors: DataFrame, few: DataFrame) -> DataFrame:
+    """(chunk_id, distance) of each of ``vectors`` to the nearest of ``few(query_id, embedding)``.
+
+    The few travel and the vectors stay, in one pass without a shuffle, if the few are within ``QUERY_BYTES``; else both
+    are joined block by block.
+    """
+    sent = _query_matrix(few)
+    if sent is None:
+        swapped = vectors.select(F.col("chunk_id").alias("query_id"), "embedding")
+        found = search_exact(swapped, few.select(F.col("query_id").alias("chunk_id"), "embedding"), 1)
+        return found.select(F.col("query_id").alias("chunk_id"), "distance")
+    shared = vectors.sparkSession.sparkContext.broadcast(sent[1])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = shared.value
+        for batch in batches:
+            x = _matrix(batch.column("embedding"))
+            if not len(x) or not len(q):
+                continue
+            best = np.full(len(x), np.inf)
+            for lo in range(0, len(q), BLOCK_QUERIES):
+                some = q[lo:lo + BLOCK_QUERIES]
+                d = (x * x).sum(axis=1)[:, None] + (some * some).sum(axis=1)[None, :] - 2.0 * (x @ some.T)
+                best = np.minimum(best, d.min(axis=1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("chunk_id"), pa.array(np.round(np.maximum(best, 0.0), DIGITS))], names=["chunk_id", "distance"]
+            )
+
+    rows = vectors.select(F.col("chunk_id").cast("bigint").alias("chunk_id"), "embedding")
+    return rows.mapInArrow(scan, "chunk_id bigint, distance double")
+
+
 def search_blocks(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
     """Exact search for query sets of any size: blocks of queries meet blocks of vectors, each pair in one task."""
     cell = F.lit(0).alias("cell")

@@ -316,7 +316,10 @@ def bertscore_tokens(spark, sf_dir):
     return scores.select("n_pairs", *[F.round(f"bertscore_{c}", 6).alias(f"bertscore_{c}") for c in ("precision", "recall", "f1")])
 
 
-@r.query("SELECT doc_id AS chunk_id, source AS source_name, length(text) AS n_chars FROM documents")
+@r.query(r"""
+    SELECT doc_id AS chunk_id, source AS source_name, length(text) AS n_chars, len(list_distinct(list_transform(
+           regexp_extract_all(lower(text), '\p{L}+'), lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % 64))) AS n_buckets,
+           CASE WHEN regexp_matches(text, '\p{L}') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS size FROM documents""")
 def stream_ingest(spark, sf_dir):
     """Documents streamed into an embedded chunk table, once per id; the table is read back."""
     from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -328,6 +331,14 @@ def stream_ingest(spark, sf_dir):
         F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_name"), F.col("text").alias("text_content")
     )
     root = work_path(spark, "stream")
-    length = lambda batch: batch.withColumn("n_chars", F.length("text_content").cast("bigint")).drop("text_content")
-    ingest.start(rows, length, f"{root}/table", f"{root}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{root}/table")
+
+    def embedded(batch):
+        counted = batch.withColumn("n_chars", F.length("text_content").cast("bigint"))
+        return dense.hashed_vectors(counted, "chunk_id", "text_content", DIM, ("source_name", "n_chars"))
+
+    ingest.start(rows, embedded, f"{root}/table", f"{root}/checkpoint").awaitTermination()
+    squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
+    return spark.read.parquet(f"{root}/table").select(
+        "chunk_id", "source_name", "n_chars", F.size(F.filter("embedding", lambda x: x > 0)).cast("bigint").alias("n_buckets"),
+        F.round(squares, 6).alias("size"),
+    )
