@@ -98,7 +98,7 @@ def build_norms(postings: DataFrame, vocabulary: DataFrame, small_vocabulary: bo
 def fit(documents: DataFrame, store: bool = True) -> SparseIndex:
     """Index of ``documents(chunk_id, terms)``. The document count includes documents without terms.
 
-    With ``store`` the postings and the vocabulary are written once to the shared folder, as several branches read
+    With ``store`` the postings, the vocabulary and the norms are written once to the shared folder, as several branches read
     them; without it they stay lazy.
     """
     n_documents = documents.agg(F.count("*")).scalar()
@@ -110,7 +110,9 @@ def fit(documents: DataFrame, store: bool = True) -> SparseIndex:
     if store:
         vocabulary = stored(vocabulary, "vocabulary")
         small = fits(vocabulary, "term")
-    return SparseIndex(vocabulary, postings, build_norms(postings, vocabulary, small))
+    norms = build_norms(postings, vocabulary, small)
+    # Every search divides by the norms; stored once, no search goes over all postings for them.
+    return SparseIndex(vocabulary, postings, stored(norms, "norms") if store else norms)
 
 
 def weights(index: SparseIndex) -> DataFrame:

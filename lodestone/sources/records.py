@@ -4,15 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .lines import with_line_numbers
 from .. import schemas
 
 
-def read_json(spark: SparkSession, path: str, schema: StructType, strict: bool = False) -> DataFrame:
-    """Rows of a JSON-lines file. Broken lines are an error if ``strict``, else rows of NULLs."""
-    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
+def read_json(
+    spark: SparkSession, path: str, schema: StructType, strict: bool = False, corrupt: str | None = None
+) -> DataFrame:
+    """Rows of a JSON-lines file. Broken lines are an error if ``strict``, else rows of NULLs.
+
+    With ``corrupt`` such rows carry their line in a column of that name, which is NULL in all others.
+    """
+    reader = spark.read.option("mode", "FAILFAST" if strict else "PERMISSIVE")
+    if corrupt:
+        schema = StructType(schema.fields + [StructField(corrupt, StringType())])
+        reader = reader.option("columnNameOfCorruptRecord", corrupt)
+    return reader.schema(schema).json(path)
 
 
 def text_of(raw: Column) -> Column:

@@ -115,3 +115,9 @@ def test_part_files_follow_by_number(spark, tmp_path):
         (tmp_path / name).write_text(line + "\n")
     got = lines.read_questions(spark, str(tmp_path)).orderBy("line_no").collect()
     assert [r.question for r in got] == ["first", "second"]
+
+
+def test_broken_lines_can_be_kept(spark, tmp_path):
+    (tmp_path / "q.jsonl").write_text('{"question_id": 1, "question": "a"}\nnot json\n')
+    rows = records.read_json(spark, str(tmp_path / "q.jsonl"), schemas.QUESTION_FILE, corrupt="broken").collect()
+    assert sorted((r.question_id or "", r.broken or "") for r in rows) == [("", "not json"), ("1", "")]
