@@ -118,9 +118,11 @@ class EliasFano:
         stop = self._select(high, False) - high
         goal = x & np.uint64((1 << self.low) - 1)
         open_ = np.flatnonzero(at < stop)
-        while len(open_):  # buckets of one high part hold one or two numbers on average
-            open_ = open_[self._lows(at[open_]) < goal[open_]]
-            at[open_] += 1
+        while len(open_):  # halves what is left of each high part's run, which is long where numbers crowd
+            middle = (at[open_] + stop[open_]) >> 1
+            below = self._lows(middle) < goal[open_]
+            at[open_[below]] = middle[below] + 1
+            stop[open_[~below]] = middle[~below]
             open_ = open_[at[open_] < stop[open_]]
         return at
 
