@@ -17,7 +17,7 @@ from .shared import hashed_words, mix64, task_row_prefix, text_batches
 # Added to every count of single tokens, and taken from every count of pairs.
 ADDED, DISCOUNT = 0.1, 0.75
 # Text bytes whose tokens are handled together, and distinct pairs (about) of one shard of the model.
-BLOCK_BYTES, SHARD_PAIRS = 32 << 20, 1 << 21
+BLOCK_BYTES, SHARD_PAIRS = 12 << 20, 1 << 20
 # Following tokens are told apart by this many bits of their hash, within one context.
 CHILD_BITS = 36
 # Step of the quantised logarithms; code 0 is "not there".
