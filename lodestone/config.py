@@ -16,6 +16,7 @@ TEST_SHARE = 0.2
 SPLIT_SEED = 42
 PQ_SUBVECTORS = 16
 PQ_BITS = 8
+RECALL = 0.95
 
 INDEX_TYPES = ("exact", "hnsw", "hnsw_pq")
 MODES = ("validation", "inference")
@@ -27,7 +28,9 @@ class IndexConfig:
 
     index_type: str = "hnsw"
     n_cells: int = 64
-    n_probe: int = 8
+    # Cells that each query looks at; None calibrates them by brute force until ``recall`` of the true neighbours is found.
+    n_probe: int | None = None
+    recall: float = RECALL
     pq_m: int = PQ_SUBVECTORS
     pq_bits: int = PQ_BITS
     rescore: int = 8

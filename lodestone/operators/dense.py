@@ -28,6 +28,8 @@ QUERY_BYTES = 64 << 20
 BLOCK_QUERIES = 2_048
 BLOCK_VECTORS = 32_768
 STEP = 4_096
+# Queries (at most) on which the number of cells to probe is calibrated against brute force.
+CALIBRATION = 128
 
 RESULT = "query_id bigint, chunk_id bigint, distance double"
 
@@ -343,6 +345,37 @@ def assign_cells(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
     return rows.mapInArrow(assign, f"chunk_id bigint, embedding {kind}, cell int")
 
 
+def _by_distance(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The cells of each row, nearest first."""
+    d = (centroids * centroids).sum(axis=1)[None, :] - 2.0 * (x @ centroids.T)
+    return np.argsort(d, axis=1, kind="stable").astype(np.int32)
+
+
+def calibrate_probes(
+    queries: DataFrame, celled: DataFrame, centroids: np.ndarray, k: int, recall: float, exclude_self: bool = False
+) -> int:
+    """The fewest cells to probe that hold ``recall`` of the true k nearest of at most ``CALIBRATION`` queries.
+
+    The queries are taken by hash of their id. Their true neighbours come from an exact search over all vectors; only
+    the cell of each true neighbour, (CALIBRATION · k) rows, comes to the driver.
+    """
+    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "embedding")
+    table = asked.orderBy(hash_order(F.col("query_id"), 0), "query_id").limit(CALIBRATION).toArrow()
+    # Of several queries with one id the first is taken, as neighbours are told apart by id.
+    ids, first = np.unique(table.column("query_id").to_numpy(), return_index=True)
+    if not len(ids) or not len(centroids):
+        return len(centroids)
+    x = _matrix(table.column("embedding"))[first]
+    true = _scan(celled, ids, x, k, exclude_self, lambda b: _matrix(b.column("embedding")))
+    held = celled.select("chunk_id", "cell").join(F.broadcast(true.select("query_id", "chunk_id")), "chunk_id").toPandas()
+    if held.empty:
+        return len(centroids)
+    order = _by_distance(x, centroids)[np.searchsorted(ids, held["query_id"].to_numpy())]
+    place = (order == held["cell"].to_numpy()[:, None]).argmax(axis=1)
+    found = np.bincount(place, minlength=len(centroids)).cumsum() / len(place)
+    return int(np.argmax(found >= min(recall, 1.0))) + 1
+
+
 def search_cells(
     queries: DataFrame, celled: DataFrame, centroids: np.ndarray, k: int, n_probe: int, exclude_self: bool = False
 ) -> DataFrame:
@@ -351,8 +384,7 @@ def search_cells(
     sent = _query_matrix(queries)
 
     def probe(x: np.ndarray) -> np.ndarray:
-        d = (centroids * centroids).sum(axis=1)[None, :] - 2.0 * (x @ centroids.T)
-        return np.argsort(d, axis=1, kind="stable")[:, :n_probe].astype(np.int32)
+        return _by_distance(x, centroids)[:, :n_probe]
 
     if sent is not None:
         cells = probe(sent[1])
@@ -446,7 +478,10 @@ def search(
     if config.index_type == "hnsw":
         centroids = fit_centroids(vectors, config.n_cells, train_share=config.train_share)[0]
         celled = assign_cells(vectors, centroids)
-        return search_cells(queries, celled, centroids, k, config.n_probe, exclude_self)
+        n_probe = config.n_probe
+        if n_probe is None:
+            n_probe = calibrate_probes(queries, celled, centroids, k, config.recall, exclude_self)
+        return search_cells(queries, celled, centroids, k, n_probe, exclude_self)
     codebooks = fit_centroids(vectors, 2 ** config.pq_bits, config.pq_m, train_share=config.train_share)
     codes = encode_pq(vectors, codebooks)
     return search_pq(queries, vectors, codes, codebooks, k, config.rescore, exclude_self)

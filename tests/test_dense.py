@@ -1,11 +1,15 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from lodestone.config import IndexConfig
 from lodestone.operators import dense
 
 N, DIM, K = 400, 16, 5
+SF_DIR = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -160,3 +164,24 @@ def test_append_makes_the_table_and_adds_only_new_ids(spark, tmp_path):
     dense.append_new(rows.union(spark.createDataFrame([(3, "d")], rows.schema)), path)
     got = sorted(map(tuple, spark.read.parquet(path).collect()))
     assert [g[0] for g in got] == [1, 2, 3] and got[0][1] in "ab"
+
+
+def test_probes_are_calibrated_on_nearly_random_vectors(spark):
+    rng = np.random.default_rng(8)
+    vectors = spark.createDataFrame([(i, rng.standard_normal(24).tolist()) for i in range(1_500)], "chunk_id bigint, embedding array<double>")
+    queries = vectors.withColumnRenamed("chunk_id", "query_id")
+    truth = ranked(dense.search_exact(queries, vectors, K, exclude_self=True))
+    found = ranked(dense.search(queries, vectors, K, IndexConfig("hnsw"), exclude_self=True))
+    assert recall(found, truth) >= 0.9
+    centroids = dense.fit_centroids(vectors, 16)[0]
+    celled = dense.assign_cells(vectors, centroids)
+    few, most = (dense.calibrate_probes(queries, celled, centroids, K, share, True) for share in (0.5, 1.0))
+    assert 1 <= few < most <= 16
+    assert 1 <= dense.calibrate_probes(queries.union(queries), celled, centroids, K, 0.5, True) <= 16
+    assert dense.calibrate_probes(queries.limit(0), celled, centroids, K, 0.9) == 16
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
+def test_registered_cell_search_finds_the_neighbours_of_its_table(spark):
+    found, truth = (ranked(entry.queries()[n](spark, SF_DIR)) for n in ("dense_topk_ivf", "dense_topk_exact"))
+    assert np.mean([len(set(found.get(q, [])) & set(near)) / len(near) for q, near in truth.items()]) >= 0.9
