@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..operators.ranking import at_most, broadcast_if
 from ..session import stored
 
@@ -14,7 +15,12 @@ SECRET = (r"(?:(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*+\.)+[A-Za-z]{2,}+"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 IP = rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)"
-CARD = r"(?<![\p{L}\d.])\d(?:[ -]?\d){12,18}(?![\p{L}\d])"
+# Where a card may begin and end; the groupings of cards, of which at most one of each list fits at one place; any grouping.
+CARD_START, CARD_END = r"(?<![\p{L}\d.])", r"(?![\p{L}\d])"
+GROUPED = "|".join(r"\d{4}_\d{4}_\d{4}_\d{1,4}|\d{4}_\d{4}_\d{5}|\d{4}_\d{6}_\d{4,5}|\d{6}_\d{13}".replace("_", s) for s in " -")
+LONGER = "|".join(r"\d{4}_\d{4}_\d{4}_\d{4}_\d{1,3}".replace("_", s) for s in " -")
+FREE = r"\d(?:[ -]?\d){12,18}"
+CARD = rf"{CARD_START}{FREE}{CARD_END}"
 PHONE = r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\b\d{3}[.-])\d{3}[ .-]?\d{4}(?!\d)|(?<![\p{L}\d])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
@@ -24,7 +30,7 @@ TITLE = rf"(?:{TITLE_M}|{TITLE_F}|Dr|Prof)"
 NAME = rf"(?<![\p{{L}}\p{{N}}]){TITLE}\.? \p{{Lu}}[\p{{L}}'’]+(?:[ -]\p{{Lu}}[\p{{L}}'’]+){{0,2}}"
 # A text that nothing of this is found in holds no entity.
 GATE = rf"[0-9@]|(?:(?i)password|passwd|pwd|token|secret|key)|(?<![\p{{L}}\p{{N}}]){TITLE}\.? \p{{Lu}}"
-ANY = "|".join((SECRET, EMAIL, IBAN, IP, SSN, PHONE, CARD, NAME))
+BEFORE_CARD = "|".join((SECRET, EMAIL, IBAN, IP, SSN, PHONE))
 
 # Letters by script and case; a letter is replaced by one of its own row, one of no row by one of the first.
 ALPHABETS = [
@@ -90,7 +96,7 @@ def _kind(found: Column) -> Column:
     digits = F.regexp_replace(found, r"[^0-9]", "")
     return (
         F.when(whole(SECRET), "secret").when(whole(EMAIL), "email").when(whole(IP), "ip").when(whole(SSN), "ssn")
-        .when(whole(PHONE), "phone").when(whole(CARD) & (_checksum(digits) == 0), "card").when(whole(CARD), "none")
+        .when(whole(PHONE), "phone").when(whole(CARD) & (_checksum(digits) == 0), "card")
         .when(whole(IBAN), "iban").otherwise("name")
     )
 
@@ -187,9 +193,34 @@ def _shown(found: Column, kind: Column, surrogate: Column) -> Column:
     return F.concat(_lead(found, kind), F.when(grouped, laid).otherwise(plain))
 
 
-def mentions(text: Column) -> Column:
-    """array<struct<found, kind, value>> of the entities of a text, in order; ``none`` kinds stay as they are."""
-    found = F.when(text.rlike(GATE), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+def _cards(text: Column) -> Column:
+    """The distinct numbers of a text that pass the checksum and may be cards, those to be preferred first.
+
+    Candidates are read at every place where a number begins, also inside those that fail: plain runs and usual
+    groupings, then any grouping that contains none of the former.
+    """
+    def valid(form: str) -> Column:
+        found = F.regexp_extract_all(text, F.lit(rf"{CARD_START}(?=({form}){CARD_END})"), F.lit(1))
+        return F.filter(F.array_distinct(found), lambda c: _checksum(F.regexp_replace(c, "[ -]", "")) == 0)
+
+    def beside(first: Column, others: Column) -> Column:
+        return F.concat(first, F.filter(others, lambda o: ~F.exists(first, lambda c: o.contains(c))))
+
+    usual = let(valid(rf"\d{{13,19}}|{GROUPED}"), lambda a: beside(a, valid(LONGER)))
+    return let(usual, lambda a: beside(a, valid(FREE)))
+
+
+def _pattern(text: Column) -> Column:
+    """Pattern of the entities of a text, with its valid cards word for word: what is no card is not consumed."""
+    cards = F.when(text.rlike(CARD), _cards(text)).otherwise(F.array().cast("array<string>"))
+    return let(cards, lambda c: F.when(F.size(c) > 0, F.concat(
+        F.lit(f"{BEFORE_CARD}|{CARD_START}(?:"), F.array_join(c, "|"), F.lit(f"){CARD_END}|{NAME}")
+    )).otherwise(F.lit(f"{BEFORE_CARD}|{NAME}")))
+
+
+def mentions(text: Column, pattern: Column) -> Column:
+    """array<struct<found, kind, value>> of the entities of a text, in order."""
+    found = F.when(text.rlike(GATE), F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(F.array().cast("array<string>"))
     kinds = F.transform(found, lambda m: F.struct(m.alias("found"), _kind(m).alias("kind")))
     return F.transform(kinds, lambda m: F.struct(m["found"].alias("found"), m["kind"].alias("kind"), _value(m["found"], m["kind"]).alias("value")))
 
@@ -239,7 +270,8 @@ def surrogates(df: DataFrame, key: str, text: str, secret: str, found: str = "re
     joined back by entity.
     """
     body = F.col(text)
-    lists = df.select(F.col(key).alias("k"), F.explode(mentions(body)).alias("m")).filter("m.kind <> 'none'")
+    any_of = "_pii_any"
+    lists = df.withColumn(any_of, _pattern(body)).select(F.col(key).alias("k"), F.explode(mentions(body, F.col(any_of))).alias("m"))
     entities = lists.select("m.kind", "m.value").distinct()
     moved = _retries(entities, secret)
     out = df.drop(found)
@@ -259,14 +291,13 @@ def surrogates(df: DataFrame, key: str, text: str, secret: str, found: str = "re
     def replaced(m: Column) -> Column:
         attempt = F.coalesce(F.element_at(F.col(attempts), F.concat_ws("\u001f", m["kind"], m["value"])), F.lit(0))
         new = _shown(m["found"], m["kind"], _surrogate(m["kind"], m["value"], attempt, secret))
-        return F.struct(m["kind"].alias("kind"), F.when(m["kind"] == "none", m["found"]).otherwise(new).alias("surrogate"))
+        return F.struct(m["kind"].alias("kind"), new.alias("surrogate"))
 
-    with_lists = out.withColumn("_pii_new", F.transform(mentions(body), replaced))
-    between = F.split(body, ANY, -1)
+    with_lists = out.withColumn(any_of, _pattern(body)).withColumn("_pii_new", F.transform(mentions(body, F.col(any_of)), replaced))
+    between = F.split(body, F.col(any_of), -1)
     rewritten = F.when(F.size("_pii_new") > 0, F.array_join(F.zip_with(
         between, F.col("_pii_new.surrogate"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(body)
-    listed = F.filter("_pii_new", lambda m: m["kind"] != "none")
     return with_lists.select(
         *((rewritten if c.lower() == text.lower() else F.col(f"`{c}`")).alias(c) for c in df.columns if c.lower() != found.lower()),
-        F.coalesce(listed, F.array().cast("array<struct<kind:string,surrogate:string>>")).alias(found),
+        F.coalesce("_pii_new", F.array().cast("array<struct<kind:string,surrogate:string>>")).alias(found),
     )

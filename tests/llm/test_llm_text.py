@@ -168,6 +168,25 @@ def test_surrogates_keep_kind_format_and_identity(spark):
     assert again == {i: r.text for i, r in got.items()} and other[n] != got[n].text
 
 
+def test_cards_beside_other_digits_are_found(spark):
+    card = "4111 1111 1111 1111"
+    texts = [
+        f"{card} 12/26", "4111-1111-1111-1111 123", "2 4111111111111111", f"2024-01-15 {card}", f"{card} 8.196.197.208", f"{card} 123",
+        f"1234567890123456 {card}", "3782 822463 10005 12", "41 11 11 11 11 11 11 11", "2024-01-15 1234 5678 9012 3456, 1234567890123456",
+    ]
+    got = [r for r in pii.surrogates(rows(spark, texts), "doc_id", "text", "s").orderBy("doc_id").collect()]
+    kinds = [[m.kind for m in r.replaced] for r in got]
+    assert kinds == [["card"]] * 4 + [["card", "ip"]] + [["card"]] * 4 + [[]]
+    form = r"\d{4} \d{4} \d{4} \d{4}"
+    forms = [f"{form} 12/26", r"\d{4}-\d{4}-\d{4}-\d{4} 123", r"2 \d{16}", f"2024-01-15 {form}", rf"{form} \d+\.\d+\.\d+\.\d+",
+             f"{form} 123", f"1234567890123456 {form}", r"\d{4} \d{6} \d{5} 12", r"\d\d(?: \d\d){7}", re.escape(texts[9])]
+    for r, text, shape in zip(got, texts, forms):
+        assert re.fullmatch(shape, r.text) and (r.text != text or text is texts[9])
+        assert "4111" not in r.text and "196.197" not in r.text and "822463" not in r.text
+    same = [re.sub("[ -]", "", re.search(r"\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}", got[i].text)[0]) for i in (0, 1, 2, 5)]
+    assert len(set(same)) == 1
+
+
 def test_colliding_surrogates_are_drawn_again(spark):
     mails = [f"{c}@one.org" for c in "abcdefghijklmnopqrstuvwxyz"]
     got = pii.surrogates(rows(spark, [" ".join(mails), mails[3]]), "doc_id", "text", "s").orderBy("doc_id").collect()
