@@ -37,7 +37,8 @@ class Models:
 class Corpus:
     """``chunks(chunk_id, source_name, text_content)``, their ``vectors`` and, if wanted, a sparse index.
 
-    ``centroids`` or ``codes`` with ``codebooks`` belong to the approximate index types.
+    ``centroids`` or ``codes`` with ``codebooks`` belong to the approximate index types. ``n_probe`` is the number of
+    cells that a calibration found for this corpus; without it and without a configured one each search calibrates anew.
     """
 
     chunks: DataFrame
@@ -46,6 +47,7 @@ class Corpus:
     centroids: object | None = None
     codes: DataFrame | None = None
     codebooks: object | None = None
+    n_probe: int | None = None
     dim: int = 64
 
 
@@ -77,7 +79,10 @@ def dense_channel(questions: DataFrame, column: str, corpus: Corpus, models: Mod
     if kind == "exact":
         found = dense.search_exact(queries, corpus.vectors, conf.dense_k)
     elif kind == "hnsw":
-        found = dense.search_cells(queries, corpus.vectors, corpus.centroids, conf.dense_k, conf.index.n_probe)
+        n_probe = conf.index.n_probe or corpus.n_probe
+        if n_probe is None:
+            n_probe = dense.calibrate_probes(queries, corpus.vectors, corpus.centroids, conf.dense_k, conf.index.recall)
+        found = dense.search_cells(queries, corpus.vectors, corpus.centroids, conf.dense_k, n_probe)
     else:
         found = dense.search_pq(queries, corpus.vectors, corpus.codes, corpus.codebooks, conf.dense_k, conf.index.rescore)
     return found.select(F.col("query_id").alias("question_id"), "rank", "chunk_id")
