@@ -197,13 +197,15 @@ def join(df: DataFrame, key: str, text: str, words: int = 5, percent: int = 80)
             for r, grams in zip(held, ngram_sets(texts, words)):
                 digest = np.frombuffer(hashlib.blake2b(grams.tobytes(), digest_size=16).digest(), dtype=np.int64)
                 if (digest == (r["d1"], r["d2"])).all():
-                    yield {"block": r["block"], "key": r["key"], "grams": grams.tobytes()}
+                    yield {"block": r["block"], "key": r["key"], "d1": r["d1"], "d2": r["d2"], "grams": grams.tobytes()}
 
-    grams = stored(map_rows(again, read, "block bigint, key bigint, grams binary"), "join-grams")
+    # A key may have several sets; equal rows of one key are one.
+    read_again = map_rows(again, read, "block bigint, key bigint, d1 bigint, d2 bigint, grams binary")
+    grams = stored(read_again, "join-grams")
     sizes = stored(member.groupBy("block").agg(F.count("*").alias("n"), F.max_by("key", F.struct("n", "key")).alias("pivot")), "join-sizes")
     large = sizes.filter(F.col("n") > CUT)
     edges = _joined(grams.join(broadcast_if(sizes.filter(F.col("n") <= CUT).select("block"), few), "block", "left_semi").select(
-        "block", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "key", "grams"), percent)
+        "block", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "key", "d1", "grams"), percent)
     if not large.isEmpty():
         edges = edges.union(_large(grams, large, percent, few))
 
@@ -226,12 +228,13 @@ def _joined(parts: DataFrame, percent: int) -> DataFrame:
     def run(group):
         import pyarrow as pa
 
-        keys, sides, raw = (group.column(c).to_pylist() for c in ("key", "side", "grams"))
-        sides_of: list[dict[int, np.ndarray]] = [{}, {}]
-        for k, s, g in zip(keys, sides, raw):
-            sides_of[s][k] = np.frombuffer(g, dtype=np.uint64)
+        keys, digests, sides, raw = (group.column(c).to_pylist() for c in ("key", "d1", "side", "grams"))
+        sides_of: list[dict[tuple[int, int], np.ndarray]] = [{}, {}]
+        for k, d, s, g in zip(keys, digests, sides, raw):
+            sides_of[s][k, d] = np.frombuffer(g, dtype=np.uint64)
         two = max(sides) > 0
         found = links(sides_of[0], sides_of[1] if two else None, percent) if sides_of[0] else []
+        found = [(a[0], b[0]) for a, b in found if a[0] != b[0]]
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return parts.groupBy("block", "i", "j").applyInArrow(run, "a bigint, b bigint")
@@ -246,21 +249,22 @@ def _large(grams: DataFrame, large: DataFrame, percent: int, few: bool) -> DataF
         for r in items:
             a, b = np.frombuffer(r["grams"], dtype=np.uint64), np.frombuffer(r["pivot_grams"], dtype=np.uint64)
             both = len(np.intersect1d(a, b, assume_unique=True))
-            yield {"block": r["block"], "key": r["key"], "pivot": r["pivot"], "near": similar(both, len(a), len(b), percent)}
+            near = similar(both, len(a), len(b), percent)
+            yield {"block": r["block"], "key": r["key"], "d1": r["d1"], "pivot": r["pivot"], "near": near}
 
     compared = stored(map_rows(inside.join(broadcast_if(pivots, at_most(pivots, 1_000)), "block"), compare,
-                               "block bigint, key bigint, pivot bigint, near boolean"), "join-pivots")
+                               "block bigint, key bigint, d1 bigint, pivot bigint, near boolean"), "join-pivots")
     direct = compared.filter("near and key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b"))
     cuts = F.ceil(F.col("n") / CUT).cast("int")
-    rows = inside.select("block", "key", "grams", cuts.alias("cuts"), F.pmod(F.xxhash64("key"), cuts).cast("int").alias("cut")).join(
-        broadcast_if(compared.select("block", "key", "near"), few), ["block", "key"])
+    rows = inside.select("block", "key", "d1", "grams", cuts.alias("cuts"), F.pmod(F.xxhash64("key"), cuts).cast("int").alias("cut")).join(
+        broadcast_if(compared.select("block", "key", "d1", "near").distinct(), few), ["block", "key", "d1"])
     # The far ones meet every cut of the block; far cuts with each other in one order only.
     far = rows.filter("not near")
-    within = far.select("block", F.col("cut").alias("i"), F.col("cut").alias("j"), F.lit(0).alias("side"), "key", "grams")
+    within = far.select("block", F.col("cut").alias("i"), F.col("cut").alias("j"), F.lit(0).alias("side"), "key", "d1", "grams")
     as_left = far.select("block", F.col("cut").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cuts") * 2 - 1)).alias("j"),
-                         F.lit(0).alias("side"), "key", "grams", "cuts").filter("j >= cuts or j > i").drop("cuts")
+                         F.lit(0).alias("side"), "key", "d1", "grams", "cuts").filter("j >= cuts or j > i").drop("cuts")
     # Cut j of the far ones is number j, cut j of the near ones is number cuts + j.
     whole = rows.withColumn("j", F.col("cut") + F.when(F.col("near"), F.col("cuts")).otherwise(0))
     as_right = whole.select("block", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("i"), "j", F.lit(1).alias("side"),
-                            "key", "grams", "cuts").filter("j >= cuts or j > i").drop("cuts")
+                            "key", "d1", "grams", "cuts").filter("j >= cuts or j > i").drop("cuts")
     return direct.union(_joined(within.union(as_left).union(as_right), percent))
