@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
-from . import ann, bpe, langid, licenses, lm, mixing, neardup, ngram_join, pii, urls
+from . import ann, bpe, langid, licenses, lm, mixing, neardup, ngram_join, pii, quality, urls
 from .shared import table
 
 r = Registry()
@@ -128,3 +128,49 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     learns = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 != 0, F.lit(False))
     found = lm.score(table(spark, sf_dir, "documents"), "doc_id", "text", learns)
     return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def _sql(text: str) -> str:
+    """An SQL literal."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+@r.query(rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+grams AS (
+  SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM grams) WHERE n >= 2),
+repeated AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY rid),
+lines AS (SELECT rid, unnest(string_split(t, chr(10))) AS s FROM d),
+seen AS (
+  SELECT *, translate(lower_a, {_sql(quality.BLANKS)}, '') AS dense, right(rtrim(s, {_sql(quality.BLANKS + quality.CLOSING)}), 1) AS last,
+    len(s) - len(translate(s, {_sql(quality.MARKS)}, '')) AS marks, len(s) - len(translate(s, {_sql(quality.SEPARATORS)}, '')) AS seps
+  FROM (SELECT *, translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_a FROM lines) WHERE regexp_matches(s, '[^\x20\x09-\x0D]')),
+judged AS (
+  SELECT rid, s, len(dense) AS chars, CASE
+    WHEN seps >= 2 THEN 'navigation'
+    WHEN regexp_matches(lower_a, {_sql(quality.BOILERPLATE)}) THEN 'boilerplate'
+    WHEN marks >= 3 AND marks * 10 > len(dense) THEN 'punctuation'
+    WHEN NOT (last <> '' AND contains({_sql(quality.TERMINAL)}, last)) AND len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) < {quality.CUT_WORDS} THEN 'punctuation' END AS fault
+  FROM seen),
+by_doc AS (
+  SELECT rid, sum(chars)::BIGINT AS word_chars, count(*) AS n_lines, count(*) - count(DISTINCT s) AS n_dup_lines,
+    coalesce(sum(chars) FILTER (fault IS NULL), 0)::BIGINT AS left_chars, count(fault) AS n_removed
+  FROM judged GROUP BY rid),
+counted AS (
+  SELECT doc_id, len(w.w)::BIGINT AS n_words, coalesce(word_chars, 0) AS word_chars,
+    (len(t) - len(translate(t, {_sql(quality.SYMBOLS)}, '')))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(r.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(left_chars, 0) AS left_chars
+  FROM d JOIN w USING (rid) LEFT JOIN repeated r USING (rid) LEFT JOIN by_doc USING (rid))
+SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEATED} * n_words AS base_failed,
+  NOT (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEATED} * n_words)
+    AND 100 * (word_chars - left_chars) <= {quality.MAX_LOSS} * word_chars AS kept
+FROM counted
+""")
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.clean(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    removed = (F.col("quality.n_punctuation") + F.col("quality.n_navigation") + F.col("quality.n_boilerplate")).alias("n_removed")
+    fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "left_chars", "base_failed", "kept")
+    return found.select("doc_id", *(F.col(f"quality.{f}").alias(f) for f in fields), removed)
