@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
-from . import ann, bpe, langid, licenses, lm, mixing, neardup, ngram_join, pii, quality, urls
+from . import ann, bpe, langid, lexical, licenses, lm, mixing, neardup, ngram_join, pii, quality, urls
 from .shared import table
 
 r = Registry()
@@ -174,3 +174,27 @@ def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = (F.col("quality.n_punctuation") + F.col("quality.n_navigation") + F.col("quality.n_boilerplate")).alias("n_removed")
     fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "left_chars", "base_failed", "kept")
     return found.select("doc_id", *(F.col(f"quality.{f}").alias(f) for f in fields), removed)
+
+
+@r.query(r"""
+WITH tf AS (
+  SELECT rid0, doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term, count(*) AS tf
+  FROM (SELECT doc_id, rid0, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w
+        FROM (SELECT *, row_number() OVER () AS rid0 FROM documents)) GROUP BY ALL),
+size AS (SELECT rid0, sum(tf)::BIGINT AS n FROM tf GROUP BY rid0),
+whole AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM size),
+asked AS (
+  SELECT DISTINCT item_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM (SELECT item_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark) WHERE item_id IS NOT NULL),
+weight AS (
+  SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM tf, whole WHERE term IN (SELECT term FROM asked) GROUP BY term, big_n),
+scored AS (
+  SELECT item_id, rid0, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l))))::BIGINT AS score
+  FROM asked JOIN weight USING (term) JOIN tf USING (term) JOIN size USING (rid0), whole
+  WHERE doc_id IS NOT NULL GROUP BY item_id, rid0, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+""")
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "benchmark"), "item_id", "text", table(spark, sf_dir, "documents"), "doc_id", "text", k=10)
