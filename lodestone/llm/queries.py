@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
-from . import ann, bpe, langid, lexical, licenses, lm, mixing, neardup, ngram_join, pii, quality, urls
+from . import align, ann, bpe, langid, lexical, licenses, lm, mixing, neardup, ngram_join, pii, quality, urls
 from .shared import table
 
 r = Registry()
@@ -198,3 +198,17 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 """)
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "benchmark"), "item_id", "text", table(spark, sf_dir, "documents"), "doc_id", "text", k=10)
+
+
+def _byte_bpe() -> align.Tokens:
+    return align.byte_level(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _piece_bpe() -> align.Tokens:
+    return align.sentence_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@r.query()
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align.align(table(spark, sf_dir, "documents"), "doc_id", "text", _byte_bpe, _piece_bpe, digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
