@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.text import let
 from ..operators.ranking import at_most, broadcast_if
@@ -48,20 +49,35 @@ SYLLABLES = {
     "latin": ["ba", "ber", "dan", "del", "fen", "gor", "hal", "ken", "lin", "mar", "nor", "pel", "ros", "sten", "tar", "vel"],
     "cyrillic": ["ба", "бер", "вал", "гор", "дан", "кор", "лин", "мар", "нов", "пет", "рос", "сам", "тар", "фил", "шев", "яр"],
 }
-# Rounds of new surrogates for entities whose first one was taken.
-MAX_ROUNDS = 48
+# Letters of other scripts, and letters of the above with unusual marks, by property; each goes to its own script and case.
+SCRIPTS = [
+    (r"[\p{IsGreek}&&\p{Lu}]", ALPHABETS[5]), (r"\p{IsGreek}", ALPHABETS[4]), (r"[\p{IsCyrillic}&&\p{Lu}]", ALPHABETS[7]),
+    (r"\p{IsCyrillic}", ALPHABETS[6]), (r"\p{IsHebrew}", ALPHABETS[8]), (r"\p{IsArabic}", ALPHABETS[9]),
+    (r"\p{IsHan}", "".join(map(chr, range(0x4E00, 0x4F00)))), (r"\p{IsHangul}", "".join(map(chr, range(0xAC00, 0xD700, 28)))),
+    (r"\p{IsHiragana}", "".join(map(chr, range(0x3042, 0x3094)))), (r"\p{IsKatakana}", "".join(map(chr, range(0x30A2, 0x30F4)))),
+    (r"\p{IsDevanagari}", "".join(map(chr, range(0x0915, 0x093A)))), (r"\p{IsThai}", "".join(map(chr, range(0x0E01, 0x0E2F)))),
+    (r"\p{Lu}", ALPHABETS[1]), (r"\p{L}", ALPHABETS[0]), (r"\p{N}", "0123456789"),
+]
+# Rounds of new surrogates for entities whose first one was taken; what is left then swaps among itself.
+MAX_ROUNDS = 6
 BROADCAST_EXCEPTIONS = 10_000
+# Distinct entities of a task.
+ENTITIES = 4_000
 
 
 def _digest(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     base = F.concat_ws("\u001f", F.lit(key), kind, value, attempt.cast("string"))
-    return F.concat(*(F.sha2(F.concat_ws("\u001f", F.lit(str(n)), base), 512) for n in range(2)))
+    return let(base, lambda b: F.concat(*(F.sha2(F.concat_ws("\u001f", F.lit(str(n)), b), 512) for n in range(2))))
 
 
-def _pick(digest: Column, i: Column | int, n: int) -> Column:
-    """Number below ``n`` from four digits of the digest at place ``i``."""
+def _drawn(digest: Column, i: Column | int) -> Column:
+    """Number below 65,536 from four digits of the digest at place ``i``."""
     at = ((F.lit(i) if isinstance(i, int) else i) % 63) * 4 + 1
-    return (F.conv(F.substr(digest, at.cast("int"), F.lit(4)), 16, 10).cast("bigint") % n).cast("int")
+    return F.conv(F.substr(digest, at.cast("int"), F.lit(4)), 16, 10).cast("int")
+
+
+def _pick(digest: Column, i: Column | int, n: int) -> Column:
+    return _drawn(digest, i) % n
 
 
 def _each_char(text: Column, fn) -> Column:
@@ -72,14 +88,16 @@ def _each_char(text: Column, fn) -> Column:
 
 def _like(text: Column, digest: Column) -> Column:
     """Every digit and letter replaced within its own script and case, everything else kept."""
-    def one(c: Column, i: Column) -> Column:
-        out = F.when(c.rlike("[0-9]"), _pick(digest, i, 10).cast("string"))
+    def one(c: Column, n: Column) -> Column:
+        take = lambda letters: F.substr(F.lit(letters), n % len(letters) + 1, F.lit(1))
+        out = F.when(F.lit("0123456789").contains(c), take("0123456789"))
         for letters in ALPHABETS:
-            out = out.when(F.lit(letters).contains(c), F.substr(F.lit(letters), _pick(digest, i, len(letters)) + 1, F.lit(1)))
-        spare = F.substr(F.lit(ALPHABETS[0]), _pick(digest, i, 26) + 1, F.lit(1))
-        return out.when(c.rlike(r"\p{L}|\p{N}"), spare).otherwise(c)
+            out = out.when(F.lit(letters).contains(c), take(letters))
+        for script, letters in SCRIPTS:
+            out = out.when(c.rlike(script), take(letters))
+        return out.otherwise(c)
 
-    return _each_char(text, one)
+    return _each_char(text, lambda c, i: let(F.struct(c.alias("c"), _drawn(digest, i).alias("n")), lambda x: one(x["c"], x["n"])))
 
 
 def _checksum(digits: Column) -> Column:
@@ -115,7 +133,7 @@ def _value(found: Column, kind: Column) -> Column:
     return (
         F.when(kind == "email", F.lower(found)).when(kind.isin("card", "ssn", "iban"), F.regexp_replace(found, "[ -]", ""))
         .when(kind == "phone", F.regexp_replace(found, "[^0-9+]", ""))
-        .when(kind == "name", F.concat_ws("|", _gender(found), F.lower(rest))).otherwise(rest)
+        .when(kind == "name", F.lower(rest)).otherwise(rest)
     )
 
 
@@ -124,7 +142,7 @@ def _gender(found: Column) -> Column:
 
 
 def _surname(value: Column, key: str, attempt: Column, script: str, gender: Column) -> Column:
-    last = F.regexp_extract(value, r"([^ |-]+)$", 1)
+    last = F.regexp_extract(value, r"([^ -]+)$", 1)
     digest = _digest(key, F.lit("surname"), last, attempt)
     letters = F.array(*map(F.lit, SYLLABLES[script]))
     parts = F.transform(F.sequence(F.lit(0), F.least(attempt, F.lit(40)) + 2), lambda i: F.element_at(letters, _pick(digest, i, 16) + 1))
@@ -132,49 +150,51 @@ def _surname(value: Column, key: str, attempt: Column, script: str, gender: Colu
     return F.concat(name, F.when(gender == "f", "а").otherwise("")) if script == "cyrillic" else name
 
 
-def _surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
-    """Replacement, in the form of ``value``."""
-    digest = _digest(key, kind, value, attempt)
+def _surrogate(kind: Column, value: Column, gender: Column, attempt: Column, key: str) -> Column:
+    """Replacement, in the form of ``value``; for a person of the ``gender`` f, m or u (not known)."""
+    drawn = let(_digest(key, kind, value, attempt), lambda digest: F.struct(digest.alias("digest"), _like(value, digest).alias("liked")))
+    return let(drawn, lambda x: _formed(kind, value, gender, attempt, key, x["digest"], x["liked"]))
+
+
+def _formed(kind: Column, value: Column, gender: Column, attempt: Column, key: str, digest: Column, liked: Column) -> Column:
     extra = F.substr(digest, F.lit(200), (attempt * 2).cast("int"))
-    local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
+    domain = F.substring_index(value, "@", -1)
     ending = F.substring_index(domain, ".", -1)
-    place = _digest(key, F.lit("domain"), domain, F.lit(0))
+    place = F.sha2(F.concat_ws("\u001f", F.lit(key), F.lit("domain"), domain), 256)
     email = F.concat(
-        _like(local, digest), extra, F.lit("@mail"), F.conv(F.substr(place, F.lit(1), F.lit(6)), 16, 10), F.lit(".example."),
+        F.substring_index(liked, "@", 1), extra, F.lit("@mail"), F.conv(F.substr(place, F.lit(1), F.lit(6)), 16, 10), F.lit(".example."),
         F.when(ending.isin("com", "net", "org"), ending).otherwise("org"),
     )
-    inner = F.substr(_like(value, digest), F.lit(2), F.char_length(value) - 2)
-    body = F.concat(F.substr(value, F.lit(1), F.lit(1)), inner)
-    card = F.concat(body, ((10 - _checksum(F.concat(body, F.lit("0")))) % 10).cast("string"))
+    card = let(F.concat(F.substr(value, F.lit(1), F.lit(1)), F.substr(liked, F.lit(2), F.char_length(value) - 2)), lambda body: F.concat(
+        body, ((10 - _checksum(F.concat(body, F.lit("0")))) % 10).cast("string")))
     octet = lambda i, low, n: (_pick(digest, i, n) + low).cast("string")
-    private = F.regexp_extract(value, r"^(10|127|192\.168|172\.(?:1[6-9]|2\d|3[01]))\.", 1)
-    free = F.concat_ws(".", octet(0, 11, 100), octet(1, 1, 254), octet(2, 1, 254), octet(3, 1, 254))
-    ip = F.when(private == "", free).when(
-        private.contains("."), F.concat_ws(".", private, octet(0, 1, 254), octet(1, 1, 254))
-    ).otherwise(F.concat_ws(".", private, octet(0, 1, 254), octet(1, 1, 254), octet(2, 1, 254)))
-    headed = lambda n: F.concat(F.substr(value, F.lit(1), F.lit(n)), F.substr(_like(value, digest), F.lit(n + 1)))
-    gender = F.substring_index(value, "|", 1)
-    given = F.regexp_extract(value, r"\|(.*)[ -][^ -]+$", 1)
-    picked = _digest(key, F.lit("given"), F.concat_ws("|", gender, given), F.lit(0))
+    octets = F.concat_ws(".", octet(1, 1, 254), octet(2, 1, 254), octet(3, 1, 254))
+    ip = let(F.regexp_extract(value, r"^(10|127|192\.168|172\.(?:1[6-9]|2\d|3[01]))\.", 1), lambda private: F.when(
+        private == "", F.concat_ws(".", octet(0, 11, 100), octets)).when(
+        private.contains("."), F.concat_ws(".", private, F.substring_index(octets, ".", 2))).otherwise(F.concat_ws(".", private, octets)))
+    headed = F.concat(F.substr(value, F.lit(1), F.lit(2)), F.substr(liked, F.lit(3)))
+    given = F.regexp_extract(value, r"^(.*)[ -][^ -]+$", 1)
 
     def person(script: str) -> Column:
         lists = {g: F.array(*map(F.lit, FIRST_NAMES[script, g])) for g in "mf"}
         n = len(FIRST_NAMES[script, "m"])
-        female = (gender == "f") | ((gender == "u") & (_pick(picked, 5, 2) == 0))
-        first = F.when(female, F.element_at(lists["f"], _pick(picked, 0, n) + 1)).otherwise(F.element_at(lists["m"], _pick(picked, 0, n) + 1))
+
+        def first(picked: Column) -> Column:
+            female = (gender == "f") | ((gender == "u") & (_pick(picked, 5, 2) == 0))
+            return F.element_at(F.when(female, lists["f"]).otherwise(lists["m"]), _pick(picked, 0, n) + 1)
+
         last = _surname(value, key, attempt, script, gender)
-        return F.when(given == "", last).otherwise(F.concat_ws(" ", first, last))
+        named = let(F.sha2(F.concat_ws("\u001f", F.lit(key), F.lit("given"), given), 512), first)
+        return F.when(given == "", last).otherwise(F.concat_ws(" ", named, last))
 
-    named = F.substr(value, F.char_length(gender) + 2)
-    latin, cyrillic = named.rlike(r"^[\p{IsLatin} '’-]+$"), named.rlike(r"^[\p{IsCyrillic} '’-]+$")
     hexes = value.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$")
     hexed = _each_char(value, lambda c, i: F.substr(F.lit("0123456789abcdef"), _pick(digest, i, 16) + 1, F.lit(1)))
     return (
         F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", ip)
-        .when(kind == "phone", F.when(value.startswith("+"), headed(2)).otherwise(_like(value, digest)))
-        .when(kind == "iban", headed(2))
-        .when(kind == "name", F.when(latin, person("latin")).when(cyrillic, person("cyrillic")).otherwise(F.concat(F.initcap(_like(named, digest)), extra)))
-        .when(hexes, F.when(F.upper(value) == value, F.upper(hexed)).otherwise(hexed)).otherwise(_like(value, digest))
+        .when((kind == "iban") | ((kind == "phone") & value.startswith("+")), headed)
+        .when(kind == "name", F.when(value.rlike(r"^[\p{IsLatin} '’-]+$"), person("latin")).when(
+            value.rlike(r"^[\p{IsCyrillic} '’-]+$"), person("cyrillic")).otherwise(F.concat(F.initcap(liked), extra)))
+        .when((kind == "secret") & hexes, F.when(F.upper(value) == value, F.upper(hexed)).otherwise(hexed)).otherwise(liked)
     )
 
 
@@ -219,40 +239,61 @@ def _pattern(text: Column) -> Column:
 
 
 def mentions(text: Column, pattern: Column) -> Column:
-    """array<struct<found, kind, value>> of the entities of a text, in order."""
+    """array<struct<found, kind, value, gender>> of the entities of a text, in order; ``gender`` as the title tells it."""
     found = F.when(text.rlike(GATE), F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(F.array().cast("array<string>"))
     kinds = F.transform(found, lambda m: F.struct(m.alias("found"), _kind(m).alias("kind")))
-    return F.transform(kinds, lambda m: F.struct(m["found"].alias("found"), m["kind"].alias("kind"), _value(m["found"], m["kind"]).alias("value")))
+    return F.transform(kinds, lambda m: F.struct(
+        m["found"].alias("found"), m["kind"].alias("kind"), _value(m["found"], m["kind"]).alias("value"),
+        F.when(m["kind"] == "name", _gender(m["found"])).otherwise("u").alias("gender")))
 
 
-def _retries(entities: DataFrame, key: str) -> DataFrame | None:
-    """(kind, value, attempt) of the entities whose first surrogate was taken; None if there are none.
+def _exceptions(entities: DataFrame, key: str) -> DataFrame | None:
+    """(kind, value, surrogate) of the entities whose surrogate is not the first one of their own mention; None if there are none.
 
     A surrogate is taken if it is the true value of any entity, if an earlier round gave it away, or if a smaller value
     gets it in the same round. All checks are joins and sums over the distinct entities, on the surrogate's own key.
+    A person is given one gender: that of the titles that tell it. What finds no free surrogate, as its format has
+    no more values than the texts, changes places with the others of that format that found none: none of them was given
+    away before, so all stay distinct. One that is alone there is masked.
     """
-    everything = stored(entities, "pii-entities")
-    waiting, settled, moved = everything, None, None
+    # A value without a letter or digit, such as a masked password, is its own surrogate.
+    genders = entities.filter(F.col("value").rlike(r"[\p{L}\p{N}]")).groupBy("kind", "value").agg(
+        F.min("gender").alias("gender"), (F.min("gender") != F.max("gender")).alias("mixed"))
+    everything = stored(genders, "pii-entities")
+    n = everything.count()
+    if not n:
+        return None
+    # Work goes by the number of entities, not by their bytes.
+    waiting, settled, moved = everything.repartition(-(-n // ENTITIES), "value"), None, everything.limit(0).select(
+        "kind", "value", F.lit("").alias("surrogate"))
     for attempt in range(MAX_ROUNDS):
-        tried = stored(waiting.withColumn("attempt", F.lit(attempt)).withColumn(
-            "surrogate", _surrogate(F.col("kind"), F.col("value"), F.lit(attempt), key)), "pii-tried")
-        # Names are shown without the gender that their value carries.
-        real = everything.select("kind", F.regexp_replace("value", r"^[fmu]\|", "").alias("taken"))
+        tried = stored(waiting.withColumn(
+            "surrogate", _surrogate(F.col("kind"), F.col("value"), F.col("gender"), F.lit(attempt), key)), "pii-tried")
         mine = tried.withColumn("taken", F.lower("surrogate"))
-        real = real.withColumn("taken", F.lower("taken")).distinct().withColumn("by", F.lit(""))
+        real = everything.select("kind", F.lower("value").alias("taken")).distinct().withColumn("by", F.lit(""))
         if settled is not None:
             real = real.union(settled.select("kind", F.lower("surrogate"), F.lit("")))
         claims = real.union(mine.select("kind", "taken", F.concat(F.lit("1"), F.col("value")))).groupBy("kind", "taken").agg(F.min("by").alias("winner"))
         decided = mine.join(claims, ["kind", "taken"]).withColumn("won", F.col("winner") == F.concat(F.lit("1"), F.col("value")))
-        decided = stored(decided.select("kind", "value", "attempt", "surrogate", "won"), "pii-decided")
+        decided = stored(decided.select("kind", "value", "gender", "mixed", "surrogate", "won"), "pii-decided")
         won = decided.filter("won")
         settled = won if settled is None else settled.union(won)
-        if attempt:
-            moved = won if moved is None else moved.union(won)
-        waiting = decided.filter("not won").select("kind", "value")
+        moved = moved.union((won if attempt else won.filter("mixed")).select("kind", "value", "surrogate"))
+        waiting = decided.filter("not won").select("kind", "value", "gender", "mixed")
         if waiting.isEmpty():
-            return moved.select("kind", "value", "attempt") if moved is not None else None
-    raise ValueError("no free surrogates are left; a kind of entity has more values than its format allows")
+            break
+    else:
+        form = F.regexp_replace(F.regexp_replace(F.regexp_replace("value", r"\p{N}", "0"), r"\p{Lu}", "A"), r"[\p{L}&&[^A]]", "a")
+        network = F.when(F.col("kind") == "ip", F.regexp_extract("value", r"^(10|127|192\.168|172\.(?:1[6-9]|2\d|3[01]))\.", 1)).otherwise(
+            F.when(F.col("kind").isin("phone", "iban"), F.substr("value", F.lit(1), F.lit(2))).when(F.col("kind") == "card", F.substr("value", F.lit(1), F.lit(1))))
+        ring = W.partitionBy("kind", "form").orderBy(F.sha2(F.concat_ws("\u001f", F.lit(key), "value"), 256))
+        whole = ring.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        placed = waiting.withColumn("form", F.when(F.col("kind") == "ip", network).otherwise(F.concat_ws("|", network, form)))
+        following = F.coalesce(F.lead("value").over(ring), F.first("value").over(whole))
+        masked = F.regexp_replace("value", r"[\p{L}\p{N}]", "*")
+        moved = moved.union(placed.select("kind", "value", F.when(F.count("*").over(whole) > 1, following).otherwise(masked)))
+    moved = stored(moved, "pii-moved")
+    return None if moved.isEmpty() else moved
 
 
 def surrogates(df: DataFrame, key: str, text: str, secret: str, found: str = "replaced") -> DataFrame:
@@ -260,9 +301,11 @@ def surrogates(df: DataFrame, key: str, text: str, secret: str, found: str = "re
 
     Emails, telephone, card (by checksum), social security and account numbers, addresses of machines, secrets, and
     names after a title. A surrogate depends on ``secret`` and the entity alone: all mentions of one thing, in any
-    document and format, get the same one, and different things get different ones, none of which is the true value of
-    another. It keeps kind, format, script and case, for persons the gender of the title, and checksums stay valid.
-    ``secret`` must be kept; without it surrogates cannot be recomputed.
+    document and format and with any title, get the same one, and different things get different ones, none of which is the
+    true value of another, unless a format has no more values than the texts: there entities change places. It
+    keeps kind, format, script and case, for persons the gender that a title tells, and checksums stay valid.
+    A value without letters and digits, such as a masked password, stays. ``secret`` must be kept; without it
+    surrogates cannot be recomputed.
 
     A null text stays null and an empty one empty, both with no entities; texts without entities are returned as they
     are. Rows are kept apart, also equal ones, and other columns stay, but one named ``found`` is replaced. Each text is
@@ -270,34 +313,34 @@ def surrogates(df: DataFrame, key: str, text: str, secret: str, found: str = "re
     joined back by entity.
     """
     body = F.col(text)
-    any_of = "_pii_any"
+    any_of, exceptions, new, row_key = "_pii_any", "_pii_exceptions", "_pii_new", "_pii_key"
+    while {any_of, exceptions, new, row_key} & {c.lower() for c in df.columns}:
+        any_of, exceptions, new, row_key = (c + "_" for c in (any_of, exceptions, new, row_key))
     lists = df.withColumn(any_of, _pattern(body)).select(F.col(key).alias("k"), F.explode(mentions(body, F.col(any_of))).alias("m"))
-    entities = lists.select("m.kind", "m.value").distinct()
-    moved = _retries(entities, secret)
+    moved = _exceptions(lists.select("m.kind", "m.value", "m.gender").distinct(), secret)
     out = df.drop(found)
-    attempts = "_pii_attempts"
     if moved is None:
-        out = out.withColumn(attempts, F.lit(None).cast("map<string,int>"))
+        out = out.withColumn(exceptions, F.lit(None).cast("map<string,string>"))
     else:
-        moved = stored(moved, "pii-moved")
         hit = lists.select("k", "m.kind", "m.value").join(
             broadcast_if(moved, at_most(moved, BROADCAST_EXCEPTIONS)), ["kind", "value"]
-        ).select("k", F.concat_ws("\u001f", "kind", "value").alias("thing"), "attempt").distinct()
-        by_row = stored(hit.groupBy(F.col("k").alias("_pii_key")).agg(
-            F.map_from_entries(F.collect_list(F.struct("thing", "attempt"))).alias(attempts)), "pii-rows")
+        ).select("k", F.concat_ws("\u001f", "kind", "value").alias("thing"), "surrogate").distinct()
+        by_row = stored(hit.groupBy(F.col("k").alias(row_key)).agg(
+            F.map_from_entries(F.collect_list(F.struct("thing", "surrogate"))).alias(exceptions)), "pii-rows")
         small = at_most(by_row, BROADCAST_EXCEPTIONS)
-        out = out.join(broadcast_if(by_row, small), F.col(key).eqNullSafe(F.col("_pii_key")), "left").drop("_pii_key")
+        out = out.join(broadcast_if(by_row, small), F.col(key).eqNullSafe(F.col(row_key)), "left").drop(row_key)
 
     def replaced(m: Column) -> Column:
-        attempt = F.coalesce(F.element_at(F.col(attempts), F.concat_ws("\u001f", m["kind"], m["value"])), F.lit(0))
-        new = _shown(m["found"], m["kind"], _surrogate(m["kind"], m["value"], attempt, secret))
-        return F.struct(m["kind"].alias("kind"), new.alias("surrogate"))
+        other = F.element_at(F.col(exceptions), F.concat_ws("\u001f", m["kind"], m["value"]))
+        value = F.when(~m["value"].rlike(r"[\p{L}\p{N}]"), m["value"]).otherwise(
+            F.coalesce(other, _surrogate(m["kind"], m["value"], m["gender"], F.lit(0), secret)))
+        return F.struct(m["kind"].alias("kind"), let(value, lambda v: _shown(m["found"], m["kind"], v)).alias("surrogate"))
 
-    with_lists = out.withColumn(any_of, _pattern(body)).withColumn("_pii_new", F.transform(mentions(body, F.col(any_of)), replaced))
+    with_lists = out.withColumn(any_of, _pattern(body)).withColumn(new, F.transform(mentions(body, F.col(any_of)), replaced))
     between = F.split(body, F.col(any_of), -1)
-    rewritten = F.when(F.size("_pii_new") > 0, F.array_join(F.zip_with(
-        between, F.col("_pii_new.surrogate"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(body)
+    rewritten = F.when(F.size(new) > 0, F.array_join(F.zip_with(
+        between, F.col(f"{new}.surrogate"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(body)
     return with_lists.select(
         *((rewritten if c.lower() == text.lower() else F.col(f"`{c}`")).alias(c) for c in df.columns if c.lower() != found.lower()),
-        F.coalesce("_pii_new", F.array().cast("array<struct<kind:string,surrogate:string>>")).alias(found),
+        F.coalesce(new, F.array().cast("array<struct<kind:string,surrogate:string>>")).alias(found),
     )
