@@ -15,10 +15,10 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test table
 def test_all_numbers_are_registered():
     names = entry.queries()
     assert "pipeline" in names
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
 
 
-@pytest.mark.parametrize("name", ["op2_license_scan", "op4_lm_score", "op6_language_id", "op7_ngram_join", "op8_bpe", "op1_pii_surrogates"])
+@pytest.mark.parametrize("name", ["op2_license_scan", "op4_lm_score", "op6_language_id", "op7_ngram_join", "op8_bpe", "op1_pii_surrogates", "op11_tokenizer_alignment", "op13_quality_rules"])
 def test_one_row_for_each_document(spark, name):
     ids = sorted(r.doc_id for r in entry.queries()[name](spark, SF_DIR).select("doc_id").collect())
     assert ids == sorted(r.doc_id for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id").collect())
