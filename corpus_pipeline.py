@@ -32,18 +32,29 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near copies (five-word shingles, similarity 0.8 or more).
 
-    Of rows that share an id one stays, the smallest by its columns. Rows without an id stay as they are.
+    Rows that share an id are told apart by their texts: each is judged for itself, of equal ones one stays. Rows without
+    an id stay as they are.
     """
-    groups = stored(ngram_join.join(docs, "doc_id", "text", words=5, percent=80), "pipeline-groups")
-    goes = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    several = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    goes, several = stored(goes, "pipeline-copies"), stored(several, "pipeline-repeated")
-    small, few = at_most(goes, BROADCAST_IDS), at_most(several, BROADCAST_IDS)
-    kept = docs.join(broadcast_if(goes, small), "doc_id", "left_anti")
-    once = kept.join(broadcast_if(several, few), "doc_id", "left_anti")
-    one_of = kept.join(broadcast_if(several, few), "doc_id", "left_semi").groupBy("doc_id").agg(
-        F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct("text", "source", "lang")).alias("row"))
-    return once.select(*docs.columns).union(one_of.select("row.*"))
+    several = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    several = stored(several, "pipeline-repeated")
+    if several.isEmpty():
+        groups = ngram_join.join(docs, "doc_id", "text", words=5, percent=80)
+        goes = stored(groups.filter("component_id <> doc_id").select("doc_id").distinct(), "pipeline-copies")
+        kept = docs.join(broadcast_if(goes, at_most(goes, BROADCAST_IDS)), "doc_id", "left_anti")
+        return kept.select(*docs.columns)
+    # One row of those of equal id and text, under a number of its own that is the id wherever that is enough.
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    once = docs.filter("doc_id is not null").groupBy("doc_id", F.coalesce("text", F.lit("")).alias("_body")).agg(
+        F.min_by(row, F.struct("source", "lang")).alias("_row"))
+    few = at_most(several, BROADCAST_IDS)
+    marked = once.join(broadcast_if(several.withColumn("_many", F.lit(True)), few), "doc_id", "left")
+    numbered = stored(marked.withColumn("_number", F.when(F.col("_many"), F.xxhash64("doc_id", "_body")).otherwise(F.col("doc_id"))),
+                      "pipeline-numbered")
+    groups = ngram_join.join(numbered, "_number", "_body", words=5, percent=80)
+    placed = stored(numbered.join(groups.select("_number", "component_id").distinct(), "_number"), "pipeline-groups")
+    first = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", "_number")).alias("least")).select("component_id", "least._number")
+    kept = placed.join(first, ["component_id", "_number"], "left_semi").select("_row.*")
+    return kept.union(docs.filter("doc_id is null"))
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
