@@ -24,13 +24,18 @@ MODES = ("validation", "inference")
 
 @dataclass(frozen=True)
 class IndexConfig:
-    """``hnsw`` asks for approximate search (served by cells), ``hnsw_pq`` for compressed approximate search."""
+    """``hnsw`` asks for approximate search, ``hnsw_pq`` for compressed approximate search.
+
+    ``hnsw`` is served by the neighbour graph of ``operators.graph`` where the corpus has its links, else by cells.
+    """
 
     index_type: str = "hnsw"
     n_cells: int = 64
     # Cells that each query looks at; None calibrates them by brute force until ``recall`` of the true neighbours is found.
     n_probe: int | None = None
     recall: float = RECALL
+    # Pairs that a graph search keeps for each query; None calibrates them like the cells.
+    beam: int | None = None
     pq_m: int = PQ_SUBVECTORS
     pq_bits: int = PQ_BITS
     rescore: int = 8

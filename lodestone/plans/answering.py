@@ -12,7 +12,7 @@ from ..config import MODES, METRIC_BATCH, RetrievalConfig
 from ..functions import prompts
 from ..functions.dates import date_terms
 from ..functions.text import normalize_ws, parse_answer, render
-from ..operators import dense, entities, infer, metrics, retrieve, sparse
+from ..operators import dense, entities, graph, infer, metrics, retrieve, sparse
 from ..operators.ranking import BROADCAST_ROWS, at_most, global_number
 from ..session import stored
 
@@ -39,6 +39,7 @@ class Corpus:
 
     ``centroids`` or ``codes`` with ``codebooks`` belong to the approximate index types. ``n_probe`` is the number of
     cells that a calibration found for this corpus; without it and without a configured one each search calibrates anew.
+    ``links`` are those of a neighbour graph over the vectors.
     """
 
     chunks: DataFrame
@@ -48,6 +49,7 @@ class Corpus:
     codes: DataFrame | None = None
     codebooks: object | None = None
     n_probe: int | None = None
+    links: DataFrame | None = None
     dim: int = 64
 
 
@@ -78,6 +80,9 @@ def dense_channel(questions: DataFrame, column: str, corpus: Corpus, models: Mod
     kind = conf.index.index_type
     if kind == "exact":
         found = dense.search_exact(queries, corpus.vectors, conf.dense_k)
+    elif kind == "hnsw" and corpus.links is not None:
+        beam = conf.index.beam or graph.calibrate_beam(queries, corpus.vectors, corpus.links, conf.dense_k, conf.index.recall)
+        found = graph.search(queries, corpus.vectors, corpus.links, conf.dense_k, beam)
     elif kind == "hnsw":
         n_probe = conf.index.n_probe or corpus.n_probe
         if n_probe is None:

@@ -23,6 +23,15 @@ DENSE_K, SPARSE_K, RERANK_K = catalog_dense.K, catalog_sparse.K, 3
 DIM = catalog_dense.DIM
 
 WORDS = r"regexp_extract_all(lower({c}), '\p{{L}}+')"
+
+
+def sql_best_line(text: str, question: str) -> str:
+    """The line of a text that shares most distinct words with a question, the first of equal ones."""
+    shared = f"len(list_intersect(list_distinct({WORDS.format(c=question)}), {WORDS.format(c='x')}))"
+    return (f"list_extract(list_sort(list_transform(string_split({text}, chr(10)), lambda x, i: "
+            f"{{'n': -{shared}, 'i': i, 's': x}})), 1).s")
+
+
 Q_WORDS, T_WORDS = WORDS.format(c="question"), WORDS.format(c="text_content")
 
 r.fragments.add("fused", f"""
@@ -183,14 +192,14 @@ def answer_sources(spark, sf_dir):
 CONF = RetrievalConfig(dense_k=DENSE_K, sparse_enabled=True, sparse_k=SPARSE_K, rerank_k=RERANK_K)
 MODELS = answering.Models(reader=standins.echo_reader, generator=standins.line_summarizer)
 
-r.fragments.add("contexts", """
+r.fragments.add("contexts", f"""
     SELECT question_id, any_value(question) AS question, list(chunk_id ORDER BY rank) AS retrieved_chunk_ids,
-           string_agg(string_split(text_content, chr(10))[1], chr(10) || chr(10) ORDER BY rank) AS context
+           string_agg({sql_best_line('text_content', 'question')}, chr(10) || chr(10) ORDER BY rank) AS context
     FROM reranked GROUP BY question_id""")
 r.fragments.add("outputs", f"""
     SELECT b.item_id AS question_id, b.text AS question, coalesce(retrieved_chunk_ids, []) AS retrieved_chunk_ids,
            coalesce(context, '') AS retrieved_context,
-           array_to_string(list_filter(string_split({ws("coalesce(context, '')")}, ' '), lambda x: length(x) > 0)[1:10], ' ') AS generated_answer
+           {ws(sql_best_line("coalesce(context, '')", "b.text"))} AS generated_answer
     FROM benchmark b LEFT JOIN contexts c ON c.question_id = b.item_id""")
 RAW = sql_render(prompts.READER, context="retrieved_context", question="o.question") + " || generated_answer"
 r.fragments.add("records", f"""
@@ -212,9 +221,9 @@ r.fragments.add("dense_best", f"""
 
 
 @r.query(f"""
-    SELECT b.item_id AS question_id, array_to_string(list_filter(string_split({ws("coalesce(context, '')")}, ' '), lambda x: length(x) > 0)[1:10], ' ') AS answer
+    SELECT b.item_id AS question_id, {ws(sql_best_line("coalesce(context, '')", "b.text"))} AS answer
     FROM benchmark b LEFT JOIN (
-        SELECT question_id, string_agg(string_split(text_content, chr(10))[1], chr(10) || chr(10) ORDER BY place) AS context
+        SELECT question_id, string_agg({sql_best_line('text_content', 'question')}, chr(10) || chr(10) ORDER BY place) AS context
         FROM dense_best GROUP BY question_id) c ON c.question_id = b.item_id""")
 def rag_dense_only_e2e(spark, sf_dir):
     """The dense channel alone on the expanded question, reranked by the expanded text, with summaries and the reader."""

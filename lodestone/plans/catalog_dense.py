@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from . import tables
 from .registry import Registry
 from ..config import IndexConfig
-from ..operators import dense, metrics
+from ..operators import dense, graph, metrics
 from ..session import work_path
 from ..sources import vectors_text
 
@@ -61,6 +61,33 @@ def dense_topk_pq(spark, sf_dir):
     return dense.search(*both_sides(spark, sf_dir), K, IndexConfig("hnsw_pq", pq_bits=6), exclude_self=True)
 
 
+def asked_and_found(spark, sf_dir):
+    """Every twentieth vector asks the neighbour graph; (queries, vectors, found)."""
+    queries, vectors = both_sides(spark, sf_dir)
+    queries = queries.filter(F.col("query_id") % 20 == 0)
+    links = graph.build(vectors).links
+    beam = graph.calibrate_beam(queries, vectors, links, K, 0.95, exclude_self=True)
+    return queries, vectors, graph.search(queries, vectors, links, K, beam, exclude_self=True)
+
+
+@r.query()
+def dense_topk_graph(spark, sf_dir):
+    """Search of the neighbour graph, with the number of vectors that each query looked at."""
+    return asked_and_found(spark, sf_dir)[2]
+
+
+@r.query(f"""
+    SELECT count(*) AS n_queries, {K} AS k, true AS recall_reached, true AS scores_exact FROM embeddings WHERE vec_id % 20 = 0""")
+def dense_graph_recall(spark, sf_dir):
+    """Whether the graph finds nine tenths of the true neighbours of all that ask, and gives them their true distances."""
+    queries, vectors, found = asked_and_found(spark, sf_dir)
+    true = dense.search_exact(queries, vectors, K, exclude_self=True)
+    pairs = true.join(found.select("query_id", "chunk_id", F.col("distance").alias("seen")), ["query_id", "chunk_id"], "left")
+    return pairs.agg(
+        F.countDistinct("query_id").alias("n_queries"), F.lit(K).alias("k"), (F.count("seen") >= 0.9 * F.count("*")).alias("recall_reached"),
+        F.coalesce(F.max(F.abs(F.col("seen") - F.col("distance"))) < 2e-6, F.lit(False)).alias("scores_exact"))
+
+
 @r.query(f"""
     SELECT count(*) AS n_queries, round(avg(CASE WHEN first_rank IS NULL THEN 0.0 ELSE 1.0 END), 6) AS recall,
            round(avg(coalesce(1.0 / first_rank, 0.0)), 6) AS mrr

@@ -5,16 +5,25 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import regex
+
+WORD = regex.compile(r"\p{L}+")
+
+
+def best_line(text: str, question: str) -> str:
+    """The line of the whole text that shares most distinct words with the question, the first of equal ones."""
+    asked = set(WORD.findall(question.lower()))
+    return max(text.split("\n"), key=lambda line: len(asked.intersection(WORD.findall(line.lower()))))
 
 
 def echo_reader():
-    """Echoes the prompt and answers with the first ten words of the context."""
+    """Echoes the prompt and answers with the best line of the whole context, its white space normalised."""
 
     def read(batch: list[str]) -> list[str]:
         out = []
         for prompt in batch:
-            context = prompt.split("### Context\n", 1)[1].split("\n\n### Question\n", 1)[0]
-            out.append(prompt + " ".join(context.split()[:10]))
+            context, rest = prompt.split("### Context\n", 1)[1].split("\n\n### Question\n", 1)
+            out.append(prompt + " ".join(best_line(context, rest.rsplit("\n\n### Answer\n", 1)[0]).split()))
         return out
 
     return read
@@ -30,7 +39,7 @@ def echo_expander():
 
 
 def line_summarizer():
-    """Echoes a summary prompt and copies the first line of the context; answers an expansion prompt like the expander."""
+    """Echoes a summary prompt and copies the best line of the whole context; answers an expansion prompt like the expander."""
 
     def write(batch: list[str]) -> list[str]:
         expand = echo_expander()
@@ -39,8 +48,8 @@ def line_summarizer():
             if "### Paragraph\n" in p:
                 out.extend(expand([p]))
             else:
-                context = p.split(">>>\n", 1)[1].split("\n>>>", 1)[0]
-                out.append(p + context.split("\n", 1)[0])
+                question, context = p.split("### Question\n", 1)[1].split("\n\n### Context\n>>>\n", 1)
+                out.append(p + best_line(context.rsplit("\n>>>", 1)[0], question))
         return out
 
     return write
