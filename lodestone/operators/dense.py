@@ -7,6 +7,7 @@ shuffled, so the traffic is (queries · k · tasks) rows however many vectors th
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -117,23 +118,27 @@ class _Best:
         for lo in range(0, len(chunk_ids), STEP):
             ids, block = chunk_ids[lo:lo + STEP], x[lo:lo + STEP]
             d = self.q_norm[rows, None] + (block * block).sum(axis=1)[None, :] - 2.0 * (self.q[rows] @ block.T)
-            d = np.round(np.maximum(d, 0.0), DIGITS)
-            if self.exclude_self:
-                d[self.ids[rows, None] == ids[None, :]] = np.inf
-            limit = self.worst[rows]
-            if d.shape[1] > self.k:
-                limit = np.minimum(limit, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
-            hit_row, hit_col = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
-            row = np.concatenate([self.row, rows[hit_row]])
-            chunk = np.concatenate([self.chunk, ids[hit_col]])
-            dist = np.concatenate([self.dist, d[hit_row, hit_col]])
-            order = np.lexsort((chunk, dist, row))
-            row, chunk, dist = row[order], chunk[order], dist[order]
-            start = np.searchsorted(row, row, side="left")
-            keep = np.arange(len(row)) - start < self.k
-            last = np.arange(len(row)) - start == self.k - 1
-            self.worst[row[last]] = dist[last]
-            self.row, self.chunk, self.dist = row[keep], chunk[keep], dist[keep]
+            self.offer(ids, d, rows)
+
+    def offer(self, ids: np.ndarray, d: np.ndarray, rows: np.ndarray) -> None:
+        """Take in the distances (rows, ids) of chunks."""
+        d = np.round(np.maximum(d, 0.0), DIGITS)
+        if self.exclude_self:
+            d[self.ids[rows, None] == ids[None, :]] = np.inf
+        limit = self.worst[rows]
+        if d.shape[1] > self.k:
+            limit = np.minimum(limit, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
+        hit_row, hit_col = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+        row = np.concatenate([self.row, rows[hit_row]])
+        chunk = np.concatenate([self.chunk, ids[hit_col]])
+        dist = np.concatenate([self.dist, d[hit_row, hit_col]])
+        order = np.lexsort((chunk, dist, row))
+        row, chunk, dist = row[order], chunk[order], dist[order]
+        start = np.searchsorted(row, row, side="left")
+        keep = np.arange(len(row)) - start < self.k
+        last = np.arange(len(row)) - start == self.k - 1
+        self.worst[row[last]] = dist[last]
+        self.row, self.chunk, self.dist = row[keep], chunk[keep], dist[keep]
 
     def frame(self) -> pd.DataFrame:
         return pd.DataFrame({"query_id": self.ids[self.row], "chunk_id": self.chunk, "distance": self.dist})
@@ -468,6 +473,95 @@ def search_pq(
     return rescore(found, queries, vectors, k, sent is not None and len(sent[0]) * wide <= BROADCAST_ROWS)
 
 
+@dataclass(frozen=True)
+class CodedCells:
+    """Inverted lists: ``codes(chunk_id, cell, codes)``, one byte for each slice of a vector's rest beyond its cell's centre."""
+
+    codes: DataFrame
+    centroids: np.ndarray
+    codebooks: np.ndarray
+
+
+def fit_coded_cells(vectors: DataFrame, config: IndexConfig) -> CodedCells:
+    """Cells by k-means, codebooks by k-means over the rests, and the code of every vector; written once."""
+    centroids = fit_centroids(vectors, config.n_cells, train_share=config.train_share)[0]
+    kind = "chunk_id bigint, embedding array<double>, cell int"
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column("embedding"))
+                cells = nearest(x, centroids)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("chunk_id"), pa.array(list(x - centroids[cells]), pa.list_(pa.float64())), pa.array(cells, pa.int32())],
+                    names=["chunk_id", "embedding", "cell"])
+
+    rows = vectors.select(F.col("chunk_id").cast("bigint").alias("chunk_id"), "embedding")
+    rests = stored(rows.mapInArrow(rest, kind), "rests")
+    if config.pq_bits > 8:
+        raise ValueError("a code is one byte; pq_bits must be at most 8")
+    books = fit_centroids(rests, 2 ** config.pq_bits, config.pq_m, train_share=config.train_share)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                pieces = np.split(_matrix(batch.column("embedding")), len(books), axis=1)
+                codes = np.stack([nearest(p, b) for p, b in zip(pieces, books)], axis=1).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("chunk_id"), batch.column("cell"), pa.array([c.tobytes() for c in codes], pa.binary())],
+                    names=["chunk_id", "cell", "codes"])
+
+    return CodedCells(stored(rests.mapInArrow(encode, "chunk_id bigint, cell int, codes binary"), "codes"), centroids, books)
+
+
+def search_coded_cells(
+    queries: DataFrame, vectors: DataFrame, index: CodedCells, k: int, n_probe: int, rescore_factor: int = 8, exclude_self: bool = False
+) -> DataFrame:
+    """Approximate search over the codes of the ``n_probe`` nearest cells; the best ``k * rescore_factor`` are scored exactly.
+
+    A query makes one table for each cell it looks at: the distance of each slice to each codeword. A vector's distance
+    is a sum of table entries chosen by its bytes; no vector is spelled out. Query sets beyond ``QUERY_BYTES``
+    look at the vectors of their cells themselves, block by block.
+    """
+    sent = _query_matrix(queries)
+    n_probe = min(n_probe, len(index.centroids))
+    if sent is None:
+        return search_cells(queries, assign_cells(vectors, index.centroids), index.centroids, k, n_probe, exclude_self)
+    ids, x = sent
+    wide = k * max(rescore_factor, 1)
+    probes = _by_distance(x, index.centroids)[:, :n_probe] if len(ids) else np.zeros((0, n_probe), np.int32)
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, x, probes, index.centroids, index.codebooks))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x, probes, centroids, books = shared.value
+        best = _Best(ids, x, wide, exclude_self)
+        norms = (books * books).sum(axis=2)
+        for batch in batches:
+            cell_of, chunk_ids = batch.column("cell").to_numpy(), batch.column("chunk_id").to_numpy()
+            codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(batch.num_rows, len(books))
+            for cell in np.unique(cell_of):
+                here = np.flatnonzero(cell_of == cell)
+                asking = np.flatnonzero((probes == cell).any(axis=1))
+                for lo in range(0, len(asking), BLOCK_QUERIES):
+                    rows = asking[lo:lo + BLOCK_QUERIES]
+                    slices = np.stack(np.split(x[rows] - centroids[cell], len(books), axis=1))
+                    # (slice, query, codeword)
+                    table = (slices * slices).sum(axis=2)[:, :, None] - 2.0 * slices @ books.transpose(0, 2, 1) + norms[:, None, :]
+                    for at in range(0, len(here), STEP):
+                        some = here[at:at + STEP]
+                        d = np.zeros((len(rows), len(some)))
+                        for j in range(len(books)):
+                            d += table[j][:, codes[some, j]]
+                        best.offer(chunk_ids[some], d, rows)
+        yield pa.RecordBatch.from_pandas(best.frame(), preserve_index=False)
+
+    wanted = index.codes.filter(F.col("cell").isin(*np.unique(probes).tolist())) if len(ids) else index.codes
+    found = _merge(wanted.mapInArrow(scan, RESULT), wide)
+    if not rescore_factor:
+        return found
+    return rescore(found, queries, vectors, k, len(ids) * wide <= BROADCAST_ROWS)
+
+
 def search(
     queries: DataFrame, vectors: DataFrame, k: int, config: IndexConfig | None = None, exclude_self: bool = False
 ) -> DataFrame:
@@ -482,9 +576,11 @@ def search(
         if n_probe is None:
             n_probe = calibrate_probes(queries, celled, centroids, k, config.recall, exclude_self)
         return search_cells(queries, celled, centroids, k, n_probe, exclude_self)
-    codebooks = fit_centroids(vectors, 2 ** config.pq_bits, config.pq_m, train_share=config.train_share)
-    codes = encode_pq(vectors, codebooks)
-    return search_pq(queries, vectors, codes, codebooks, k, config.rescore, exclude_self)
+    coded = fit_coded_cells(vectors, config)
+    n_probe = config.n_probe
+    if n_probe is None:
+        n_probe = calibrate_probes(queries, assign_cells(vectors, coded.centroids), coded.centroids, k, config.recall, exclude_self)
+    return search_coded_cells(queries, vectors, coded, k, n_probe, config.rescore, exclude_self)
 
 
 # ---- chunk table -----------------------------------------------------------------------------------------------

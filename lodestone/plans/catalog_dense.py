@@ -58,7 +58,23 @@ def dense_topk_all_cells(spark, sf_dir):
 
 @r.query()
 def dense_topk_pq(spark, sf_dir):
-    return dense.search(*both_sides(spark, sf_dir), K, IndexConfig("hnsw_pq", pq_bits=6), exclude_self=True)
+    """Inverted lists of one-byte codes, read by lookup tables in the probed cells; the best are scored exactly."""
+    return dense.search(*both_sides(spark, sf_dir), K, IndexConfig("hnsw_pq", n_cells=16, pq_bits=6), exclude_self=True)
+
+
+@r.query(f"SELECT count(*) AS n_queries, {K} AS k, true AS recall_reached, true AS scores_exact FROM embeddings")
+def dense_pq_recall(spark, sf_dir):
+    """Whether the inverted lists find nine tenths of the true neighbours of all vectors, with their true distances."""
+    true = dense.search_exact(*both_sides(spark, sf_dir), K, exclude_self=True)
+    return recall_row(true, dense_topk_pq(spark, sf_dir))
+
+
+def recall_row(true, found):
+    """One row: whether ``found`` holds nine tenths of the ``true`` neighbours, at their distances."""
+    pairs = true.join(found.select("query_id", "chunk_id", F.col("distance").alias("seen")), ["query_id", "chunk_id"], "left")
+    return pairs.agg(
+        F.countDistinct("query_id").alias("n_queries"), F.lit(K).alias("k"), (F.count("seen") >= 0.9 * F.count("*")).alias("recall_reached"),
+        F.coalesce(F.max(F.abs(F.col("seen") - F.col("distance"))) < 2e-6, F.lit(False)).alias("scores_exact"))
 
 
 def asked_and_found(spark, sf_dir):
@@ -82,10 +98,7 @@ def dense_graph_recall(spark, sf_dir):
     """Whether the graph finds nine tenths of the true neighbours of all that ask, and gives them their true distances."""
     queries, vectors, found = asked_and_found(spark, sf_dir)
     true = dense.search_exact(queries, vectors, K, exclude_self=True)
-    pairs = true.join(found.select("query_id", "chunk_id", F.col("distance").alias("seen")), ["query_id", "chunk_id"], "left")
-    return pairs.agg(
-        F.countDistinct("query_id").alias("n_queries"), F.lit(K).alias("k"), (F.count("seen") >= 0.9 * F.count("*")).alias("recall_reached"),
-        F.coalesce(F.max(F.abs(F.col("seen") - F.col("distance"))) < 2e-6, F.lit(False)).alias("scores_exact"))
+    return recall_row(true, found)
 
 
 @r.query(f"""
