@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,8 +28,12 @@ HOT_SHARE = 10_000
 Tokens = tuple[Callable[[list[str]], list], list[bytes]]
 
 
+@lru_cache(maxsize=2)
 def byte_level(path: str) -> Tokens:
-    """The byte-level BPE of a ``tokenizers`` file: (encode, bytes of each id); special tokens are ordinary text."""
+    """The byte-level BPE of a ``tokenizers`` file: (encode, bytes of each id); special tokens are ordinary text.
+
+    A worker keeps it for its next tasks.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -44,6 +50,7 @@ def byte_level(path: str) -> Tokens:
     return lambda texts: [e.ids for e in batch([" " + t for t in texts], add_special_tokens=False)], pieces
 
 
+@lru_cache(maxsize=2)
 def sentence_pieces(path: str) -> Tokens:
     """The pieces of a ``sentencepiece`` model, which itself puts a space first: (encode, bytes of each id)."""
     import sentencepiece
@@ -94,7 +101,7 @@ class _Aligner:
 
     def _encoded(self, encode, pieces: list[bytes], texts: list[str], whole: list[bytes]) -> list[list[int]]:
         """Ids of each text, none where their bytes are not the text's."""
-        return [ids if b"".join([pieces[i] for i in ids]) == w else [] for ids, w in zip(encode(texts), whole)]
+        return [ids if b"".join(map(pieces.__getitem__, ids)) == w else [] for ids, w in zip(encode(texts), whole)]
 
     def batch(self, texts: list[bytes]) -> dict[str, np.ndarray]:
         n = len(texts)
@@ -107,8 +114,8 @@ class _Aligner:
             self._encoded(self.encode_a, self.bytes_a, shown, whole), self._encoded(self.encode_b, self.bytes_b, shown, whole))]
         n_a, n_b = np.zeros(n, np.int64), np.zeros(n, np.int64)
         n_a[some], n_b[some] = [len(a) for a, _ in both], [len(b) for _, b in both]
-        ids_a = np.array([x for a, _ in both for x in a], dtype=np.int64)
-        ids_b = np.array([x for _, b in both for x in b], dtype=np.int64)
+        ids_a = np.fromiter(chain.from_iterable(a for a, _ in both), np.int64, n_a.sum())
+        ids_b = np.fromiter(chain.from_iterable(b for _, b in both), np.int64, n_b.sum())
         # One axis for the whole batch: both sides have the same bytes in each document.
         end_a, end_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
         doc_a, doc_b = np.repeat(np.arange(n), n_a), np.repeat(np.arange(n), n_b)

@@ -59,7 +59,7 @@ def test_alignment_equals_a_walk_over_both_sides(spark, monkeypatch, few):
     assert {r.doc_id: r.groups for r in digests} == {i: hashlib.sha256(g[-1].encode()).hexdigest() if g[-1] else "" for i, g in got.items()}
 
 
-def test_ids_by_cached_words_are_the_tokenizers_own(spark):
+def test_ids_are_the_tokenizers_own(spark):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
