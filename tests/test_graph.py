@@ -35,7 +35,7 @@ def test_search_finds_the_neighbours_and_looks_at_few(spark, built):
     vectors = vectors.filter("embedding is not null")
     queries = vectors.filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
     true = dense.search_exact(queries, vectors.distinct(), 5, exclude_self=True)
-    found = graph.search(queries, vectors.distinct(), g.links, 5, beam=24, exclude_self=True, entries=32).cache()
+    found = graph.search(queries, vectors.distinct(), g.links, 5, beam=32, exclude_self=True).cache()
     assert graph.recall_of(found, true) >= 0.95
     rows = found.collect()
     assert all(r.query_id != r.chunk_id and r.visited < 400 for r in rows) and len(rows) == 5 * 30
