@@ -14,17 +14,34 @@ from pyspark.sql import functions as F
 from ..session import stored
 from .shared import hashed_words, mix64, task_row_prefix, text_batches
 
-# Added to every count of single tokens, and taken from every count of pairs.
+# Added to every count of single tokens, and taken from every count of longer n-grams.
 ADDED, DISCOUNT = 0.1, 0.75
-# Text bytes whose tokens are handled together, and distinct pairs (about) of one shard of the model.
-BLOCK_BYTES, SHARD_PAIRS = 12 << 20, 1 << 20
+# Text bytes whose tokens are handled together, and tokens (about) of one shard of a level of the model.
+BLOCK_BYTES, SHARD_TOKENS = 8 << 20, 1 << 20
 # Following tokens are told apart by this many bits of their hash, within one context.
-CHILD_BITS = 36
+CHILD_BITS = 32
 # Step of the quantised logarithms; code 0 is "not there".
 STEP = 1 / 2_000
 END, START = (int(x) for x in mix64(np.array([0x0E0D, 0x57A7], dtype=np.uint64)))
 
 
+def child_bits(words: np.ndarray) -> np.ndarray:
+    return words >> np.uint64(64 - CHILD_BITS)
+
+
+def extended(contexts: np.ndarray, children: np.ndarray) -> np.ndarray:
+    """Names of the contexts that are one token longer."""
+    return mix64(contexts * np.uint64(0x9FB21C651E98DF25) + children)
+
+
+def start_of(level: int) -> int:
+    """The context of a text's first token at a level: nothing but starts."""
+    name = np.array([START], dtype=np.uint64)
+    for _ in range(level - 2):
+        name = extended(name, child_bits(np.array([START], dtype=np.uint64)))
+    return int(name[0])
+
+
 def quantised(p: np.ndarray) -> np.ndarray:
     """16-bit codes of probabilities in (0, 1]."""
     return np.clip(np.round(-np.log10(p) / STEP), 0, 65_534).astype(np.uint16) + np.uint16(1)
@@ -141,12 +158,12 @@ class EliasFano:
 
 
 class Trie:
-    """Two levels of n-grams: contexts with monotone pointers to their followers, and the followers.
+    """One step of n-grams: contexts of one length with monotone pointers to their followers, and the followers.
 
     A follower is stored relative to its context (context's rank, then ``CHILD_BITS`` of its hash), so that all followers
     form one rising sequence and are found by successor search within the context's range. Payloads are 16-bit codes:
-    the discounted share of each follower, and the weight that each context leaves to single tokens. All arrays lie in
-    one file that is mapped into memory.
+    the discounted share of each follower, and the weight that each context leaves to the next shorter one. All arrays
+    lie in one file that is mapped into memory.
     """
 
     def __init__(self, context: np.ndarray, child: np.ndarray, count: np.ndarray, base: int, width: int,
@@ -228,35 +245,41 @@ def _documents(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
             np.frombuffer(raw[16 * n: 17 * n], np.uint8) > 0, np.frombuffer(raw[17 * n:], np.uint8) > 0)
 
 
-class _Pairs:
-    """Distinct pairs of a block in the order in which its shards hold them."""
+class _Grams:
+    """Distinct n-grams of a block, level by level, in the order in which the shards hold them."""
 
-    def __init__(self, row: dict, bits: int, shared: dict[int, tuple[int, int]]):
-        """``shared``: contexts whose followers are spread over several shards, with their count and number of shards."""
+    def __init__(self, row: dict):
         words, sequence = np.frombuffer(row["a"], np.uint64), unpacked(row["c"], np.uint32)
         _, self.lengths, _, self.learns = _documents(row["d"])
-        self.order = np.argsort(words)
-        ranked = words[self.order]
-        contexts = np.sort(np.append(words, np.uint64(START)))
+        self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
+        order = np.argsort(words)
+        self.words = words[order]
         place = np.empty(len(words), dtype=np.int64)
-        place[self.order] = np.arange(len(words))
+        place[order] = np.arange(len(words))
         self.token = place[sequence]
-        before = np.searchsorted(contexts, ranked)[np.concatenate(([0], self.token[:-1]))]
-        before[np.concatenate(([0], np.cumsum(self.lengths)[:-1]))] = np.searchsorted(contexts, np.uint64(START))
-        key, self.number = np.unique(before * len(words) + self.token, return_inverse=True)
-        self.context_of, self.child_of = key // len(words), key % len(words)
-        name, child = contexts[self.context_of], ranked[self.child_of] >> np.uint64(64 - CHILD_BITS)
-        shard = (name >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(name), dtype=np.int64)
-        self.shared = np.zeros(len(name), dtype=np.int64)
-        if shared:
-            hot = np.array(sorted(shared), dtype=np.uint64)
+        self.level, self.number, self.longer = 1, self.token, self.words
+
+    def next(self, bits: int, shared: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        """The n-grams of the next level. ``shared``: contexts whose followers are spread over several shards, by rising
+        name, with their counts and numbers of shards."""
+        self.level += 1
+        before = np.empty(len(self.token), dtype=np.int64)
+        before[1:] = self.number[:-1] + 1
+        before[self.starts] = 0
+        key, self.number = np.unique(before * len(self.words) + self.token, return_inverse=True)
+        contexts = np.concatenate((np.array([start_of(self.level)], dtype=np.uint64), self.longer))
+        name, child = contexts[key // len(self.words)], child_bits(self.words[key % len(self.words)])
+        del before, key, contexts
+        self.longer = extended(name, child)
+        shard = (name >> np.uint64(64 - bits)).astype(np.int64)
+        hot, _, spread = shared
+        order = np.argsort(name, kind="stable")
+        if len(hot):
             at = np.minimum(np.searchsorted(hot, name), len(hot) - 1)
-            is_hot = hot[at] == name
-            spread = np.array([shared[int(h)][1] for h in hot], dtype=np.uint64)[at]
-            shift = (child * spread) >> np.uint64(CHILD_BITS)
-            shard = np.where(is_hot, (shard + shift.astype(np.int64)) & ((1 << bits) - 1), shard)
-        self.sorted = np.argsort(shard, kind="stable")
-        self.name, self.child, self.shard = name[self.sorted], child[self.sorted], shard[self.sorted]
+            shift = ((child * spread[at]) >> np.uint64(CHILD_BITS)).astype(np.int64)
+            shard = np.where(hot[at] == name, (shard + shift) & ((1 << bits) - 1), shard)
+            order = order[np.argsort(shard[order], kind="stable")]
+        self.sorted, self.name, self.child, self.shard = order, name[order], child[order], shard[order]
         self.cuts = np.flatnonzero(np.diff(self.shard, prepend=-1)).tolist() + [len(self.shard)]
 
     def slices(self) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
@@ -265,6 +288,19 @@ class _Pairs:
             first = np.flatnonzero(np.concatenate(([True], self.name[low + 1: high] != self.name[low: high - 1])))
             yield int(self.shard[low]), low, high, first, np.diff(np.append(first, high - low))
 
+    def learned(self) -> np.ndarray:
+        """How often each n-gram of the level stands in rows that are learned from."""
+        return np.bincount(self.number[np.repeat(self.learns, self.lengths)], minlength=len(self.sorted)).astype(np.uint32)[self.sorted]
+
+
+def _rising(x: np.ndarray) -> bytes:
+    """Rising numbers as packed differences."""
+    return packed(np.diff(x, prepend=np.uint64(0)))
+
+
+def _risen(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(raw, np.uint64), dtype=np.uint64)
+
 
 def _tables(rows: Iterator[dict], schema: list[tuple[str, pa.DataType]]) -> Iterator[pa.RecordBatch]:
     """Arrow batches of about 16 MB of rows with blobs."""
@@ -279,21 +315,23 @@ def _tables(rows: Iterator[dict], schema: list[tuple[str, pa.DataType]]) -> Iter
         yield pa.RecordBatch.from_pylist(held, schema=target)
 
 
-def score(df: DataFrame, key: str, text: str, train: Column) -> DataFrame:
+def score(df: DataFrame, key: str, text: str, train: Column, order: int = 3) -> DataFrame:
     """(key, train, n_tokens, n_known, train_tokens, base_score, score) of each row's whole text.
 
     Tokens are the lower-cased words ``[^\\x20\\x09-\\x0D]+`` and one end; rows for which ``train`` holds are learned
     from. ``base_score`` is the sum of log10((c + 0.1) / (N + 0.1 (V + 1))) over tokens, ``score`` that of the
-    interpolated pair model: (c12 - 0.75) / c1 for a pair that was learned, and for every pair the weight
-    0.75 * (followers of the context) / c1 times the single token's probability; contexts never learned leave all to the
-    single token. A null or empty text is one end token. Rows are kept apart, equal ones and those with a null key
-    included; with nothing learned every token has probability 1 and N is 0. Other columns are not read.
-
-    Texts are read once, into blocks of tokens written to the shared folder. Each block sends its distinct tokens, then
-    its distinct pairs with the counts learned, to shards of the hash space, and gets codes back, so a token or pair that
-    stands everywhere costs one entry a block. A shard builds its part of the trie from all blocks and answers them from
-    the mapped file. Contexts with more than a quarter of a shard's tokens are spread over several shards; there are at
-    most four times as many as shards. Nothing else of the model is ever gathered; shards grow in number with the text.
+    interpolated model of n-grams up to ``order``: at each length (c - 0.75) / (count of the context) if the n-gram was
+    learned, and for every n-gram the weight 0.75 * (followers of the context) / (count of the context) times the
+    probability one length shorter; contexts never learned leave all to it. Texts begin with ``order - 1`` starts. A null
+    or empty text is one end token. Rows are kept apart, equal ones and those with a null key included; with nothing
+    learned every token has probability 1 and N is 0. Other columns are not read.
+
+    Texts are read once, into blocks of tokens written to the shared folder. Level by level, each block sends its
+    distinct n-grams with the counts learned to shards of the contexts' hash space, and gets codes back, so an n-gram
+    that stands everywhere costs one entry a block. A shard builds its part of the trie from all blocks and answers them
+    from the mapped file. Contexts with more than a quarter of a shard's tokens are spread over several shards; each
+    level has at most four times as many as shards. Nothing else of the model is ever gathered; shards grow in number
+    with the text.
     """
     rows = df.select(F.col(key).alias("key"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text"))
     blob = [("block", pa.int64()), ("size", pa.int64()), ("tokens", pa.int64()), ("texts", pa.int64()),
@@ -311,132 +349,150 @@ def score(df: DataFrame, key: str, text: str, train: Column) -> DataFrame:
     blocks = stored(rows.mapInArrow(read, "block bigint, size bigint, tokens bigint, texts bigint, a binary, b binary, c binary, d binary"), "lm-blocks")
     total, learned, texts = blocks.agg(F.sum("size"), F.sum("tokens"), F.sum("texts")).head()
     total, learned, texts = total or 0, learned or 0, texts or 0
-    bits = max(2, (total // SHARD_PAIRS).bit_length())
+    bits = max(2, (total // SHARD_TOKENS).bit_length())
     shards = 1 << bits
     hot_from = learned / (4 * shards)
 
-    # Single tokens.
-    ask_singles = [("shard", pa.int32()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary())]
+    asked_sql = "shard int, block bigint, a binary, b binary, c binary, d binary"
+    asked = [("shard", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in "abcd")]
+    answer_sql = "block bigint, kind int, shard int, types bigint, a binary, b binary, c binary, d binary"
+    answer = [("block", pa.int64()), ("kind", pa.int32()), ("shard", pa.int32()), ("types", pa.int64()), *((c, pa.binary()) for c in "abcd")]
 
-    def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Level one: single tokens.
+    def ask_singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def items() -> Iterator[dict]:
             for batch in batches:
                 for row in batch.to_pylist():
                     words, counts = np.frombuffer(row["a"], np.uint64), unpacked(row["b"], np.uint64)
-                    order = np.argsort(words)
-                    words, counts = words[order], counts[order]
+                    by_name = np.argsort(words)
+                    words, counts = words[by_name], counts[by_name]
                     shard = (words >> np.uint64(64 - bits)).astype(np.int64)
                     cuts = np.flatnonzero(np.diff(shard, prepend=-1)).tolist() + [len(words)]
                     for low, high in zip(cuts, cuts[1:]):
-                        yield {"shard": int(shard[low]), "block": row["block"], "a": words[low:high].tobytes(), "b": packed(counts[low:high])}
-
-        yield from _tables(items(), ask_singles)
+                        yield {"shard": int(shard[low]), "block": row["block"], "a": _rising(words[low:high]), "b": packed(counts[low:high])}
 
-    answer = [("block", pa.int64()), ("kind", pa.int32()), ("shard", pa.int32()), ("types", pa.int64()), *((c, pa.binary()) for c in "abcd")]
-    answer_sql = "block bigint, kind int, shard int, types bigint, a binary, b binary, c binary, d binary"
+        yield from _tables(items(), asked)
 
-    def count_singles(group):
-        asked = [(b, np.frombuffer(a, np.uint64), unpacked(c, np.uint64)) for b, a, c in zip(*(group.column(n).to_pylist() for n in ("block", "a", "b")))]
-        names, at = np.unique(np.concatenate([w for _, w, _ in asked]), return_inverse=True)
+    def answer_singles(group):
+        shard = group.column("shard")[0].as_py()
+        got = [(b, _risen(a), unpacked(c, np.uint64)) for b, a, c in zip(*(group.column(n).to_pylist() for n in ("block", "a", "b")))]
+        names, at = np.unique(np.concatenate([w for _, w, _ in got]), return_inverse=True)
         counts = np.zeros(len(names), dtype=np.uint64)
-        np.add.at(counts, at, np.concatenate([c for _, _, c in asked]))
+        np.add.at(counts, at, np.concatenate([c for _, _, c in got]))
+        names, counts = names[counts > 0], counts[counts > 0]
+        base = np.uint64(shard << (64 - bits))
+        level, payload = EliasFano.of(names - base, 1 << (64 - bits)), np.append(counts, np.uint64(0))  # -1: not learned
         hot = counts > hot_from
-        shard = group.column("shard")[0].as_py()
-        out = [{"block": b, "kind": 1, "shard": shard, "a": packed(counts[np.searchsorted(names, w)])} for b, w, _ in asked]
-        out.append({"block": -1, "kind": 1, "shard": shard, "types": int((counts > 0).sum()), "a": names[hot].tobytes(), "b": counts[hot].tobytes()})
+        out = [{"block": b, "kind": 1, "shard": shard, "a": packed(payload[level.find(w - base)])} for b, w, _ in got]
+        out.append({"block": -1, "kind": 1, "shard": shard, "types": len(names), "c": names[hot].tobytes(), "d": counts[hot].tobytes()})
         return pa.Table.from_pylist(out, schema=pa.schema(answer))
 
-    single = stored(blocks.select("block", "a", "b").mapInArrow(singles, "shard int, block bigint, a binary, b binary")
-                    .groupBy("shard").applyInArrow(count_singles, answer_sql), "lm-singles")
-    summary = single.filter("block = -1").select("types", "a", "b").collect()  # at most four hot tokens a shard, on average
-    types = sum(r.types for r in summary)
-    shared: dict[int, tuple[int, int]] = {}
-    for r in summary:
-        for name, n in zip(np.frombuffer(r.a, np.uint64).tolist(), np.frombuffer(r.b, np.uint64).tolist()):
-            shared[name] = (n, min(shards, int(2 * n * shards / learned) + 1))
-    if texts:
-        shared[START] = (texts, min(shards, int(2 * texts * shards / learned) + 1))
-    hot_names = df.sparkSession.sparkContext.broadcast(shared)  # at most four numbers a shard
-
-    # Pairs.
-    ask_pairs = [("shard", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in "abcd")]
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def items() -> Iterator[dict]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    p = _Pairs(row, bits, hot_names.value)
-                    counts = np.bincount(p.number[np.repeat(p.learns, p.lengths)], minlength=len(p.sorted)).astype(np.uint32)[p.sorted]
-                    for shard, low, high, first, kids in p.slices():
-                        yield {"shard": shard, "block": row["block"], "a": p.name[low:high][first].tobytes(), "b": packed(kids.astype(np.uint32)),
-                               "c": packed(p.child[low:high]), "d": packed(counts[low:high])}
-
-        yield from _tables(items(), ask_pairs)
-
-    def answer_pairs(group):
-        shard = group.column("shard")[0].as_py()
-        asked = [(b, np.frombuffer(n, np.uint64), unpacked(k, np.uint32).astype(np.int64), unpacked(c, np.uint64), unpacked(d, np.uint32).astype(np.int64))
-                 for b, n, k, c, d in zip(*(group.column(x).to_pylist() for x in ("block", "a", "b", "c", "d")))]
-        names, rank = np.unique(np.concatenate([np.repeat(n, k) for _, n, k, _, _ in asked]), return_inverse=True)
-        child, count = np.concatenate([x[3] for x in asked]), np.concatenate([x[4] for x in asked])
-        some = count > 0
-        key, at = np.unique(rank[some].astype(np.uint64) << np.uint64(CHILD_BITS) | child[some], return_inverse=True)
-        totals = np.bincount(at, count[some], len(key)).astype(np.int64)
-        spread = hot_names.value
-        with tempfile.TemporaryDirectory() as folder:
-            # Shared contexts come from other ranges, so the shard's names are taken over the whole hash space.
-            trie = Trie(names[(key >> np.uint64(CHILD_BITS)).astype(np.int64)], key & np.uint64((1 << CHILD_BITS) - 1), totals, 0, 1 << 64,
-                        {c: n for c, (n, _) in spread.items()}, folder)
-            out = []
-            for b, n, k, c, _ in asked:
-                weight, share = trie.ask(n, k, c)
-                out.append({"block": b, "kind": 2, "shard": shard, "a": packed(weight), "b": packed(share)})
-            mine = [(int(n), int(k)) for n, k in zip(trie.names, trie.kids) if int(n) in spread]
-        out.append({"block": -1, "kind": 2, "shard": shard, "a": np.array([n for n, _ in mine], dtype=np.uint64).tobytes(),
-                    "b": np.array([k for _, k in mine], dtype=np.int64).tobytes()})
-        return pa.Table.from_pylist(out, schema=pa.schema(answer))
-
-    double = stored(blocks.select("block", "a", "c", "d").mapInArrow(pairs, "shard int, block bigint, a binary, b binary, c binary, d binary")
-                    .groupBy("shard").applyInArrow(answer_pairs, answer_sql), "lm-pairs")
-    followers: dict[int, int] = {}
-    for r in double.filter("block = -1").select("a", "b").toLocalIterator():
-        for name, n in zip(np.frombuffer(r.a, np.uint64).tolist(), np.frombuffer(r.b, np.int64).tolist()):
-            followers[name] = followers.get(name, 0) + n
-    hot_weights = df.sparkSession.sparkContext.broadcast(
-        {n: min(DISCOUNT * k / max(shared[n][0], 1), 1.0) for n, k in followers.items()})
+    def spread_over(reports: DataFrame, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Contexts of a level that several shards share: at most four a shard, and the start of texts."""
+        found = [(r.c, r.d) for r in reports.filter("block = -1 and length(c) > 0").select("c", "d").toLocalIterator()]
+        names = np.frombuffer(b"".join(bytes(c) for c, _ in found) + (np.uint64(start_of(level)).tobytes() if texts else b""), np.uint64)
+        counts = np.frombuffer(b"".join(bytes(d) for _, d in found) + (np.uint64(texts).tobytes() if texts else b""), np.uint64)
+        by_name = np.argsort(names)
+        names, counts = names[by_name], counts[by_name]
+        return names, counts, np.minimum(shards, (2.0 * counts * shards / max(learned, 1)).astype(np.int64) + 1).astype(np.uint64)
+
+    answers = [stored(blocks.select("block", "a", "b").mapInArrow(ask_singles, asked_sql)
+                      .groupBy("shard").applyInArrow(answer_singles, answer_sql), "lm-level1")]
+    types = answers[0].agg(F.sum("types")).head()[0] or 0
+
+    # Longer n-grams: each level asks with the contexts that the level before it found to be spread.
+    spreads, weights = [], []
+    for level in range(2, order + 1):
+        spreads.append(df.sparkSession.sparkContext.broadcast(spread_over(answers[-1], level)))
+        known = list(spreads)
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def items() -> Iterator[dict]:
+                for batch in batches:
+                    for row in batch.to_pylist():
+                        grams = _Grams(row)
+                        for spread in known:
+                            grams.next(bits, spread.value)
+                        counts = grams.learned()
+                        for shard, low, high, first, kids in grams.slices():
+                            yield {"shard": shard, "block": row["block"], "a": _rising(grams.name[low:high][first]),
+                                   "b": packed(kids.astype(np.uint32)), "c": packed(grams.child[low:high].astype(np.uint32)), "d": packed(counts[low:high])}
+
+            yield from _tables(items(), asked)
+
+        def answer_level(group):
+            shard = group.column("shard")[0].as_py()
+            got = [(b, _risen(n), unpacked(k, np.uint32).astype(np.int64), unpacked(c, np.uint32).astype(np.uint64), unpacked(d, np.uint32))
+                   for b, n, k, c, d in zip(*(group.column(x).to_pylist() for x in ("block", "a", "b", "c", "d")))]
+            names, rank = np.unique(np.concatenate([x[1] for x in got]), return_inverse=True)
+            gram = np.repeat(rank, np.concatenate([x[2] for x in got])).astype(np.uint64) << np.uint64(CHILD_BITS)
+            gram |= np.concatenate([x[3] for x in got])
+            count = np.concatenate([x[4] for x in got])
+            gram, at = np.unique(gram[count > 0], return_inverse=True)
+            count = np.bincount(at, count[count > 0], len(gram)).astype(np.int64)
+            context, child = names[(gram >> np.uint64(CHILD_BITS)).astype(np.int64)], gram & np.uint64((1 << CHILD_BITS) - 1)
+            hot, totals, _ = known[-1].value
+            with tempfile.TemporaryDirectory() as folder:
+                # Shared contexts come from other ranges, so the shard's names are taken over the whole hash space.
+                trie = Trie(context, child, count, 0, 1 << 64, dict(zip(hot.tolist(), totals.tolist())), folder)
+                out = []
+                for b, n, k, c, _ in got:
+                    weight, share = trie.ask(n, k, c)
+                    out.append({"block": b, "kind": level, "shard": shard, "a": packed(weight), "b": packed(share)})
+                mine = np.isin(trie.names, hot)
+            often = count > hot_from
+            out.append({"block": -1, "kind": level, "shard": shard, "a": trie.names[mine].tobytes(), "b": trie.kids[mine].astype(np.int64).tobytes(),
+                        "c": extended(context[often], child[often]).tobytes(), "d": count[often].astype(np.uint64).tobytes()})
+            return pa.Table.from_pylist(out, schema=pa.schema(answer))
+
+        answers.append(stored(blocks.select("block", "a", "c", "d").mapInArrow(ask, asked_sql)
+                              .groupBy("shard").applyInArrow(answer_level, answer_sql), f"lm-level{level}"))
+        hot, totals, _ = spreads[-1].value
+        followers = np.zeros(len(hot))
+        for r in answers[-1].filter("block = -1 and length(a) > 0").select("a", "b").toLocalIterator():
+            np.add.at(followers, np.searchsorted(hot, np.frombuffer(r.a, np.uint64)), np.frombuffer(r.b, np.int64))
+        weights.append(df.sparkSession.sparkContext.broadcast(np.minimum(DISCOUNT * followers / np.maximum(totals, 1), 1.0)))
     below = learned + ADDED * (types + 1)
 
     def finish(group):
-        kinds = group.column("kind").to_pylist()
-        row = group.slice(kinds.index(0), 1).to_pylist()[0]
-        parts = {kind: sorted((r for r in group.filter(pa.compute.equal(group.column("kind"), kind)).to_pylist()), key=lambda r: r["shard"]) for kind in (1, 2)}
-        p = _Pairs(row, bits, hot_names.value)
-        single = np.concatenate([unpacked(r["a"], np.uint64) for r in parts[1]]).astype(np.float64)  # by rising hash
-        alone = (single + ADDED) / below
-        weight, share = np.empty(len(p.sorted)), np.empty(len(p.sorted))
-        for (_, low, high, _, kids), r in zip(p.slices(), parts[2]):
-            weight[low:high] = np.repeat(restored(unpacked(r["a"], np.uint16)), kids)
-            share[low:high] = restored(unpacked(r["b"], np.uint16))
-        hot = hot_weights.value
-        if hot:
-            names = np.array(sorted(hot), dtype=np.uint64)
-            at = np.minimum(np.searchsorted(names, p.name), len(names) - 1)
-            weight = np.where(names[at] == p.name, np.array([hot[int(n)] for n in names])[at], weight)
-        unknown = weight == 0
-        likely = np.empty(len(p.sorted))
-        likely[p.sorted] = np.log10(np.where(unknown, alone[p.child_of[p.sorted]], share + weight * alone[p.child_of[p.sorted]]))
+        kind, shard = group.column("kind").to_numpy(), group.column("shard").to_numpy()
+
+        def rows_of(level: int) -> pa.Table:
+            at = np.flatnonzero(kind == level)
+            return group.take(at[np.argsort(shard[at])]).select(["a", "b", "c", "d"])
+
+        row = rows_of(0).to_pylist()[0]
+        grams = _Grams(row)
         keys, lengths, valid, learns = _documents(row["d"])
-        first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        single = np.concatenate([unpacked(r.as_py(), np.uint64) for r in rows_of(1).column("a")]).astype(np.float64)  # by rising hash
+        alone = (single + ADDED) / below
+        likely = alone[grams.token]
+        base = np.add.reduceat(np.log10(likely), grams.starts)
+        for level, (spread, hot_weight) in enumerate(zip(spreads, weights), 2):
+            grams.next(bits, spread.value)
+            told = rows_of(level)
+            weight, share = np.empty(len(grams.sorted), dtype=np.float32), np.empty(len(grams.sorted), dtype=np.float32)
+            for (_, low, high, _, kids), a, b in zip(grams.slices(), told.column("a"), told.column("b")):
+                weight[low:high] = np.repeat(restored(unpacked(a.as_py(), np.uint16)), kids)
+                share[low:high] = restored(unpacked(b.as_py(), np.uint16))
+            hot = spread.value[0]
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, grams.name), len(hot) - 1)
+                weight = np.where(hot[at] == grams.name, hot_weight.value[at], weight).astype(np.float32)
+            back = np.empty(len(grams.sorted), dtype=np.int64)
+            back[grams.sorted] = np.arange(len(back))
+            at = back[grams.number]
+            likely = np.where(weight[at] == 0, likely, share[at] + weight[at] * likely)
         return pa.table({
             "key": pa.array(keys, mask=~valid), "train": pa.array(learns), "n_tokens": pa.array(lengths),
-            "n_known": pa.array(np.add.reduceat((single > 0)[p.token].astype(np.int64), first)),
+            "n_known": pa.array(np.add.reduceat((single > 0)[grams.token].astype(np.int64), grams.starts)),
             "train_tokens": pa.array(np.full(len(keys), learned, dtype=np.int64)),
-            "base_score": pa.array(np.add.reduceat(np.log10(alone)[p.token], first)),
-            "score": pa.array(np.add.reduceat(likely[p.number], first)),
+            "base_score": pa.array(base), "score": pa.array(np.add.reduceat(np.log10(likely), grams.starts)),
         })
 
-    whole = blocks.select("block", F.lit(0).alias("kind"), F.lit(0).alias("shard"), F.lit(0).cast("bigint").alias("types"), "a", "b", "c", "d")
-    met = whole.union(single.filter("block >= 0")).union(double.filter("block >= 0"))
+    met = blocks.select("block", F.lit(0).alias("kind"), F.lit(0).alias("shard"), F.lit(0).cast("bigint").alias("types"), "a", "b", "c", "d")
+    for told in answers:
+        met = met.union(told.filter("block >= 0"))
     return met.groupBy("block").applyInArrow(
         finish, "key bigint, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     ).withColumnRenamed("key", key)
