@@ -46,15 +46,15 @@ def judge(pages: DataFrame, key: str, url: str, rules: DataFrame, default: str =
     null part are left out. Equal rows are judged once and come back as often as they were; other columns are not read.
 
     Each address is expanded into its host suffixes and its path prefixes (of the lengths that the rules have), each
-    such expression is joined on a short hash prefix, and the full SHA-256 digest decides. Pages are shuffled once, by
+    such expression is joined on a short hash prefix alone, and the full SHA-256 digest decides within the aggregate. Pages are shuffled once, by
     their own key; nothing of one host is ever gathered in one task.
     """
     listed = (
         rules.select(lower_ascii(F.col("host")).alias("host"), "path", "verdict").dropna()
         .groupBy("host", "path").agg(F.max_by("verdict", F.col("verdict") == "block").alias("rule_verdict"))
         .withColumn("rule", F.concat("host", "path")).withColumn("digest", F.sha2(F.concat_ws("\n", "host", "path"), 256))
-        .select(_short(F.col("digest")).alias("prefix"), "digest", "rule", "rule_verdict",
-                F.struct(F.char_length("rule").alias("n"), F.char_length("host").alias("h")).alias("strength"))
+        .select(_short(F.col("digest")).alias("prefix"), "digest",
+                F.struct(F.char_length("rule").alias("n"), F.char_length("host").alias("h"), "rule", "rule_verdict").alias("listed"))
     )
     # One small number for each distinct length of a rule's path; no more than the longest path has characters.
     lengths = [n for (n,) in rules.select(F.char_length("path")).dropna().distinct().collect()]
@@ -73,13 +73,13 @@ def judge(pages: DataFrame, key: str, url: str, rules: DataFrame, default: str =
         .select("key", "copies", "url", "host", "path", F.explode_outer(digests).alias("asked"))
         .withColumn("asked_prefix", _short(F.col("asked")))
     )
+    # The short prefix alone is the key; an expression may meet several rules by it, and the digest tells which is meant.
     found = asked.join(
-        broadcast_if(listed, at_most(listed, BROADCAST_RULES)),
-        (F.col("asked_prefix") == F.col("prefix")) & (F.col("asked") == F.col("digest")), "left",
+        broadcast_if(listed, at_most(listed, BROADCAST_RULES)), F.col("asked_prefix") == F.col("prefix"), "left"
     )
     best = found.groupBy("key", "url").agg(
         F.first("copies").alias("copies"), F.first("host").alias("host"), F.first("path").alias("path"),
-        F.max_by(F.struct("rule", "rule_verdict"), "strength").alias("won"),
+        F.max(F.when(F.col("asked") == F.col("digest"), F.col("listed"))).alias("won"),
     )
     return best.select(
         F.col("key").alias(key), "host", "path", F.col("won.rule").alias("rule"),

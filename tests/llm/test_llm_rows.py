@@ -51,6 +51,13 @@ def test_a_large_rule_table_is_joined_without_broadcast(spark, monkeypatch):
     assert judged(spark, ["http://www.example.com/en/", "http://b.net/es/"]) == want
 
 
+def test_the_full_digest_decides_where_short_prefixes_meet(spark, monkeypatch):
+    asked = [f"http://{a}.example.{b}/{c}/" for a in ("www", "x") for b in ("com", "net") for c in ("en", "es", "fr", "")]
+    want = judged(spark, asked)
+    monkeypatch.setattr(urls, "PREFIX_DIGITS", 1)
+    assert judged(spark, asked) == want
+
+
 def filled(sizes, weights, repeats):
     """Targets by handing out what is over again and again."""
     target, open_ = {}, dict(sizes)
