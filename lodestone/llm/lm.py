@@ -18,8 +18,9 @@ from .shared import hashed_words, mix64, task_row_prefix, text_batches
 ADDED, DISCOUNT = 0.1, 0.75
 # Text bytes whose tokens are handled together, and tokens (about) of one shard of a level of the model.
 BLOCK_BYTES, SHARD_TOKENS = 8 << 20, 1 << 20
-# Following tokens are told apart by this many bits of their hash, within one context.
-CHILD_BITS = 32
+# Following tokens are told apart by this many bits of their hash, within one context, and contexts of several tokens by
+# the bits of this mask: among 10^13 contexts one in 7,000 shares its name.
+CHILD_BITS, CONTEXT_MASK = 28, np.uint64(0xFFFFFFFFFFFFFF00)
 # Step of the quantised logarithms; code 0 is "not there".
 STEP = 1 / 2_000
 END, START = (int(x) for x in mix64(np.array([0x0E0D, 0x57A7], dtype=np.uint64)))
@@ -31,7 +32,7 @@ def child_bits(words: np.ndarray) -> np.ndarray:
 
 def extended(contexts: np.ndarray, children: np.ndarray) -> np.ndarray:
     """Names of the contexts that are one token longer."""
-    return mix64(contexts * np.uint64(0x9FB21C651E98DF25) + children)
+    return mix64(contexts * np.uint64(0x9FB21C651E98DF25) + children) & CONTEXT_MASK
 
 
 def start_of(level: int) -> int:
@@ -67,8 +68,16 @@ def unpacked(raw: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, -1).T).reshape(-1).view(kind)
 
 
-_ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.int64)
-_PLACE = np.array([[([b for b in range(8) if i >> b & 1] + [8] * 8)[k] for k in range(8)] for i in range(256)], dtype=np.int64)
+# Position of the k-th one of a byte, at k * 256 + byte.
+_PLACE = np.array([([b for b in range(8) if i >> b & 1] + [8] * 8)[k] for k in range(8) for i in range(256)], dtype=np.uint64)
+_BYTES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+
+
+def _upto(words: np.ndarray) -> np.ndarray:
+    """Ones up to the end of each byte of 64-bit words, byte by byte (lowest first)."""
+    n = words - ((words >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    n = (n & np.uint64(0x3333333333333333)) + ((n >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    return ((n + (n >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _BYTES
 
 
 class EliasFano:
@@ -107,12 +116,13 @@ class EliasFano:
         word = np.searchsorted(before, k, side="right") - 1
         rest = k - before[word]
         raw = self.arrays["words"][word]
-        raw = np.ascontiguousarray(raw if one else ~raw).view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(_ONES[raw], axis=1)
-        byte = (upto <= rest[:, None]).sum(axis=1)
-        row = np.arange(len(k))
-        rest = rest - np.where(byte > 0, upto[row, byte - 1], 0)
-        return word * 64 + byte * 8 + _PLACE[raw[row, byte], rest]
+        raw, rest = raw if one else ~raw, rest.astype(np.uint64)
+        upto = _upto(raw)
+        # The top bit of each byte tells whether no more than ``rest`` ones stand up to its end.
+        full = ((((rest * _BYTES) | _TOPS) - upto) & _TOPS) >> np.uint64(7)
+        shift = ((full * _BYTES) >> np.uint64(56)) << np.uint64(3)
+        rest -= ((upto << np.uint64(8)) >> shift) & np.uint64(255)
+        return word * 64 + (shift + _PLACE[(rest << np.uint64(8)) | ((raw >> shift) & np.uint64(255))]).astype(np.int64)
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.low:
@@ -128,32 +138,36 @@ class EliasFano:
     def access(self, i: np.ndarray) -> np.ndarray:
         return (self._select(i, True) - i).astype(np.uint64) << np.uint64(self.low) | self._lows(i)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Index of the first number not below each of ``x`` (the length if there is none)."""
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the first number not below each of ``x``, and the end of the run of numbers that share its high part."""
         high = (x >> np.uint64(self.low)).astype(np.int64)
         at = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - np.maximum(high - 1, 0), 0)
-        stop = self._select(high, False) - high
-        goal = x & np.uint64((1 << self.low) - 1)
+        end = self._select(high, False) - high
+        stop, goal = end.copy(), x & np.uint64((1 << self.low) - 1)
         open_ = np.flatnonzero(at < stop)
-        while len(open_):  # halves what is left of each high part's run, which is long where numbers crowd
+        while len(open_):  # halves what is left of each run, which is long where numbers crowd
             middle = (at[open_] + stop[open_]) >> 1
             below = self._lows(middle) < goal[open_]
             at[open_[below]] = middle[below] + 1
             stop[open_[~below]] = middle[~below]
             open_ = open_[at[open_] < stop[open_]]
-        return at
+        return at, end
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """Index of the first number not below each of ``x`` (the length if there is none)."""
+        return self._search(x)[0]
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Index of each of ``x``, or -1 where it is not in the sequence."""
         if not self.length:
             return np.full(len(x), -1, dtype=np.int64)
-        out = np.empty(len(x), dtype=np.int64)
+        out = np.full(len(x), -1, dtype=np.int64)
         for start in range(0, len(x), 1 << 16):
             some = x[start: start + (1 << 16)]
-            at = self.successor(some)
-            there = at < self.length
-            there[there] = self.access(at[there]) == some[there]
-            out[start: start + (1 << 16)] = np.where(there, at, -1)
+            at, end = self._search(some)
+            inside = np.flatnonzero(at < end)  # the successor shares the high part, so equal low parts decide
+            same = inside[self._lows(at[inside]) == some[inside] & np.uint64((1 << self.low) - 1)]
+            out[start + same] = at[same]
         return out
 
 
@@ -198,16 +212,13 @@ class Trie:
         at = self.levels["contexts"].find(contexts - np.uint64(self.base))
         weight, share = np.zeros(len(at), dtype=np.uint16), np.zeros(len(child), dtype=np.uint16)
         weight[at >= 0] = self.weight[at[at >= 0]]
-        rank = np.repeat(at, kids)
-        some = np.flatnonzero(rank >= 0)
-        place = self.levels["children"].find(rank[some].astype(np.uint64) << np.uint64(CHILD_BITS) | child[some])
-        found = place >= 0
+        known = np.flatnonzero(at >= 0)
+        low, high = (self.levels["pointers"].access(at[known] + i).astype(np.int64) for i in (0, 1))
+        some = np.flatnonzero(np.repeat(at >= 0, kids))
+        place = self.levels["children"].find(np.repeat(at[known], kids[known]).astype(np.uint64) << np.uint64(CHILD_BITS) | child[some])
         # Pointers bound each context's range; what is found outside it is not a follower of this context.
-        if found.any():
-            low = self.levels["pointers"].access(rank[some][found])
-            high = self.levels["pointers"].access(rank[some][found] + 1)
-            inside = (place[found].astype(np.uint64) >= low) & (place[found].astype(np.uint64) < high)
-            share[some[found]] = np.where(inside, self.share[place[found]], 0)
+        inside = np.flatnonzero((place >= np.repeat(low, kids[known])) & (place < np.repeat(high, kids[known])))
+        share[some[inside]] = self.share[place[inside]]
         return weight, share
 
 
