@@ -435,22 +435,24 @@ def score(df: DataFrame, key: str, text: str, train: Column, order: int = 3) ->
             shard = group.column("shard")[0].as_py()
             got = [(b, _risen(n), unpacked(k, np.uint32).astype(np.int64), unpacked(c, np.uint32).astype(np.uint64), unpacked(d, np.uint32))
                    for b, n, k, c, d in zip(*(group.column(x).to_pylist() for x in ("block", "a", "b", "c", "d")))]
+            # Equal entries of several blocks are asked for once.
             names, rank = np.unique(np.concatenate([x[1] for x in got]), return_inverse=True)
             gram = np.repeat(rank, np.concatenate([x[2] for x in got])).astype(np.uint64) << np.uint64(CHILD_BITS)
             gram |= np.concatenate([x[3] for x in got])
-            count = np.concatenate([x[4] for x in got])
-            gram, at = np.unique(gram[count > 0], return_inverse=True)
-            count = np.bincount(at, count[count > 0], len(gram)).astype(np.int64)
-            context, child = names[(gram >> np.uint64(CHILD_BITS)).astype(np.int64)], gram & np.uint64((1 << CHILD_BITS) - 1)
+            gram, at = np.unique(gram, return_inverse=True)
+            count = np.bincount(at, np.concatenate([x[4] for x in got]), len(gram)).astype(np.int64)
+            owner, child = (gram >> np.uint64(CHILD_BITS)).astype(np.int64), gram & np.uint64((1 << CHILD_BITS) - 1)
+            context, some = names[owner], count > 0
             hot, totals, _ = known[-1].value
             with tempfile.TemporaryDirectory() as folder:
                 # Shared contexts come from other ranges, so the shard's names are taken over the whole hash space.
-                trie = Trie(context, child, count, 0, 1 << 64, dict(zip(hot.tolist(), totals.tolist())), folder)
-                out = []
-                for b, n, k, c, _ in got:
-                    weight, share = trie.ask(n, k, c)
-                    out.append({"block": b, "kind": level, "shard": shard, "a": packed(weight), "b": packed(share)})
+                trie = Trie(context[some], child[some], count[some], 0, 1 << 64, dict(zip(hot.tolist(), totals.tolist())), folder)
+                weight, share = trie.ask(names, np.bincount(owner, minlength=len(names)), child)
                 mine = np.isin(trie.names, hot)
+            out, low, first = [], 0, 0
+            for b, n, _, c, _ in got:
+                out.append({"block": b, "kind": level, "shard": shard, "a": packed(weight[rank[low: low + len(n)]]), "b": packed(share[at[first: first + len(c)]])})
+                low, first = low + len(n), first + len(c)
             often = count > hot_from
             out.append({"block": -1, "kind": level, "shard": shard, "a": trie.names[mine].tobytes(), "b": trie.kids[mine].astype(np.int64).tobytes(),
                         "c": extended(context[often], child[often]).tobytes(), "d": count[often].astype(np.uint64).tobytes()})
