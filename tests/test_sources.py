@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone import schemas
 from lodestone.operators import dense
-from lodestone.sources import lines, records, tables, vectors_text
+from lodestone.sources import lines, records, sitemap, tables, vectors_text
 from lodestone.streaming import ingest
 
 
@@ -121,3 +121,28 @@ def test_broken_lines_can_be_kept(spark, tmp_path):
     (tmp_path / "q.jsonl").write_text('{"question_id": 1, "question": "a"}\nnot json\n')
     rows = records.read_json(spark, str(tmp_path / "q.jsonl"), schemas.QUESTION_FILE, corrupt="broken").collect()
     assert sorted((r.question_id or "", r.broken or "") for r in rows) == [("", "not json"), ("1", "")]
+
+
+def test_nested_sitemap_indexes_are_followed_to_the_end(spark, tmp_path):
+    def index(*names):
+        return "<sitemapindex>" + "".join(f"<sitemap><loc> https://a.com/{n} </loc></sitemap>" for n in names) + "</sitemapindex>"
+
+    def urls(*names):
+        return "<urlset>" + "".join(f"<url><loc>https://a.com/{n}</loc></url>" for n in names) + "</urlset>"
+
+    files = {
+        "top.xml": index("mid.xml", "leaf1.xml"), "mid.xml": index("low.xml", "top.xml", "missing.xml"),
+        "low.xml": index("mid.xml", "leaf2.xml", "leaf1.xml"), "leaf1.xml": urls("p1", "p2"), "leaf2.xml": urls("p3"),
+        "alone.xml": urls("p4"),
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    catalog = spark.createDataFrame([(f"https://a.com/{n}", n) for n in files] + [(None, "x")], "loc string, name string")
+
+    def found(*roots):
+        start = spark.createDataFrame([(f"https://a.com/{n}",) for n in roots], "loc string")
+        return sorted(r.loc[-2:] for r in sitemap.read_tree(spark, str(tmp_path), catalog, start).collect())
+
+    assert found("top.xml") == ["p1", "p2", "p3"]
+    assert found("low.xml", "low.xml", "leaf2.xml") == ["p1", "p2", "p3"]
+    assert found("leaf1.xml") == ["p1", "p2"] and found("missing.xml") == [] and found() == []
