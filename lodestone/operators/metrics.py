@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .infer import loaded
 from .ranking import global_number
@@ -49,6 +50,43 @@ def retrieval_sweep(gold: DataFrame, retrieved: DataFrame, ks: list[int]) -> Dat
     )
 
 
+def retrieval_grid(
+    gold: DataFrame, candidates: DataFrame, sparse_ks: list[int], dense_ks: list[int], rerank_ks: list[int]
+) -> DataFrame:
+    """(sparse_k, dense_k, rerank_k, n_questions, recall, mrr) of every combination, out of one table of scored candidates.
+
+    ``candidates(question_id, chunk_id, sparse_rank, dense_rank, score)`` are made at the largest cut-offs
+    (``retrieve.scored_candidates``). Each combination counts as fusion without doubles, then reranking, would: equal
+    scores stay in the order sparse, dense. Nothing is ranked again: a gold chunk's place is one more than the candidates of its
+    combination that come before it, and one aggregate by question counts them for all combinations.
+    """
+    cells = [(s, d) for s in sparse_ks for d in dense_ks]
+
+    def place(of: Column, s: int, d: int) -> Column:
+        """Channel and rank at which a combination finds a candidate, as one number pair; NULL if it does not."""
+        spot = lambda channel, rank: F.struct(F.lit(channel).alias("channel"), of[rank].alias("rank"))
+        return F.when(of["sparse_rank"] <= s, spot(0, "sparse_rank")).when(of["dense_rank"] <= d, spot(1, "dense_rank"))
+
+    named = gold.select("question_id", F.col("chunk_id").alias("_gold"))
+    one = F.struct("chunk_id", "sparse_rank", "dense_rank", "score")
+    rows = named.join(candidates.select("question_id", one.alias("_c")), "question_id", "left")
+    own = F.max(F.when(F.col("_c.chunk_id") == F.col("_gold"), F.col("_c"))).over(W.partitionBy("question_id"))
+    rows = rows.withColumn("_own", own)
+    c, g = F.col("_c"), F.col("_own")
+
+    def rank_in(s: int, d: int) -> Column:
+        first = (c["score"] > g["score"]) | ((c["score"] == g["score"]) & (place(c, s, d) < place(g, s, d)))
+        ahead = F.count_if(place(c, s, d).isNotNull() & first)
+        found = F.max(F.when(place(g, s, d).isNotNull(), F.lit(1)))
+        return F.struct(F.lit(s).alias("sparse_k"), F.lit(d).alias("dense_k"), F.when(found == 1, ahead + 1).alias("hit_rank"))
+
+    ranks = rows.groupBy("question_id").agg(F.array(*[rank_in(s, d) for s, d in cells]).alias("_cells"))
+    spread = ranks.select(F.inline("_cells")).withColumn("rerank_k", F.explode(F.array(*[F.lit(k) for k in rerank_ks])))
+    return spread.groupBy("sparse_k", "dense_k", "rerank_k").agg(
+        F.count("*").alias("n_questions"), *_scores(F.col("hit_rank"), F.col("rerank_k"))
+    )
+
+
 def batch_metrics(per_question: DataFrame, row_no: str, batch: int, measures: list[str]) -> DataFrame:
     """Mean of each measure per batch of ``batch`` consecutive rows, plus the exact row over all (batch_id NULL).
 

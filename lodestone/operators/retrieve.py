@@ -63,6 +63,27 @@ def rerank(
     )
 
 
+def scored_candidates(
+    sparse: DataFrame, dense: DataFrame, questions: DataFrame, chunks: DataFrame, scorer: infer.Factory | None = None,
+    query: str = "question", batch_size: int = 16, small: bool = False,
+) -> DataFrame:
+    """(question_id, chunk_id, sparse_rank, dense_rank, score): every pair that a channel found, scored once.
+
+    A rank is NULL where the channel did not find the pair. ``questions(question_id, <query>)``, ``chunks(chunk_id, text_content)``;
+    ``small`` if the caller has bounded the pairs. The score is that of ``rerank``.
+    """
+    ranks = sparse.select("question_id", "chunk_id", F.col("rank").alias("sparse_rank"), F.lit(None).cast("int").alias("dense_rank")).unionByName(
+        dense.select("question_id", "chunk_id", F.lit(None).cast("int").alias("sparse_rank"), F.col("rank").alias("dense_rank")))
+    found = ranks.groupBy("question_id", "chunk_id").agg(F.min("sparse_rank").alias("sparse_rank"), F.min("dense_rank").alias("dense_rank"))
+    pairs = chunks.select("chunk_id", "text_content").join(broadcast_if(found, small), "chunk_id").join(
+        questions.select("question_id", query), "question_id")
+    if scorer is None:
+        scored = pairs.withColumn("score", overlap_score(query, "text_content"))
+    else:
+        scored = infer.run(pairs, scorer, [query, "text_content"], "score", "double", batch_size)
+    return scored.select("question_id", "chunk_id", "sparse_rank", "dense_rank", "score")
+
+
 def expand_with_model(
     questions: DataFrame, generator: infer.Factory, template: str = prompts.EXPAND, batch_size: int = 16,
     key: str | None = None,

@@ -13,7 +13,7 @@ from ..functions.text import words
 from ..operators import dense, metrics, retrieve, sparse
 from ..operators.ranking import BROADCAST_ROWS, at_most
 from ..session import stored, work_path
-from ..streaming import ingest
+from ..streaming import ingest, keyed
 
 r = Registry()
 r.fragments.include(catalog_sparse.r.fragments)
@@ -122,6 +122,38 @@ def rerank_top_third(spark, sf_dir):
     return kept.select("question_id", "rank", "chunk_id", "score")
 
 
+SPARSE_KS, DENSE_KS, RERANK_KS = [1, 3, SPARSE_K], [1, 3, DENSE_K], [1, 2, 3, 5]
+r.fragments.add("grid_cells", f"""
+    SELECT sparse_k, dense_k FROM (SELECT unnest({SPARSE_KS}) AS sparse_k), (SELECT unnest({DENSE_KS}) AS dense_k)""")
+r.fragments.add("grid_fused", """
+    SELECT sparse_k, dense_k, question_id, chunk_id, min([c, rank]) AS place FROM (
+        SELECT sparse_k, dense_k, question_id, chunk_id, 0 AS c, rank FROM ranked JOIN grid_cells ON rank <= sparse_k
+        UNION ALL SELECT sparse_k, dense_k, query_id, chunk_id, 1, rank FROM text_near JOIN grid_cells ON rank <= dense_k)
+    GROUP BY ALL""")
+r.fragments.add("grid_ranked", """
+    SELECT sparse_k, dense_k, question_id, chunk_id,
+           row_number() OVER (PARTITION BY sparse_k, dense_k, question_id ORDER BY score DESC, place) AS new_rank
+    FROM grid_fused JOIN (SELECT DISTINCT question_id, chunk_id, score FROM pair_scores) USING (question_id, chunk_id)""")
+
+
+@r.query(f"""
+    SELECT sparse_k, dense_k, rerank_k, count(*) AS n_questions, round(avg(CASE WHEN new_rank <= rerank_k THEN 1.0 ELSE 0.0 END), 6) AS recall,
+           round(avg(CASE WHEN new_rank <= rerank_k THEN 1.0 / new_rank ELSE 0.0 END), 6) AS mrr
+    FROM (SELECT *, unnest({RERANK_KS}) AS rerank_k FROM gold, grid_cells) a
+    LEFT JOIN grid_ranked USING (sparse_k, dense_k, question_id, chunk_id) GROUP BY sparse_k, dense_k, rerank_k""")
+def retrieval_grid(spark, sf_dir):
+    """Every combination of the cut-offs of both channels and of reranking, out of one ranking each."""
+    index, questions = corpus(spark, sf_dir), asked(spark, sf_dir)
+    hits = sparse.search(index.sparse_index, questions.select("question_id", "terms"), max(SPARSE_KS))
+    near = answering.dense_channel(
+        questions, "question", index, answering.Models(standins.echo_reader), RetrievalConfig(dense_k=max(DENSE_KS)))
+    small = at_most(questions, BROADCAST_ROWS // (max(DENSE_KS) + max(SPARSE_KS)))
+    scored = retrieve.scored_candidates(hits, near, questions, index.chunks, small=small)
+    grid = metrics.retrieval_grid(catalog_sparse.gold(spark, sf_dir), scored, SPARSE_KS, DENSE_KS, RERANK_KS)
+    return grid.select(
+        "sparse_k", "dense_k", "rerank_k", "n_questions", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
+
+
 r.fragments.add("feedback_terms", f"""
     SELECT question_id, string_agg(term, ' ' ORDER BY w DESC, term) AS added FROM (
         SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY w DESC, term) AS n FROM (
@@ -351,3 +383,24 @@ def stream_ingest(spark, sf_dir):
         "chunk_id", "source_name", "n_chars", F.size(F.filter("embedding", lambda x: x > 0)).cast("bigint").alias("n_buckets"),
         F.round(squares, 6).alias("size"),
     )
+
+
+@r.query("""
+    SELECT chunk_id, count(*) AS n_rows, min(source_name) AS source_name, min(length(text_content)) AS n_chars FROM (
+        SELECT doc_id AS chunk_id, source AS source_name, text AS text_content FROM documents
+        UNION ALL SELECT -1 - page_id, url, html FROM pages)
+    GROUP BY chunk_id""")
+def keyed_ingest(spark, sf_dir):
+    """Documents and pages appended to one table in four batches that bring most rows again; every id is there once."""
+    sink = work_path(spark, "keyed")
+    documents = tables.chunks(spark, sf_dir)
+    pages = tables.pages(spark, sf_dir).select(
+        (F.lit(-1) - F.col("page_id")).alias("chunk_id"), F.col("url").alias("source_name"), F.col("html").alias("text_content"))
+
+    def counted(rows):
+        return rows.withColumn("n_chars", F.length("text_content").cast("bigint"))
+
+    for number, batch in enumerate((documents, documents.unionByName(pages), pages, pages.unionByName(pages))):
+        keyed.append(batch, counted, sink, number, buckets=16)
+    return keyed.read(spark, sink).groupBy("chunk_id").agg(
+        F.count("*").alias("n_rows"), F.min("source_name").alias("source_name"), F.min("n_chars").alias("n_chars"))
