@@ -155,6 +155,28 @@ def chunk_documents(spark, sf_dir):
     return chunking.chunk(tables.documents(spark, sf_dir))
 
 
+@r.query("""
+    SELECT doc_id, md5(text) AS joined_md5, length(text) AS n_chars, true AS placed, true AS full
+    FROM documents WHERE text <> ''""")
+def chunk_subwords(spark, sf_dir):
+    """Chunks of 512 tokens of a byte-level tokenizer: joined they are the text, each lies where it says, all but the last are full."""
+    import public_tokenizers
+
+    documents, size = tables.documents(spark, sf_dir), chunking.CHUNK_TOKENS
+    chunks = chunking.chunk_subwords(documents, chunking.tokenizer_starts(public_tokenizers.path("byte_bpe_50k.json")), size)
+    n_chars = F.char_length("text_content")
+    parts = chunks.select("doc_id", F.struct(
+        "position", "start_char", "end_char", "n_tokens", n_chars.cast("bigint").alias("n_chars"), "text_content").alias("c"))
+    whole = parts.groupBy("doc_id").agg(F.sort_array(F.collect_list("c")).alias("c"))
+    before = lambda i: F.when(i > 0, F.col("c")[i - 1]["end_char"]).otherwise(F.lit(0))
+    placed = F.transform("c", lambda x, i: (x["position"] == i) & (x["start_char"] == before(i)) & (x["end_char"] - x["start_char"] == x["n_chars"]))
+    full = F.transform("c", lambda x, i: F.when(i < F.size("c") - 1, x["n_tokens"] == size).otherwise(x["n_tokens"].between(1, size)))
+    return whole.select(
+        "doc_id", F.md5(F.array_join("c.text_content", "")).alias("joined_md5"),
+        F.aggregate("c.n_chars", F.lit(0).cast("bigint"), lambda a, n: a + n).alias("n_chars"),
+        F.forall(placed, lambda ok: ok).alias("placed"), F.forall(full, lambda ok: ok).alias("full"))
+
+
 # ---- pairs and training sets -----------------------------------------------------------------------------------
 
 r.fragments.add("generated", f"""
