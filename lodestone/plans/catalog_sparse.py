@@ -82,6 +82,31 @@ def tfidf_weights(spark, sf_dir):
     return weights.select("term", "chunk_id", F.round("weight", 6).alias("weight"))
 
 
+r.fragments.add("matrix", """
+    SELECT term, chunk_id, tf * idf / norm AS weight FROM postings JOIN vocabulary USING (term) JOIN norms USING (chunk_id)""")
+
+
+@r.query("""SELECT chunk_id, count(*) AS n_terms, round(min(weight), 6) AS least, round(max(weight), 6) AS most, round(sum(weight), 6) AS total
+            FROM matrix GROUP BY chunk_id""")
+def tfidf_weights_by_chunk(spark, sf_dir):
+    """The rows of the matrix, summed up."""
+    return _summed(spark, sf_dir, "chunk_id", "n_terms")
+
+
+@r.query("""SELECT term, count(*) AS n_chunks, round(min(weight), 6) AS least, round(max(weight), 6) AS most, round(sum(weight), 6) AS total
+            FROM matrix GROUP BY term""")
+def tfidf_weights_by_term(spark, sf_dir):
+    """The columns of the matrix, summed up."""
+    return _summed(spark, sf_dir, "term", "n_chunks")
+
+
+def _summed(spark: SparkSession, sf_dir: str, key: str, n: str) -> DataFrame:
+    weights = sparse.weights(sparse.fit(document_words(spark, sf_dir)))
+    of = F.col("weight")
+    return weights.groupBy(key).agg(
+        F.count("*").alias(n), F.round(F.min(of), 6).alias("least"), F.round(F.max(of), 6).alias("most"), F.round(F.sum(of), 6).alias("total"))
+
+
 @r.query("SELECT question_id, term, round(query_weight, 6) AS query_weight FROM question_weights")
 def query_weights(spark, sf_dir):
     index = sparse.fit(document_words(spark, sf_dir))
