@@ -368,7 +368,8 @@ def stream_ingest(spark, sf_dir):
     schema = StructType([
         StructField("doc_id", LongType()), StructField("text", StringType()), StructField("source", StringType())
     ])
-    rows = ingest.read_stream(spark, sf_dir, schema, "parquet", glob="documents.parquet").select(
+    # As a pattern, so that the table may be one file or a folder of files.
+    rows = ingest.read_stream(spark, f"{sf_dir}/{{documents.parquet}}", schema, "parquet").select(
         F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_name"), F.col("text").alias("text_content")
     )
     root = work_path(spark, "stream")

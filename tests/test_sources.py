@@ -146,3 +146,17 @@ def test_nested_sitemap_indexes_are_followed_to_the_end(spark, tmp_path):
     assert found("top.xml") == ["p1", "p2", "p3"]
     assert found("low.xml", "low.xml", "leaf2.xml") == ["p1", "p2", "p3"]
     assert found("leaf1.xml") == ["p1", "p2"] and found("missing.xml") == [] and found() == []
+
+
+def test_stream_ingest_reads_a_table_of_one_file_or_of_many(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(1, "One two", "a"), (2, None, None), (3, "three", "b"), (4, "", "c")]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    documents.repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    documents.coalesce(1).write.parquet(str(tmp_path / "part"))
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "part").glob("*.parquet")).rename(tmp_path / "one" / "documents.parquet")
+    ask = entry.queries()["stream_ingest"]
+    found = [sorted(ask(spark, str(tmp_path / kind)).collect()) for kind in ("one", "many")]
+    assert [r["chunk_id"] for r in found[1]] == [1, 2, 3, 4] and found[0] == found[1]
