@@ -185,3 +185,28 @@ def test_probes_are_calibrated_on_nearly_random_vectors(spark):
 def test_registered_cell_search_finds_the_neighbours_of_its_table(spark):
     found, truth = (ranked(entry.queries()[n](spark, SF_DIR)) for n in ("dense_topk_ivf", "dense_topk_exact"))
     assert np.mean([len(set(found.get(q, [])) & set(near)) / len(near) for q, near in truth.items()]) >= 0.9
+
+
+def test_a_block_that_brings_nothing_nearer_sorts_nothing(monkeypatch, matrix):
+    best = dense._Best(np.arange(N), matrix.astype(np.float64), K, True)
+    best.add(np.arange(N), matrix.astype(np.float64))
+    sorted_rows, real = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sorted_rows.append(len(keys[0])) or real(keys))
+    best.add(np.arange(N, 2 * N), matrix + 1_000.0)
+    best.add(np.array([2 * N]), matrix[:1].astype(np.float64), np.arange(1))
+    assert sum(sorted_rows) <= K + 1
+
+
+def test_own_copies_do_not_take_the_places_of_others():
+    x = np.array([[0.0], [0.0], [0.0], [0.0], [5.0], [7.0]])
+    best = dense._Best(np.array([1]), np.zeros((1, 1)), 2, True)
+    best.add(np.array([1, 1, 1, 1, 2, 3]), x)
+    assert best.chunk.tolist() == [[2, 3]] and best.dist.tolist() == [[25.0, 49.0]]
+
+
+def test_blocks_of_both_sides_are_large(monkeypatch, queries, vectors, truth):
+    cut = []
+    monkeypatch.setattr(dense, "stored", lambda df, name: cut.append(df) or df)
+    monkeypatch.setattr(dense, "BLOCK_QUERIES", 20)
+    assert ranked(dense.search_blocks(queries, vectors, K, exclude_self=True)) == truth
+    assert cut[0].select("nv", "nq").head() == (1, 1)
