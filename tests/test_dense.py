@@ -210,3 +210,14 @@ def test_blocks_of_both_sides_are_large(monkeypatch, queries, vectors, truth):
     monkeypatch.setattr(dense, "BLOCK_QUERIES", 20)
     assert ranked(dense.search_blocks(queries, vectors, K, exclude_self=True)) == truth
     assert cut[0].select("nv", "nq").head() == (1, 1)
+
+
+def test_coded_cells_hand_on_k_chunks_a_query_and_task(monkeypatch, queries, vectors):
+    handed, real = [], dense._merge
+    monkeypatch.setattr(dense, "_merge", lambda local, k: handed.append(local) or real(local, k))
+    config = IndexConfig("hnsw_pq", n_cells=8, n_probe=8, pq_m=4, pq_bits=4)
+    index = dense.fit_coded_cells(vectors, config)
+    found = dense.search_coded_cells(queries, vectors, index, K, 8, exclude_self=True)
+    assert found.count() == N * K
+    tasks = handed[-1].rdd.getNumPartitions()
+    assert len(handed) == 1 and handed[0].count() <= tasks * N * K
