@@ -228,16 +228,31 @@ def bleu1(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
 Encoder = Callable[[list[str]], list[tuple[list[str], np.ndarray]]]
 
 
+# Pairs whose token vectors a worker holds at once, and tokens of one side in a matrix of cosines.
+BERT_PAIRS = 32
+BERT_TOKENS = 1_024
+
+
+def _greedy(p: np.ndarray, r: np.ndarray, step: int = BERT_TOKENS) -> tuple[float, float]:
+    """Means of the best cosine of each row of ``p`` and of each row of ``r``, all of unit length."""
+    of_p, of_r = np.empty(len(p)), np.full(len(r), -np.inf)
+    for at in range(0, len(p), step):
+        cosine = p[at:at + step] @ r.T
+        of_p[at:at + step] = cosine.max(axis=1)
+        of_r = np.maximum(of_r, cosine.max(axis=0))
+    return of_p.mean(), of_r.mean()
+
+
 def bertscore_per_pair(pairs: DataFrame, factory: Callable[[], Encoder], key: str | None = None) -> DataFrame:
     """Greedy token matching by cosine: (pair_id, precision, recall, f1) with vectors of an injected encoder.
 
-    The encoder sees whole texts, so that a token's vector may depend on its sentence; the distinct texts of an Arrow
-    batch go to it in one call and a pair then costs one small matrix product. A side without tokens scores 0.
+    The encoder sees whole texts, so that a token's vector may depend on its sentence; the distinct texts of ``BERT_PAIRS``
+    pairs go to it in one call and a pair then costs matrix products of bounded height. A side without tokens scores 0.
     """
     key = key or uuid.uuid4().hex
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (whole.iloc[at:at + BERT_PAIRS] for whole in batches for at in range(0, len(whole), BERT_PAIRS)):
             encode = loaded(key, factory)
             sides = [batch[c].fillna("").tolist() for c in ("prediction", "reference")]
             distinct = list(dict.fromkeys(sides[0] + sides[1]))
@@ -248,8 +263,7 @@ def bertscore_per_pair(pairs: DataFrame, factory: Callable[[], Encoder], key: st
             rows = []
             for pair_id, p, r in zip(batch["pair_id"], *([unit[t] for t in side] for side in sides)):
                 if p is not None and r is not None:
-                    cosine = p @ r.T
-                    precision, recall = cosine.max(axis=1).mean(), cosine.max(axis=0).mean()
+                    precision, recall = _greedy(p, r)
                     total = precision + recall
                     rows.append((pair_id, precision, recall, 2 * precision * recall / total if total else 0.0))
                 else:

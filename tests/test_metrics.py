@@ -69,3 +69,31 @@ def test_token_matching(spark):
     assert row["bertscore_f1"] == pytest.approx(0.5) and row["n_pairs"] == 2
     one_sided = metrics.bertscore(pairs(spark, ("a", "a b")), standins.context_encoder(32)).head()
     assert one_sided["bertscore_precision"] == pytest.approx(1.0) and one_sided["bertscore_recall"] < 1
+
+
+def test_token_matching_holds_few_texts_at_once(spark):
+    import numpy as np
+
+    from lodestone.operators import metrics
+
+    def factory():
+        def encode(texts):
+            assert len(texts) <= 2 * metrics.BERT_PAIRS
+            return [(t.split(), np.eye(4)[[int(w) for w in t.split()]]) for t in texts]
+        return encode
+
+    pairs = spark.createDataFrame([(i, f"{i % 4} {i // 4 % 4}", f"{i % 3} {i // 3 % 4} {i // 12 % 4}") for i in range(300)],
+                                  "pair_id bigint, prediction string, reference string").coalesce(1)
+    for r in metrics.bertscore_per_pair(pairs, factory).join(pairs, "pair_id").collect():
+        p, t = r["prediction"].split(), r["reference"].split()
+        assert abs(r["precision"] - np.mean([w in t for w in p])) < 1e-9 and abs(r["recall"] - np.mean([w in p for w in t])) < 1e-9
+
+
+def test_greedy_matching_by_blocks():
+    import numpy as np
+
+    from lodestone.operators import metrics
+
+    p, r = np.random.default_rng(1).normal(size=(2, 7, 3))
+    whole = p @ r.T
+    assert np.allclose(metrics._greedy(p, r, 3), (whole.max(axis=1).mean(), whole.max(axis=0).mean()))
