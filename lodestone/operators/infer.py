@@ -17,6 +17,8 @@ Factory = Callable[[], Model]
 
 # A worker holds the models of this many calls, the latest ones: a plan that alternates reader and generator keeps both.
 KEPT = 2
+# Rows whose results a worker holds before they leave it (at least one call's), however many rows an Arrow batch has.
+ROWS_OUT = 256
 _LOADED: dict[str, Model] = {}
 
 
@@ -31,6 +33,25 @@ def loaded(key: str, factory: Factory) -> Model:
     return model
 
 
+def _answered(
+    batch: pa.RecordBatch, model: Model, names: list[str], output: str, kind: pa.DataType, batch_size: int
+) -> Iterator[pa.RecordBatch]:
+    """``batch`` with the column ``output``, in slices of whole calls."""
+    step = max(ROWS_OUT // batch_size, 1) * batch_size
+    for at in range(0, batch.num_rows, step):
+        part = batch.slice(at, step)
+        columns = [part.column(n).to_pylist() for n in names]
+        values = columns[0] if len(columns) == 1 else list(zip(*columns))
+        results: list[Any] = []
+        for lo in range(0, len(values), batch_size):
+            piece = values[lo:lo + batch_size]
+            out = list(model(piece))
+            if len(out) != len(piece):
+                raise ValueError(f"the model returned {len(out)} results for {len(piece)} inputs")
+            results.extend(out)
+        yield pa.RecordBatch.from_arrays(part.columns + [pa.array(results, kind)], names=batch.schema.names + [output])
+
+
 def run(
     df: DataFrame, factory: Factory, inputs: str | list[str], output: str, output_type: DataType | str = "string",
     batch_size: int = 16, num_partitions: int | None = None, key: str | None = None,
@@ -55,17 +76,7 @@ def run(
                 continue
             if model is None:
                 model = loaded(key, factory)
-            columns = [batch.column(n).to_pylist() for n in names]
-            values = columns[0] if len(columns) == 1 else list(zip(*columns))
-            results: list[Any] = []
-            for lo in range(0, len(values), batch_size):
-                piece = values[lo:lo + batch_size]
-                out = list(model(piece))
-                if len(out) != len(piece):
-                    raise ValueError(f"the model returned {len(out)} results for {len(piece)} inputs")
-                results.extend(out)
-            arrays = batch.columns + [pa.array(results, arrow_type)]
-            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names + [output])
+            yield from _answered(batch, model, names, output, arrow_type, batch_size)
 
     rows = df.repartition(num_partitions) if num_partitions else df
     return rows.mapInArrow(apply, schema)

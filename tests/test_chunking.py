@@ -57,3 +57,17 @@ def test_overlap_must_be_below_the_size(spark):
     rows = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
     with pytest.raises(ValueError):
         chunking.chunk_subwords(rows, lambda: None, 4, 4)
+
+
+def test_results_leave_a_worker_in_small_slices():
+    import pyarrow as pa
+
+    from lodestone.operators import infer
+
+    calls = []
+    batch = pa.RecordBatch.from_pydict({"k": list(range(1_000)), "text": [str(i) for i in range(1_000)]})
+    slices = infer._answered(batch, lambda texts: calls.append(len(texts)) or [t * 2 for t in texts], ["text"], "out", pa.string(), 64)
+    first = next(slices)
+    assert first.num_rows == sum(calls) == infer.ROWS_OUT and max(calls) == 64
+    rest = [r for b in slices for r in b.to_pylist()]
+    assert [r["out"] for r in first.to_pylist() + rest] == [str(i) * 2 for i in range(1_000)]
