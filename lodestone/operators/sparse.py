@@ -155,6 +155,18 @@ def weigh_queries(questions: DataFrame, vocabulary: DataFrame, small: bool) -> D
     return weighted.select("question_id", "term", (F.col("_w") / length).alias("query_weight"), "idf")
 
 
+def _asked_by_chunk(postings: DataFrame, questions: DataFrame) -> DataFrame:
+    """The postings of the terms that are asked for, those of a chunk in one task.
+
+    Questions multiply postings, most of all those of frequent terms, which a saved index keeps in few files. Here they
+    are moved before that, once, so that the pairs of chunk and question are summed and ranked where they arise.
+    The number of partitions is fixed, as their size here does not tell the number of pairs.
+    """
+    terms = questions.select(F.explode("terms").alias("term")).distinct()
+    n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return postings.join(F.broadcast(terms), "term", "left_semi").repartition(n, "chunk_id")
+
+
 def search(
     index: SparseIndex, questions: DataFrame, k: int, fill_zeros: bool = False, small: bool | None = None
 ) -> DataFrame:
@@ -166,16 +178,17 @@ def search(
     if small is None:
         small = fits(questions.select(F.explode("terms").alias("term")), "term")
     query_side = broadcast_if(weigh_queries(questions, index.vocabulary, small), small)
-    matched = index.postings.join(query_side, "term")
-    if "weight" in index.postings.columns:
-        part, length = F.col("weight") * F.col("query_weight"), None
-    else:
-        part, length = F.col("tf") * F.col("idf") * F.col("query_weight"), F.col("norm")
-    dots = matched.groupBy("chunk_id", "question_id").agg(F.sum(part).alias("_dot"))
-    raw = F.col("_dot") if length is None else F.col("_dot") / length
-    scored = (dots if length is None else dots.join(index.norms, "chunk_id")).select(
-        "question_id", "chunk_id", F.round(raw, SCORE_DIGITS).alias("score")
-    )
+    weighted = "weight" in index.postings.columns
+    postings = index.postings
+    if small:
+        postings = _asked_by_chunk(postings, questions)
+    if not weighted:
+        postings = postings.join(index.norms, "chunk_id")
+    part = F.col("weight") if weighted else F.col("tf") * F.col("idf")
+    dots = postings.join(query_side, "term").groupBy("chunk_id", "question_id").agg(
+        F.sum(part * F.col("query_weight")).alias("_dot"), *([] if weighted else [F.max("norm").alias("_norm")]))
+    raw = F.col("_dot") if weighted else F.col("_dot") / F.col("_norm")
+    scored = dots.select("question_id", "chunk_id", F.round(raw, SCORE_DIGITS).alias("score"))
     order = [F.desc("score"), F.asc("chunk_id")]
     best = top_k(scored, ["question_id"], order, k).select("question_id", "rank", "chunk_id", "score")
     if not fill_zeros:

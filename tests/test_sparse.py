@@ -115,3 +115,19 @@ def test_containment_against_brute_force(spark, monkeypatch, limit):
     asked = spark.createDataFrame(list(enumerate(wanted)), "passage_id bigint, passage string")
     got = {tuple(r) for r in passages.containing_chunks(asked, chunks).collect()}
     assert got == {(i, j) for i, w in enumerate(wanted) for j, t in enumerate(texts) if w in t}
+
+
+def test_pairs_of_chunk_and_question_are_summed_where_the_chunk_lies(spark, tmp_path):
+    import re
+
+    documents = spark.createDataFrame([(i, ["a", "b", f"w{i % 7}"]) for i in range(60)], "chunk_id bigint, terms array<string>")
+    questions = spark.createDataFrame([(1, ["a", "w3"]), (2, ["b", "b", "w5"]), (3, ["none"])], "question_id bigint, terms array<string>")
+    index = sparse.fit(documents)
+    sparse.save_index(index, str(tmp_path / "index"))
+    rows = []
+    for held in (index, sparse.load_index(spark, str(tmp_path / "index"))):
+        found = sparse.search(held, questions, 5)
+        assert not re.search(r"hashpartitioning\(chunk_id#\d+L, question_id", found._jdf.queryExecution().executedPlan().toString())
+        rows.append(sorted(map(tuple, found.collect())))
+    large = sorted(map(tuple, sparse.search(index, questions, 5, small=False).collect()))
+    assert rows[0] == rows[1] == large and [r[2] for r in rows[0]] == [3, 10, 17, 24, 31, 5, 12, 19, 26, 33]
