@@ -58,3 +58,19 @@ def test_answering_takes_the_graph_and_nothing_breaks_on_empty(spark):
     assert answering.retrieve_chunks(asked, cells, models, conf).orderBy("rank").first().chunk_id == 1
     none = graph.build(vectors.limit(0))
     assert none.links.count() == 0
+
+
+def test_shards_bound_the_work_and_a_query_walks_through_all_of_them(spark, built):
+    x, vectors, _ = built
+    vectors = vectors.filter("embedding is not null").distinct()
+    g = graph.build(vectors, degree=8, sample=12, shard=150)
+    links = g.links.toPandas()
+    shard_of = dict(zip(links.chunk_id, links["shard"]))
+    assert links.groupby("shard").size().between(80, 250).all() and links["shard"].nunique() == 4 and len(links) == 600
+    assert max(map(len, links.neighbors)) <= 12
+    edges = g.edges.toPandas()
+    assert all(shard_of[a] == shard_of[b] for a, b in zip(edges.chunk_id, edges.neighbor_id)) and (edges.groupby("chunk_id").size() == 8).all()
+    queries = vectors.filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
+    found = graph.search(queries, vectors, g.links, 5, beam=32, exclude_self=True).cache()
+    assert graph.recall_of(found, dense.search_exact(queries, vectors, 5, exclude_self=True)) >= 0.95
+    assert all(4 * 64 <= r.visited < 600 for r in found.collect())
