@@ -52,13 +52,19 @@ r.fragments.add("reranked", f"""
 
 
 def corpus(spark, sf_dir):
-    """Documents with hashed vectors and a word index."""
+    """Documents with hashed vectors and a word index; their words are counted once for both."""
     chunks = tables.chunks(spark, sf_dir)
-    vectors = stored(dense.hashed_vectors(chunks, "chunk_id", "text_content", DIM), "vectors")
     index = sparse.fit(chunks.select("chunk_id", words("text_content").alias("terms")))
+    vectors = stored(dense.hashed_counts(index.rows, "chunk_id", "counts", DIM), "vectors")
     return answering.Corpus(chunks, vectors, index, dim=DIM)
 
 
+def dense_corpus(spark, sf_dir):
+    """Documents with hashed vectors alone."""
+    chunks = tables.chunks(spark, sf_dir)
+    return answering.Corpus(chunks, stored(dense.hashed_vectors(chunks, "chunk_id", "text_content", DIM), "vectors"), dim=DIM)
+
+
 def asked(spark, sf_dir):
     return tables.questions(spark, sf_dir).withColumn("terms", words("question"))
 
@@ -261,7 +267,7 @@ def rag_dense_only_e2e(spark, sf_dir):
     """The dense channel alone on the expanded question, reranked by the expanded text, with summaries and the reader."""
     conf = RetrievalConfig(dense_k=DENSE_K, rerank_k=RERANK_K, rerank_query="expanded")
     questions = tables.questions(spark, sf_dir)
-    return answering.run("inference", questions, corpus(spark, sf_dir), MODELS, conf)
+    return answering.run("inference", questions, dense_corpus(spark, sf_dir), MODELS, conf)
 
 
 @r.query("SELECT question_id, rank, chunk_id FROM fused")

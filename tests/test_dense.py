@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lodestone.config import IndexConfig
-from lodestone.operators import dense
+from lodestone.functions.text import words
+from lodestone.operators import dense, sparse
 
 N, DIM, K = 400, 16, 5
 SF_DIR = "/root/testdata/sf0.01"
@@ -113,6 +114,13 @@ def test_text_vectors(spark):
     assert {r["bucket"]: round(r["weight"], 9) for r in long} == {i: round(w, 9) for i, w in enumerate(rows[1]) if w}
 
 
+def test_counted_words_give_the_same_vectors(spark):
+    df = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None), (4, "é é ü")], "k bigint, t string")
+    counts = sparse.term_rows(df.select("k", words("t").alias("terms")), "k")
+    rows = [sorted(map(tuple, of.collect())) for of in (dense.hashed_vectors(df, "k", "t", 8), dense.hashed_counts(counts, "k", "counts", 8))]
+    assert rows[0] == rows[1] and [any(v) for _, v in rows[0]] == [True, False, False, True]
+
+
 def test_fetch(spark):
     chunks = spark.createDataFrame([(1, "x"), (2, "y")], "chunk_id bigint, text_content string")
     ids = spark.createDataFrame([(7, 1, 2), (7, 2, 1), (8, 1, 9)], "question_id bigint, rank int, chunk_id bigint")

@@ -131,3 +131,33 @@ def test_pairs_of_chunk_and_question_are_summed_where_the_chunk_lies(spark, tmp_
         rows.append(sorted(map(tuple, found.collect())))
     large = sorted(map(tuple, sparse.search(index, questions, 5, small=False).collect()))
     assert rows[0] == rows[1] == large and [r[2] for r in rows[0]] == [3, 10, 17, 24, 31, 5, 12, 19, 26, 33]
+
+
+def test_a_chunk_stays_one_row_until_it_has_met_its_norm(spark, documents, index):
+    assert {r["chunk_id"]: {c["term"]: c["tf"] for c in r["counts"]} for r in index.rows.collect()} == {
+        1: {"a": 2, "b": 1}, 2: {"b": 1}, 3: {}, 4: {"a": 1}, 5: {"b": 1, "c": 1}}
+    got = {(r["chunk_id"], r["term"]): r["weight"] for r in sparse.weights(index).collect()}
+    a, b, c = idf(2), idf(3), idf(1)
+    wanted = {(1, "a"): 2 * a / math.hypot(2 * a, b), (1, "b"): b / math.hypot(2 * a, b), (2, "b"): 1, (4, "a"): 1,
+              (5, "b"): b / math.hypot(b, c), (5, "c"): c / math.hypot(b, c)}
+    assert got.keys() == wanted.keys() and all(abs(got[k] - wanted[k]) < 1e-12 for k in wanted)
+    rows = spark.createDataFrame([(1, None), (2, []), (3, ["x", None, "x", "é"])], "chunk_id bigint, terms array<string>")
+    assert {tuple(r) for r in sparse.term_counts(rows, "chunk_id").collect()} == {(3, "x", 2), (3, None, 1), (3, "é", 1)}
+
+
+def test_blocks_of_chunks_score_like_single_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{int(40 * rng.random() ** 3)}" for _ in range(4000)]
+    docs = spark.createDataFrame([(i, words[(i % 150) * 13:][:1 + i % 12]) for i in range(300)], "chunk_id bigint, terms array<string>")
+    asked = spark.createDataFrame([(f"q{i}", rng.choices(words, k=1 + i % 9)) for i in range(30)], "question_id string, terms array<string>")
+    index = sparse.fit(docs)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # chunks go on in the next batch
+    try:
+        blocks = sparse.search(index, asked, 6)
+        assert "MapInArrow" in blocks._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, blocks.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(map(tuple, sparse.search(index, asked, 6, small=False).collect())) and len(got) > 100
