@@ -89,8 +89,13 @@ r.fragments.add("matrix", """
 @r.query("""SELECT chunk_id, count(*) AS n_terms, round(min(weight), 6) AS least, round(max(weight), 6) AS most, round(sum(weight), 6) AS total
             FROM matrix GROUP BY chunk_id""")
 def tfidf_weights_by_chunk(spark, sf_dir):
-    """The rows of the matrix, summed up."""
-    return _summed(spark, sf_dir, "chunk_id", "n_terms")
+    """The rows of the matrix, summed up; a chunk's norm divides its sums, so that no posting has to meet it."""
+    index = sparse.fit(document_words(spark, sf_dir))
+    of = F.col("tf") * F.col("idf")
+    sums = sparse.with_idf(index.postings, index.vocabulary).groupBy("chunk_id").agg(
+        F.count("*").alias("n_terms"), F.min(of).alias("least"), F.max(of).alias("most"), F.sum(of).alias("total"))
+    return sums.join(index.norms, "chunk_id").select(
+        "chunk_id", "n_terms", *[F.round(F.col(c) / F.col("norm"), 6).alias(c) for c in ("least", "most", "total")])
 
 
 @r.query("""SELECT term, count(*) AS n_chunks, round(min(weight), 6) AS least, round(max(weight), 6) AS most, round(sum(weight), 6) AS total
