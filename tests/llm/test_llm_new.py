@@ -1,9 +1,13 @@
 """Alignment of tokenizers, ranked lexical search and quality rules against plain counting, and awkward rows."""
 
 import hashlib
+import json
 import math
+import random
 import re
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -68,6 +72,68 @@ def test_ids_are_the_tokenizers_own(spark):
     assert load_a()[0](texts) == [e.ids for e in whole.encode_batch([" " + t for t in texts], add_special_tokens=False)]
 
 
+def library(path):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(str(path))
+    whole.encode_special_tokens = True
+    return whole, lambda texts: [e.ids for e in whole.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+
+
+def test_ids_are_found_in_less_than_half_the_librarys_time():
+    (_, own), encode = library(public_tokenizers.path("byte_bpe_50k.json")), load_a()[0]
+    pick = random.Random(1)
+    texts = ["".join(pick.choices("etaoinshrdlu  ,.\n", k=2_000)) for _ in range(200)]
+    times = []
+    for each in (own, encode):
+        start = time.process_time()
+        times.append((each(texts), time.process_time() - start))
+    assert times[0][0] == times[1][0]
+    assert times[1][1] < times[0][1] / 2
+
+
+def test_every_character_is_cut_as_the_library_cuts_it():
+    import tiktoken
+
+    cut, single = library(public_tokenizers.path("byte_bpe_50k.json"))[0].pre_tokenizer, {bytes([i]): i for i in range(256)}
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    joined = {}
+    for before in "a1!":  # a character goes on with one of its own kind
+        starts = {s for _, (s, _) in cut.pre_tokenize_str("".join(before + c for c in every))}
+        joined[before] = {c for i, c in enumerate(every) if 2 * i + 1 not in starts}
+    rest = set(every) - joined["a"] - joined["1"] - joined["!"]
+    for kind, expected in ((r"\p{L}", joined["a"]), (r"\p{N}", joined["1"]), (r"\s", rest)):
+        found = tiktoken.Encoding("kind", pat_str=kind, mergeable_ranks=single, special_tokens={})
+        assert set(bytes(found.encode_ordinary(every)).decode()) == expected
+
+
+def test_mixed_texts_and_long_blanks_have_the_librarys_ids():
+    (_, own), encode = library(public_tokenizers.path("byte_bpe_50k.json")), load_a()[0]
+    pick = random.Random(2)
+    kinds = "aZ é漢字1½ⅷ٣'strevdml!_=-\u0301\u200b\U0001F600\t\n\r\x0b\x1c\x85\xa0\u2003\u3000   "
+    mixed = ["".join(pick.choices(kinds, k=pick.randint(1, 40))) for _ in range(5_000)]
+    blanks = ["x" + c * n + "y" for c in " \n\u3000" for n in (align.BLANKS - 1, align.BLANKS, 1_200_000)]
+    for texts in (mixed, blanks):
+        assert encode(texts) == own(texts)
+
+
+@pytest.mark.parametrize("change", [
+    lambda spec: spec["model"]["merges"].insert(0, spec["model"]["merges"].pop(700)),  # ids no longer rise with the merges
+    lambda spec: spec["model"].update(ignore_merges=True),
+    lambda spec: spec.update(normalizer={"type": "Lowercase"}),
+    lambda spec: spec["pre_tokenizer"].update(use_regex=False),
+    lambda spec: spec["added_tokens"][0].update(special=False),
+])
+def test_other_files_are_left_to_the_library(tmp_path, change):
+    spec = json.loads(Path(public_tokenizers.path("byte_bpe_50k.json")).read_text())
+    change(spec)
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    encode = align.byte_level(str(tmp_path / "t.json"))[0]
+    assert encode.__name__ == "own" and load_a()[0].__name__ == "encode"
+    texts = [t for t in TEXTS if t]
+    assert encode(texts) == library(tmp_path / "t.json")[1](texts)
+
+
 def test_alignment_of_nothing_and_of_other_keys(spark):
     none = spark.createDataFrame([], "doc_id string, text string")
     assert align.align(none, "doc_id", "text", load_a, load_b).count() == 0
