@@ -1,5 +1,6 @@
 """The driver's module without the training-text package."""
 
+import os
 import shutil
 import subprocess
 import sys
@@ -22,6 +23,15 @@ def test_the_rest_imports_without_the_optional_parts(tmp_path, gone):
     assert int(n) >= 85 and int(n_sql) >= 80 and pipeline == "False"
 
 
+def test_optional_parts_of_another_copy_are_not_taken(tmp_path):
+    copy = tmp_path / "repo"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "corpus_pipeline.py"))
+    says = "import __spark_entry__ as e; print('pipeline' in e.queries(), 'op8_bpe' in e.queries())"
+    done = subprocess.run([sys.executable, "-B", "-c", says], cwd=copy, env=os.environ | {"PYTHONPATH": str(ROOT)}, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+    assert done.stdout.split()[-2:] == ["False", "True"]
+
+
 def test_errors_inside_the_optional_parts_are_not_hidden(tmp_path):
     copy = tmp_path / "repo"
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__"))
